@@ -74,10 +74,19 @@ def transition_map(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.groupBy(*keys).agg(F.map_from_entries(entries).alias("transitions"))
 
 
-def _top_changes(before: str, after: str, count: str = "_windows", n: int = 3) -> Column:
-    """Aggregate over counted action pairs: the n most frequent changes as `A>B:7 | B>C:2`, ties by name."""
+def _counted() -> list[Column]:
+    """Size of an action pair and the first window that shows it."""
+    return [F.count(F.lit(1)).alias("_windows"), F.min("window_id").alias("_seen")]
+
+
+def _top_changes(before: str, after: str, n: int = 3) -> Column:
+    """Aggregate over counted action pairs: the n most frequent changes as `A>B:7 | B>C:2`.
+
+    Equal counts stand in the order in which they first occur by window id.
+    """
     entry = F.when(F.col(before) != F.col(after), F.struct(
-        (-F.col(count)).alias("rank"), F.concat_ws(">", before, after).alias("name"), F.col(count).alias("count"),
+        (-F.col("_windows")).alias("rank"), F.col("_seen").alias("seen"), F.concat_ws(">", before, after).alias("name"),
+        F.col("_windows").alias("count"),
     ))
     ranked = F.slice(F.sort_array(F.collect_list(entry)), 1, n)
     return F.array_join(F.transform(ranked, lambda t: F.concat_ws(":", t["name"], t["count"].cast("string"))), " | ")
@@ -85,9 +94,7 @@ def _top_changes(before: str, after: str, count: str = "_windows", n: int = 3) -
 
 def top_flips(decisions: DataFrame) -> DataFrame:
     """Most frequent changes against the baseline per (agent, dataset)."""
-    cells = matched(decisions).groupBy("agent", "dataset", "action_base", "action_taken").agg(
-        F.count(F.lit(1)).alias("_windows"),
-    )
+    cells = matched(decisions).groupBy("agent", "dataset", "action_base", "action_taken").agg(*_counted())
     return cells.groupBy("agent", "dataset").agg(_top_changes("action_base", "action_taken").alias("top_flips"))
 
 
@@ -104,9 +111,7 @@ def in_sweep_order(df: DataFrame, *then: str) -> DataFrame:
 
 def sweep_adr(decisions: DataFrame, registry: DataFrame) -> DataFrame:
     """ADR of every dataset and agent with its registry entry and most frequent flips."""
-    pairs = matched(decisions).groupBy("agent", "dataset", "action_base", "action_taken").agg(
-        F.count(F.lit(1)).alias("_windows"),
-    )
+    pairs = matched(decisions).groupBy("agent", "dataset", "action_base", "action_taken").agg(*_counted())
     # At most nine action pairs per (agent, dataset) are left, so the rest works on a handful of rows.
     flip = F.col("action_base") != F.col("action_taken")
     table = pairs.groupBy("agent", "dataset").agg(
@@ -138,8 +143,7 @@ def consensus(
 ) -> DataFrame:
     """Per dataset: how often two agents agree, their override counts and main disagreements."""
     cells = paired_agents(decisions, first, second).groupBy("dataset", "action_first", "action_second").agg(
-        F.count(F.lit(1)).alias("_windows"),
-        F.count_if("override_first").alias("_first"), F.count_if("override_second").alias("_second"),
+        *_counted(), F.count_if("override_first").alias("_first"), F.count_if("override_second").alias("_second"),
     )
     differ = F.col("action_first") != F.col("action_second")
     table = cells.groupBy("dataset").agg(
