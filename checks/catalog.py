@@ -48,8 +48,8 @@ def shown(fn: Query) -> Query:
         for field in df.schema.fields:
             col = F.col(f"`{field.name}`")
             if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-                # + 0.0 turns a negative zero into zero
-                col = F.round(col, 6) + F.lit(0.0)
+                # The nudge moves values off exact halves, which the engines round differently.
+                col = F.round(col + F.lit(1e-9), 6) + F.lit(0.0)
             elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
                 col = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
             elif isinstance(field.dataType, T.ArrayType):

@@ -23,7 +23,16 @@ STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
 def r6(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(round({expr} + 1e-9::DOUBLE, 6) + 0.0)"
+
+
+def half_even(expr: str, digits: int) -> str:
+    """Round the shortest decimal form of a double, halves to even."""
+    scaled = f"CAST(CAST({expr} AS VARCHAR) AS DECIMAL(28, 20)) * {10 ** digits}"
+    return (
+        f"(list_transform([{scaled}], lambda d: CAST(CASE WHEN d - floor(d) = 0.5 THEN 2 * floor((floor(d) + 1) / 2.0)"
+        f" ELSE floor(d + 0.5) END AS DOUBLE))[1] / {10 ** digits})"
+    )
 
 
 def stamp(expr: str) -> str:
@@ -456,9 +465,10 @@ ORACLES: dict[str, str] = {
     "parse_answer": """
         SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' WHEN 2 THEN 'SELL' ELSE 'HOLD' END AS action,
                CASE event_id % 6 WHEN 4 THEN 'positive' ELSE 'neutral' END AS sentiment FROM events""",
-    "render_window_text": on_baseline("""
+    "render_window_text": on_baseline(f"""
         SELECT window_id, printf('%s: %d tweets, mean_sentiment=%.3f, positive=%.0f%%, neutral=%.0f%%, negative=%.0f%%, sentiment_std=%.3f',
-               coin, n, round_even(mean, 3), round_even(rp * 100, 0), round_even(ru * 100, 0), round_even(rn * 100, 0), round_even(std, 3)) AS text
+               coin, n, {half_even('mean', 3)} + 0.0, {half_even('rp * 100', 0)}, {half_even('ru * 100', 0)}, {half_even('rn * 100', 0)},
+               {half_even('std', 3)}) AS text
         FROM base_win"""),
     "render_step_text": f"WITH {MARKET} SELECT step, {_STEP_TEXT} AS text FROM market",
     # scoring
@@ -475,8 +485,8 @@ ORACLES: dict[str, str] = {
         SELECT step, {stamp('ts')} AS "timestamp", coin AS cryptocurrency, {r6('mood')} AS input_sentiment, {r6('rsi')} AS rsi,
                {r6('vol')} AS volatility, 100.0::DOUBLE AS price_usd, {r6('chg')} AS price_change_pct, {r6('total')} AS composite, raw_label,
                printf('Composite=%+.3f | sentiment=%+.3f(x0.50) rsi_factor=%+.3f(x0.25) momentum=%+.3f(x0.15) fear_greed=%+.3f(x0.10) -> %s',
-                 round_even(total, 3) + 0.0, round_even(mood, 3) + 0.0, round_even(f_rsi, 3) + 0.0, round_even(f_mom, 3) + 0.0,
-                 round_even(f_fg, 3) + 0.0, raw_label) AS reasoning,
+                 {half_even('total', 3)} + 0.0, {half_even('mood', 3)} + 0.0, {half_even('f_rsi', 3)} + 0.0,
+                 {half_even('f_mom', 3)} + 0.0, {half_even('f_fg', 3)} + 0.0, raw_label) AS reasoning,
                policy AS policy_action, act AS action_taken, hit AS oracle_triggered, 'composite' AS agent
         FROM comp"""),
     "decide_bucketed": f"""
@@ -543,7 +553,7 @@ ORACLES: dict[str, str] = {
         SELECT rows.tweet_id, {stamp('ts')} AS "timestamp", rows.coin AS cryptocurrency, label AS finbert_label, {r6('score')} AS sentiment_score,
                syn AS is_synthetic, kind AS mutation_type, adv AS adversarial_direction, coalesce(s.window_id, '') AS target_window_id,
                family AS sweep_family, strength AS sweep_strength
-        FROM rows LEFT JOIN synthetic s ON s.sid = rows.tweet_id WHERE dataset = 'injection_0.20'"""),
+        FROM rows LEFT JOIN synthetic s ON s.sid = rows.tweet_id WHERE rows.dataset = 'injection_0.20'"""),
     "sweep_posts": on_sweep(f"""
         SELECT dataset, tweet_id, {stamp('ts')} AS "timestamp", coin AS cryptocurrency, label AS finbert_label, {r6('score')} AS sentiment_score,
                {r6('conf')} AS sentiment_confidence, syn AS is_synthetic, kind AS mutation_type, family AS sweep_family,
@@ -607,7 +617,7 @@ ORACLES: dict[str, str] = {
     "transition_maps": on_sweep("""
         SELECT agent, dataset, string_agg(k || '=' || c, '|' ORDER BY k) AS transitions FROM (
           SELECT agent, dataset, act0 || '>' || act AS k, count(*) AS c FROM pairs WHERE act0 <> act GROUP BY ALL) GROUP BY ALL"""),
-    "top_flips": on_sweep("SELECT agent, dataset, top_flips FROM (" + _ADR_TABLE.replace("r.dataset, r.family", "r.dataset, r.family") + ")"),
+    "top_flips": on_sweep(f"SELECT agent, dataset, top_flips FROM ({_ADR_TABLE})"),
     "sweep_adr": on_sweep(_ADR_TABLE),
     "main_adr": on_sweep(_ADR_TABLE + " WHERE r.is_main"),
     "consensus": on_sweep(_CONSENSUS_TABLE),

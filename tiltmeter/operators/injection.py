@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.config import DEFAULT_TEXT_SYMBOL, SYNTHETIC_TEXTS, Sweep, TargetRules, ratio_key
@@ -21,44 +21,24 @@ def select_targets(windows: DataFrame, rules: TargetRules = TargetRules()) -> Da
     If no window is near-neutral, all large ones compete. Both rankings are cut in one pass: the top rows per
     (topic, near-neutral or not) are kept, map-side first, and the flag is settled on those few rows.
     """
-    per_group = Window.partitionBy("cryptocurrency", "_near").orderBy(
-        F.desc("tweet_count"), F.asc_nulls_last("abs_mean_sentiment_score"), F.asc_nulls_last("sentiment_intensity"),
-        "window_start",
-    )
-    leaders = (
-        windows.withColumn("abs_mean_sentiment_score", F.abs("mean_sentiment_score"))
-        .where(F.col("tweet_count") >= rules.min_posts)
-        .withColumn("_near", F.coalesce(F.col("abs_mean_sentiment_score") <= rules.max_abs_mean, F.lit(False)))
-        .withColumn("_rank", F.row_number().over(per_group))
-        .where(F.col("_rank") <= rules.per_topic)
-    )
-    everything = Window.partitionBy()  # at most 2 * per_topic rows per topic are left here
-    chosen = (
-        leaders.withColumn("_any_near", F.max("_near").over(everything))
-        .where(F.col("_near") == F.col("_any_near")).drop("_near", "_any_near", "_rank")
-    )
-    topic = Window.partitionBy("cryptocurrency")
-    low_first = topic.orderBy(F.asc_nulls_last("mean_sentiment_score"), "window_start")
-    directed = chosen.withColumn(
-        "adversarial_direction",
-        F.when(F.row_number().over(low_first) <= F.ceil(F.count(F.lit(1)).over(topic) / 2), POSITIVE)
-        .otherwise(NEGATIVE),
-    )
-    overall_first = everything.orderBy(
-        F.asc_nulls_last("mean_sentiment_score"), "cryptocurrency", "window_start",
-    )
-    one_sided = (
-        (F.size(F.collect_set("adversarial_direction").over(everything)) == 1)
-        & (F.count(F.lit(1)).over(everything) >= 2)
-    )
-    return directed.withColumns({
-        "_one_sided": one_sided,
-        "_half": F.row_number().over(overall_first) <= F.ceil(F.count(F.lit(1)).over(everything) / 2),
-    }).withColumn(
-        "adversarial_direction",
-        F.when(F.col("_one_sided"), F.when(F.col("_half"), POSITIVE).otherwise(NEGATIVE))
-        .otherwise(F.col("adversarial_direction")),
-    ).drop("_one_sided", "_half")
+    leaders = windows.selectExpr(
+        "*", "abs(mean_sentiment_score) AS abs_mean_sentiment_score",
+        f"coalesce(abs(mean_sentiment_score) <= {rules.max_abs_mean}D, false) AS _near",
+    ).where(f"tweet_count >= {rules.min_posts}").withColumn("_rank", F.expr("""
+        row_number() OVER (PARTITION BY cryptocurrency, _near ORDER BY tweet_count DESC,
+            abs_mean_sentiment_score NULLS LAST, sentiment_intensity NULLS LAST, window_start)""",
+    )).where(f"_rank <= {rules.per_topic}")
+    # At most 2 * per_topic rows per topic are left from here on, so they may share one task.
+    chosen = leaders.withColumn("_any_near", F.expr("max(_near) OVER ()")).where("_near = _any_near")
+    directed = chosen.withColumn("adversarial_direction", F.expr(f"""
+        if(row_number() OVER (PARTITION BY cryptocurrency ORDER BY mean_sentiment_score NULLS LAST, window_start)
+           <= ceil(count(1) OVER (PARTITION BY cryptocurrency) / 2), '{POSITIVE}', '{NEGATIVE}')"""))
+    return directed.withColumn("adversarial_direction", F.expr(f"""
+        CASE WHEN count(1) OVER () < 2 OR min(adversarial_direction) OVER () <> max(adversarial_direction) OVER ()
+             THEN adversarial_direction
+             WHEN row_number() OVER (ORDER BY mean_sentiment_score NULLS LAST, cryptocurrency, window_start)
+                  <= ceil(count(1) OVER () / 2) THEN '{POSITIVE}'
+             ELSE '{NEGATIVE}' END""")).drop("_near", "_any_near", "_rank")
 
 
 def synthetic_count(posts: Column, ratio: Column, rules: TargetRules = TargetRules()) -> Column:
@@ -88,12 +68,13 @@ def injection_plan(targets: DataFrame, sweep: Sweep = Sweep(), rules: TargetRule
     )
 
 
-def _texts() -> Column:
-    """Map 'SYMBOL_polarity' -> list of texts."""
-    pairs = []
-    for (symbol, polarity), texts in SYNTHETIC_TEXTS.items():
-        pairs += [F.lit(f"{symbol}_{polarity}"), F.array(*[F.lit(t) for t in texts])]
-    return F.create_map(*pairs)
+def _texts() -> str:
+    """SQL map of SYMBOL_polarity to its texts."""
+    entries = [
+        f"'{symbol}_{polarity}', array(" + ", ".join(f"'{body}'" for body in texts) + ")"
+        for (symbol, polarity), texts in SYNTHETIC_TEXTS.items()
+    ]
+    return f"map({', '.join(entries)})"
 
 
 def inject_posts(plan: DataFrame, seed: int = Sweep.seed) -> DataFrame:
@@ -101,47 +82,31 @@ def inject_posts(plan: DataFrame, seed: int = Sweep.seed) -> DataFrame:
 
     Offsets run from 1 to length - 1, so every post stays in its window.
     """
-    ratio_text = F.format_string("%.2f", F.col("nominal_injection_ratio"))
-    seconds = F.greatest(
-        F.lit(2), (F.unix_micros(F.col("window_end").cast("timestamp"))
-                   - F.unix_micros(F.col("window_start").cast("timestamp"))) / 1_000_000,
-    ).cast("bigint")
-    template_key = F.concat_ws("_", "cryptocurrency", "_polarity")
-    default_key = F.concat_ws("_", F.lit(DEFAULT_TEXT_SYMBOL), F.col("_polarity"))
-    rows = (
-        plan.withColumnRenamed("synthetic_count", "synthetic_count_target")
-        .where(F.col("synthetic_count_target") > 0)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("synthetic_count_target") - 1)))
-        .withColumn("_polarity", F.when(F.col("adversarial_direction") == POSITIVE, "positive").otherwise("negative"))
-        .withColumn("tweet_id", F.concat_ws(
-            ":", F.lit("synthetic:combined_adversarial"), F.concat(F.lit("r"), ratio_text),
-            "adversarial_direction", "window_id", F.col("_i").cast("string"),
-        ))
-        .withColumn("_options", F.coalesce(
-            F.try_element_at(_texts(), template_key), F.try_element_at(_texts(), default_key),
-        ))
+    numbered = plan.where("synthetic_count > 0").selectExpr(
+        "*", "synthetic_count AS synthetic_count_target", "format_string('%.2f', nominal_injection_ratio) AS _ratio",
+        f"if(adversarial_direction = '{POSITIVE}', 'positive', 'negative') AS _polarity",
+        "explode(sequence(0L, synthetic_count - 1)) AS _i",
     )
-    offset = F.pmod(keyed_draw(seed, "offset", "tweet_id"), seconds - 1) + 1
-    pick = F.pmod(keyed_draw(seed, "text", "tweet_id"), F.size("_options")) + 1
-    long_name = F.when(F.col("cryptocurrency") == "BTC", "Bitcoin").otherwise("Ethereum")
-    return rows.select(
-        "dataset", "tweet_id", F.col("tweet_id").alias("source_row_id"),
-        (F.col("window_start") + F.make_dt_interval(secs=offset)).alias("timestamp"),
-        "cryptocurrency",
-        F.element_at("_options", pick.cast("int")).alias("tweet_text"),
-        F.array(F.col("cryptocurrency"), long_name, F.lit("crypto")).alias("hashtags"),
-        F.lit("").alias("url"),
-        F.concat(F.lit("synthetic_"), F.col("_polarity")).alias("username"),
-        F.lit(True).alias("is_synthetic"),
-        F.concat(F.lit("combined_adversarial_injection_r"), ratio_text).alias("mutation_type"),
-        "adversarial_direction",
-        F.col("window_id").alias("target_window_id"),
-        F.lit("synthetic_adversarial").alias("source"),
-        template_key.alias("synthetic_template_id"),
-        "nominal_injection_ratio", "original_tweet_count", "synthetic_count_target", "actual_injection_ratio",
-        "cap_hit",
-        F.lit("injection").alias("sweep_family"),
-        F.col("nominal_injection_ratio").alias("sweep_strength"),
+    named = numbered.selectExpr(
+        "*", "concat_ws(':', 'synthetic:combined_adversarial', concat('r', _ratio), adversarial_direction, window_id,"
+             " string(_i)) AS tweet_id",
+        f"coalesce(try_element_at({_texts()}, concat_ws('_', cryptocurrency, _polarity)),"
+        f" try_element_at({_texts()}, concat_ws('_', '{DEFAULT_TEXT_SYMBOL}', _polarity))) AS _options",
+        "greatest(2L, timestampdiff(SECOND, window_start, window_end)) AS _seconds",
+    ).withColumns({
+        "_offset": keyed_draw(seed, "offset", "tweet_id"), "_pick": keyed_draw(seed, "text", "tweet_id"),
+    })
+    return named.selectExpr(
+        "dataset", "tweet_id", "tweet_id AS source_row_id",
+        "window_start + make_dt_interval(0, 0, 0, pmod(_offset, _seconds - 1) + 1) AS timestamp",
+        "cryptocurrency", "element_at(_options, int(pmod(_pick, size(_options)) + 1)) AS tweet_text",
+        "array(cryptocurrency, if(cryptocurrency = 'BTC', 'Bitcoin', 'Ethereum'), 'crypto') AS hashtags",
+        "'' AS url", "concat('synthetic_', _polarity) AS username", "true AS is_synthetic",
+        "concat('combined_adversarial_injection_r', _ratio) AS mutation_type", "adversarial_direction",
+        "window_id AS target_window_id", "'synthetic_adversarial' AS source",
+        "concat_ws('_', cryptocurrency, _polarity) AS synthetic_template_id", "nominal_injection_ratio",
+        "original_tweet_count", "synthetic_count_target", "actual_injection_ratio", "cap_hit",
+        "'injection' AS sweep_family", "nominal_injection_ratio AS sweep_strength",
     )
 
 

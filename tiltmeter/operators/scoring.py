@@ -21,24 +21,19 @@ BatchScorer = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 _PROBABILITIES = "positive double, neutral double, negative double"
 
 
-def count_words(text: Column, words: Sequence[str]) -> Column:
-    """How many tokens of the whole text are in `words`."""
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
-    return F.size(F.filter(tokens, lambda token: token.isin(list(words))))
-
-
 def lexicon_probabilities(
     text: Column, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
-    """Class probabilities from word counts, with one count reserved for neutral."""
-    return F.transform(
-        F.array(F.struct(count_words(text, positive).alias("p"), count_words(text, negative).alias("n"))),
-        lambda c: F.struct(
-            (c["p"] / (c["p"] + c["n"] + 1)).alias("positive"),
-            (F.lit(1) / (c["p"] + c["n"] + 1)).alias("neutral"),
-            (c["n"] / (c["p"] + c["n"] + 1)).alias("negative"),
-        ),
-    )[0]
+    """Class probabilities from word counts over the whole text, with one count reserved for neutral."""
+    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
+    counts = F.transform(F.array(tokens), lambda words: F.struct(
+        F.size(F.filter(words, lambda t: t.isin(list(positive)))).alias("p"),
+        F.size(F.filter(words, lambda t: t.isin(list(negative)))).alias("n"),
+    ))
+    return F.transform(counts, lambda c: F.struct(
+        (c["p"] / (c["p"] + c["n"] + 1)).alias("positive"), (1 / (c["p"] + c["n"] + 1)).alias("neutral"),
+        (c["n"] / (c["p"] + c["n"] + 1)).alias("negative"),
+    ))[0]
 
 
 def model_probabilities(text: Column, factory: Callable[[], BatchScorer], batch_size: int = 64) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltmeter.config import LABELS, NegativeCuts, RegimeRules, require_columns
-from tiltmeter.functions.labels import dominant
-from tiltmeter.functions.numeric import clean_double, share, share_text
+from tiltmeter.functions.numeric import clean_double, share_text
 from tiltmeter.functions.quantiles import exact_percentiles
 
 WINDOW_COLUMNS = (
@@ -18,47 +17,43 @@ WINDOW_COLUMNS = (
 )
 
 
-def window_id(topic: Column, start: Column) -> Column:
-    return F.concat_ws("_", topic, F.date_format(start, "yyyyMMdd'T'HHmmss'Z'"))
+WINDOW_ID = "concat_ws('_', cryptocurrency, date_format(window_start, \"yyyyMMdd'T'HHmmss'Z'\"))"
+
+# Counts of a group of posts.
+COUNTS = (
+    "count(1) AS tweet_count",
+    "count_if(coalesce(is_synthetic, false)) AS synthetic_count",
+    *[f"count_if(lower(finbert_label) = '{name}') AS {name}_count" for name in LABELS],
+)
 
 
-def count_columns() -> list[Column]:
-    """Post, synthetic and per-label counts of a group."""
-    label = F.lower("finbert_label")
-    return [
-        F.count(F.lit(1)).alias("tweet_count"),
-        F.count_if(F.coalesce(F.col("is_synthetic"), F.lit(False))).alias("synthetic_count"),
-        *[F.count_if(label == name).alias(f"{name}_count") for name in LABELS],
-    ]
+def exprs(*texts: str) -> list[Column]:
+    return [F.expr(t) for t in texts]
 
 
 def regime(rules: RegimeRules = RegimeRules()) -> Column:
     """First matching description of a window's mood."""
-    positive, negative = F.col("positive_ratio"), F.col("negative_ratio")
-    calm = (
-        (F.abs("mean_sentiment_score") <= rules.neutral_abs_mean)
-        & (positive < rules.neutral_max_ratio) & (negative < rules.neutral_max_ratio)
-    )
-    return (
-        F.when(F.col("tweet_count") < rules.min_posts, "sparse")
-        .when((positive >= rules.conflict_ratio) & (negative >= rules.conflict_ratio), "high_conflict")
-        .when(calm, "neutral")
-        .when(positive >= rules.skew_ratio, "positive_skew")
-        .when(negative >= rules.skew_ratio, "negative_skew")
-        .otherwise("mixed")
-    )
+    return F.expr(f"""
+        CASE WHEN tweet_count < {rules.min_posts} THEN 'sparse'
+             WHEN positive_ratio >= {rules.conflict_ratio}D AND negative_ratio >= {rules.conflict_ratio}D THEN 'high_conflict'
+             WHEN abs(mean_sentiment_score) <= {rules.neutral_abs_mean}D AND positive_ratio < {rules.neutral_max_ratio}D
+              AND negative_ratio < {rules.neutral_max_ratio}D THEN 'neutral'
+             WHEN positive_ratio >= {rules.skew_ratio}D THEN 'positive_skew'
+             WHEN negative_ratio >= {rules.skew_ratio}D THEN 'negative_skew'
+             ELSE 'mixed' END""")
 
 
-def describe_windows(df: DataFrame, rules: RegimeRules = RegimeRules()) -> DataFrame:
+def describe_windows(df: DataFrame, rules: RegimeRules = RegimeRules(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Complete grouped windows (start, end, counts, score statistics) with id, ratios, label and regime."""
-    total = F.col("tweet_count")
-    full = df.withColumns({
-        "window_id": window_id(F.col("cryptocurrency"), F.col("window_start")),
-        **{f"{name}_ratio": share(F.col(f"{name}_count"), total) for name in LABELS},
-        "dominant_label": dominant(*[F.col(f"{name}_count") for name in LABELS]),
-    }).withColumn("regime", regime(rules))
-    rest = [c for c in df.columns if c not in WINDOW_COLUMNS]
-    return full.select(*rest, *WINDOW_COLUMNS)
+    ratios = [f"if(tweet_count > 0, {name}_count / tweet_count, 0D) AS {name}_ratio" for name in LABELS]
+    told = df.selectExpr(
+        *keep, f"{WINDOW_ID} AS window_id", "window_start", "window_end", "cryptocurrency", "tweet_count",
+        "synthetic_count", *[f"{name}_count" for name in LABELS], *ratios, "mean_sentiment_score", "sentiment_std",
+        "sentiment_intensity", "mean_sentiment_confidence",
+        """CASE greatest(positive_count, neutral_count, negative_count)
+           WHEN positive_count THEN 'positive' WHEN neutral_count THEN 'neutral' ELSE 'negative' END AS dominant_label""",
+    )
+    return told.withColumn("regime", regime(rules))
 
 
 def window_features(df: DataFrame, freq: str, rules: RegimeRules = RegimeRules()) -> DataFrame:
@@ -80,16 +75,14 @@ def window_features(df: DataFrame, freq: str, rules: RegimeRules = RegimeRules()
                 score.alias("_score"), confidence.alias("_confidence"))
         .groupBy(*keys, "cryptocurrency", F.window("timestamp", freq).alias("_window"))
         .agg(
-            *count_columns(),
-            F.avg("_score").alias("mean_sentiment_score"),
-            F.stddev_pop("_score").alias("sentiment_std"),
-            F.avg(F.abs("_score")).alias("sentiment_intensity"),
-            F.avg("_confidence").alias("mean_sentiment_confidence"),
+            *exprs(
+                *COUNTS, "avg(_score) AS mean_sentiment_score", "stddev_pop(_score) AS sentiment_std",
+                "avg(abs(_score)) AS sentiment_intensity", "avg(_confidence) AS mean_sentiment_confidence",
+            )
         )
         .withColumns({"window_start": F.col("_window.start"), "window_end": F.col("_window.end")})
-        .drop("_window")
     )
-    return describe_windows(grouped, rules)
+    return describe_windows(grouped, rules, keep=tuple(keys))
 
 
 def regime_counts(windows: DataFrame) -> DataFrame:

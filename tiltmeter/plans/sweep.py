@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.config import BASELINE, LABELS, Experiment, require_columns
-from tiltmeter.functions.numeric import clean_double
+from tiltmeter.functions.numeric import clean_double, keyed_draw
 from tiltmeter.operators.injection import inject_posts, injection_plan, select_targets
-from tiltmeter.operators.perturb import amplified, moved, shift_minutes, sweep_rows
+from tiltmeter.operators.perturb import sweep_rows
 from tiltmeter.operators.scoring import add_scores, lexicon_probabilities
-from tiltmeter.operators.windows import WINDOW_COLUMNS, count_columns, describe_windows, window_features
+from tiltmeter.operators.windows import COUNTS, WINDOW_COLUMNS, describe_windows, exprs, window_features
 from tiltmeter.session import stage
 
 _COUNTS = ("tweet_count", "synthetic_count", *[f"{name}_count" for name in LABELS])
@@ -49,80 +49,80 @@ def _observed_windows(scored: DataFrame, experiment: Experiment) -> DataFrame:
     require_columns(scored.columns, ["tweet_id", "timestamp", "cryptocurrency", "finbert_label", "sentiment_score"])
     confidence = clean_double("sentiment_confidence") if "sentiment_confidence" in scored.columns else F.lit(None).cast("double")
     synthetic = F.col("is_synthetic") if "is_synthetic" in scored.columns else F.lit(False)
-    slots = [F.struct(F.lit(0).alias("minutes"), F.col("timestamp").alias("time"))]
-    slots += [
-        F.struct(F.lit(m).alias("minutes"), moved(F.col("timestamp"), shift_minutes(m, sweep.seed)).alias("time"))
-        for m in sweep.jitters
-    ]
-    posts = scored.where(F.col("timestamp").isNotNull()).select(
-        "cryptocurrency", "finbert_label", synthetic.alias("is_synthetic"),
+    # One draw per post serves all jitters, so it is taken before the post is expanded.
+    posts = scored.where("timestamp IS NOT NULL").select(
+        "timestamp", "cryptocurrency", "finbert_label", synthetic.alias("is_synthetic"),
         clean_double("sentiment_score").alias("_score"), confidence.alias("_confidence"),
-        F.inline(F.array(*slots)),
+        keyed_draw(sweep.seed, "jitter", "tweet_id").alias("_draw"),
     )
-    unmoved = F.col("minutes") == 0
-    readings = {1.0: F.col("_score")}
-    readings |= {f: F.when(unmoved, amplified(F.col("_score"), f)) for f in sweep.factors}
-    statistics = []
-    for factor, value in readings.items():
-        statistics += [
-            F.avg(value).alias(f"mean_{factor}"), F.stddev_pop(value).alias(f"std_{factor}"),
-            F.avg(F.abs(value)).alias(f"abs_{factor}"),
-        ]
-    grouped = posts.groupBy("minutes", "cryptocurrency", F.window("time", experiment.freq).alias("_window")).agg(
-        *count_columns(), F.count("_score").alias("_scored"), F.count("_confidence").alias("_confident"),
-        F.avg("_confidence").alias("mean_sentiment_confidence"), *statistics,
+    slots = ["struct(0 AS minutes, timestamp AS time)"] + [
+        f"struct({m} AS minutes, timestamp + make_dt_interval(0, 0, int(pmod(_draw, {2 * m + 1}) - {m})) AS time)"
+        for m in sweep.jitters
+    ]
+    expanded = posts.selectExpr(
+        "cryptocurrency", "finbert_label", "is_synthetic", "_score", "_confidence", f"inline(array({', '.join(slots)}))",
     )
+    readings = {"r0": "_score"} | {
+        f"r{i}": f"if(minutes = 0 AND _score IS NOT NULL, greatest(-1D, least(1D, _score * {f}D)), NULL)"
+        for i, f in enumerate(sweep.factors, start=1)
+    }
+    statistics = [
+        f"{fn.format(value)} AS {prefix}_{name}" for name, value in readings.items()
+        for prefix, fn in (("mean", "avg({})"), ("std", "stddev_pop({})"), ("abs", "avg(abs({}))"))
+    ]
+    grouped = expanded.groupBy("minutes", "cryptocurrency", F.window("time", experiment.freq).alias("_window")).agg(*exprs(
+        *COUNTS, "count(_score) AS _scored", "count(_confidence) AS _confident",
+        "avg(_confidence) AS mean_sentiment_confidence", *statistics,
+    ))
 
-    def reading(dataset: str, factor: float) -> Column:
-        return F.struct(
-            F.lit(dataset).alias("dataset"), F.col(f"`mean_{factor}`").alias("mean_sentiment_score"),
-            F.col(f"`std_{factor}`").alias("sentiment_std"), F.col(f"`abs_{factor}`").alias("sentiment_intensity"),
+    def reading(dataset: str, name: str) -> str:
+        return (
+            f"struct('{dataset}' AS dataset, mean_{name} AS mean_sentiment_score, std_{name} AS sentiment_std,"
+            f" abs_{name} AS sentiment_intensity)"
         )
 
-    datasets = F.when(unmoved, F.array(
-        reading(BASELINE, 1.0), *[reading(sweep.sentiment_name(f), f) for f in sweep.factors],
-    ))
-    for m in sweep.jitters:
-        datasets = datasets.when(F.col("minutes") == m, F.array(reading(sweep.jitter_name(m), 1.0)))
-    return grouped.select(
-        "cryptocurrency", F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"),
-        *_COUNTS, *_WEIGHTS, "mean_sentiment_confidence", F.inline(datasets),
+    same = [reading(BASELINE, "r0")] + [
+        reading(sweep.sentiment_name(f), f"r{i}") for i, f in enumerate(sweep.factors, start=1)
+    ]
+    moved = " ".join(f"WHEN {m} THEN array({reading(sweep.jitter_name(m), 'r0')})" for m in sweep.jitters)
+    return grouped.selectExpr(
+        "cryptocurrency", "_window.start AS window_start", "_window.end AS window_end", *_COUNTS, *_WEIGHTS,
+        "mean_sentiment_confidence", f"inline(CASE minutes WHEN 0 THEN array({', '.join(same)}) {moved} END)",
     )
 
 
 def _synthetic_windows(synthetic: DataFrame, freq: str) -> DataFrame:
     """Counts and score statistics of the synthetic posts alone."""
-    return synthetic.groupBy("dataset", "cryptocurrency", F.window("timestamp", freq).alias("_window")).agg(
-        *[c.alias(f"s_{name}") for c, name in zip(count_columns(), _COUNTS)],
-        F.avg("sentiment_score").alias("s_mean"), F.var_pop("sentiment_score").alias("s_var"),
-        F.avg(F.abs("sentiment_score")).alias("s_abs"), F.avg("sentiment_confidence").alias("s_confidence"),
-    ).withColumn("window_start", F.col("_window.start")).drop("_window")
+    grouped = synthetic.groupBy("dataset", "cryptocurrency", F.window("timestamp", freq).alias("_window")).agg(*exprs(
+        *[text.replace(" AS ", " AS s_") for text in COUNTS], "avg(sentiment_score) AS s_mean",
+        "var_pop(sentiment_score) AS s_var", "avg(abs(sentiment_score)) AS s_abs",
+        "avg(sentiment_confidence) AS s_confidence",
+    ))
+    return grouped.withColumn("window_start", F.col("_window.start")).drop("_window")
 
 
 def _merged(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Windows of two disjoint sets of posts as if aggregated together (pooled mean and variance)."""
-    hit = F.col("s_tweet_count").isNotNull()
-    n1, n2 = F.col("_scored"), F.col("s_tweet_count")
-    m1, m2 = F.coalesce("mean_sentiment_score", F.lit(0.0)), F.col("s_mean")
-    v1 = F.coalesce(F.pow("sentiment_std", F.lit(2)), F.lit(0.0))
-    n = n1 + n2
+    def pooled(mine: str, weight: str, other: str) -> str:
+        return f"(coalesce({mine}, 0D) * {weight} + {other} * s_tweet_count) / ({weight} + s_tweet_count)"
 
-    def pooled(a: Column, na: Column, b: Column, nb: Column) -> Column:
-        return (F.coalesce(a, F.lit(0.0)) * na + b * nb) / (na + nb)
-
-    variance = (v1 * n1 + F.col("s_var") * n2 + F.pow(m1 - m2, F.lit(2)) * n1 * n2 / n) / n
+    variance = """
+        (coalesce(pow(sentiment_std, 2), 0D) * _scored + s_var * s_tweet_count
+         + pow(coalesce(mean_sentiment_score, 0D) - s_mean, 2) * _scored * s_tweet_count / (_scored + s_tweet_count))
+        / (_scored + s_tweet_count)"""
     updates = {
-        "mean_sentiment_score": pooled(m1, n1, m2, n2),
-        "sentiment_std": F.sqrt(variance),
-        "sentiment_intensity": pooled(F.col("sentiment_intensity"), n1, F.col("s_abs"), n2),
-        "mean_sentiment_confidence": pooled(
-            F.col("mean_sentiment_confidence"), F.col("_confident"), F.col("s_confidence"), n2,
-        ),
-        **{c: F.col(c) + F.col(f"s_{c}") for c in _COUNTS},
+        "mean_sentiment_score": pooled("mean_sentiment_score", "_scored", "s_mean"),
+        "sentiment_std": f"sqrt({variance})",
+        "sentiment_intensity": pooled("sentiment_intensity", "_scored", "s_abs"),
+        "mean_sentiment_confidence": pooled("mean_sentiment_confidence", "_confident", "s_confidence"),
+        **{c: f"{c} + s_{c}" for c in _COUNTS},
     }
     # Synthetic windows are bounded by targets per topic times ratios, whatever the size of the stream.
     joined = base.join(F.broadcast(extra), ["dataset", "cryptocurrency", "window_start"], "left")
-    return joined.withColumns({c: F.when(hit, new).otherwise(F.col(c)) for c, new in updates.items()})
+    return joined.selectExpr(
+        "dataset", "cryptocurrency", "window_start", "window_end",
+        *[f"if(s_tweet_count IS NULL, {c}, {new}) AS {c}" for c, new in updates.items()],
+    )
 
 
 def run_sweep(
@@ -135,7 +135,7 @@ def run_sweep(
     """
     sweep = experiment.sweep
     observed = stage(
-        describe_windows(_observed_windows(scored, experiment), experiment.regimes), "windows",
+        describe_windows(_observed_windows(scored, experiment), experiment.regimes, ("dataset", *_WEIGHTS)), "windows",
     )
     baseline = observed.where(F.col("dataset") == BASELINE)
     targets = select_targets(baseline.select(*WINDOW_COLUMNS), experiment.targets)
@@ -143,7 +143,9 @@ def run_sweep(
     synthetic = add_scores(inject_posts(plan, sweep.seed), probabilities or default_scorer(experiment))
     names = F.array(*[F.lit(sweep.injection_name(r)) for r in sweep.ratios])
     copies = baseline.withColumn("dataset", F.explode(names))
-    injected = describe_windows(_merged(copies, _synthetic_windows(synthetic, experiment.freq)), experiment.regimes)
+    injected = describe_windows(
+        _merged(copies, _synthetic_windows(synthetic, experiment.freq)), experiment.regimes, ("dataset",),
+    )
     columns = ["dataset", *WINDOW_COLUMNS]
     windows = observed.select(*columns).unionByName(injected.select(*columns))
     return SweepTables(windows, targets, plan, synthetic)
