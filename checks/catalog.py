@@ -16,7 +16,7 @@ from tiltmeter.functions import labels, numeric, text
 from tiltmeter.functions.ordering import global_index
 from tiltmeter.operators import cleaning, compare, decisions, injection, perturb, pnl, reports, scoring, steps, windows
 from tiltmeter.plans.sweep import SweepTables, default_scorer, run_sweep, run_sweep_rows
-from tiltmeter.session import staging_path
+from tiltmeter.session import stage, staging_path
 from tiltmeter.sources import demo, posts, registry, sinks
 from tiltmeter.streaming.windows import decide_stream, start_decisions
 
@@ -524,7 +524,7 @@ def load_summary(spark, folder):
 
 @query
 def negative_summary(spark, folder):
-    return windows.negative_summary(sweep(spark, folder).windows)
+    return windows.negative_summary(stage(sweep(spark, folder).windows, "sweep-windows"))
 
 
 @query

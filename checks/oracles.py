@@ -435,7 +435,10 @@ ORACLES: dict[str, str] = {
                  count(*) FILTER (WHERE adv = 'negative_injection') AS negative_rows FROM rows GROUP BY ALL) c ON c.dataset = r.dataset"""),
     "qa_violations": on_sweep("""
         SELECT dataset, 'row count changed' AS reason FROM (SELECT dataset, count(*) FILTER (WHERE NOT syn) AS c FROM rows GROUP BY ALL)
-        WHERE c <> (SELECT count(*) FROM scored)"""),
+        WHERE c <> (SELECT count(*) FROM scored)
+        UNION ALL
+        SELECT r.dataset, 'one direction only' FROM registry r WHERE r.family = 'injection'
+          AND (SELECT count(DISTINCT adv) FROM rows WHERE rows.dataset = r.dataset AND syn) < 2"""),
     # cleaning and text
     "normalize_text": on_docs("SELECT doc_id, trim(squeezed) AS text FROM docs"),
     "parse_tags": """

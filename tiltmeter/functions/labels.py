@@ -41,3 +41,8 @@ def action_from_label(label: Column) -> Column:
 def direction(action: Column) -> Column:
     """+1, -1 or 0 for BUY, SELL or HOLD."""
     return F.when(action == "BUY", 1).when(action == "SELL", -1).when(action == "HOLD", 0)
+
+
+def action_of(sign: Column) -> Column:
+    """Inverse of `direction`."""
+    return F.when(sign == 1, "BUY").when(sign == -1, "SELL").when(sign == 0, "HOLD")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltmeter.config import ACTIONS, BASELINE, FAMILIES, MODEL_AGENT, RULE_AGENT, TargetRules
-from tiltmeter.functions.labels import direction
+from tiltmeter.functions.labels import action_of, direction
 from tiltmeter.functions.numeric import percent
 from tiltmeter.functions.ordering import grouped_index
 
@@ -128,14 +128,18 @@ def sweep_adr(decisions: DataFrame, registry: DataFrame) -> DataFrame:
 
 def paired_agents(decisions: DataFrame, first: str = RULE_AGENT, second: str = MODEL_AGENT) -> DataFrame:
     """One row per (dataset, window) with both agents' decisions; windows one agent lacks are left out."""
-    def of(agent: str, column: str) -> Column:
-        return F.max(F.when(F.col("agent") == agent, F.col(column)))
-
-    return decisions.groupBy("dataset", "window_id", "cryptocurrency").agg(
-        of(first, "window_start").alias("window_start"),
-        of(first, "action_taken").alias("action_first"), of(second, "action_taken").alias("action_second"),
-        of(first, "oracle_triggered").alias("override_first"), of(second, "oracle_triggered").alias("override_second"),
-    ).where(F.col("action_first").isNotNull() & F.col("action_second").isNotNull())
+    def of(agent: str, value: Column) -> Column:
+        return F.max(F.when(F.col("agent") == agent, value))
+
+    # Numbers rather than names keep the aggregate hash-based.
+    code, override = direction(F.col("action_taken")), F.col("oracle_triggered")
+    pairs = decisions.groupBy("dataset", "window_id", "cryptocurrency", "window_start").agg(
+        of(first, code).alias("_first"), of(second, code).alias("_second"),
+        of(first, override).alias("override_first"), of(second, override).alias("override_second"),
+    ).where(F.col("_first").isNotNull() & F.col("_second").isNotNull())
+    return pairs.withColumns({
+        "action_first": action_of(F.col("_first")), "action_second": action_of(F.col("_second")),
+    }).drop("_first", "_second")
 
 
 def consensus(

@@ -215,19 +215,21 @@ def decide_bucketed(
     text = strip(F.coalesce(F.col(text_col), F.lit("")))
     if max_chars is not None:
         text = F.left(text, F.lit(max_chars))
-    keys = ["_text_md5", "_rsi_bucket", "_volatility_bucket"]
-    keyed = steps.withColumns({
-        "_text_md5": F.md5(text),
+    bucketed_steps = steps.withColumns({
+        "_text": text,
         "_rsi_bucket": bucketed(F.col("rsi_technical_indicator"), width),
         "_volatility_bucket": bucketed(F.col("volatility_index"), width),
     })
-    askers = keyed.groupBy(*keys).agg(
+    askers = bucketed_steps.groupBy("_text", "_rsi_bucket", "_volatility_bucket").agg(
         F.min("step").alias("asked_at"),
         F.min_by("rsi_technical_indicator", "step").alias("_rsi"),
         F.min_by("volatility_index", "step").alias("_volatility"),
-        F.first(text).alias("_text"),
     )
-    answers = askers.withColumn("_answer", decide(F.col("_text"), F.col("_rsi"), F.col("_volatility")))
+    keys = ["_text_md5", "_rsi_bucket", "_volatility_bucket"]
+    answers = askers.withColumns({
+        "_answer": decide(F.col("_text"), F.col("_rsi"), F.col("_volatility")), "_text_md5": F.md5("_text"),
+    })
+    keyed = bucketed_steps.withColumn("_text_md5", F.md5("_text")).drop("_text")
     joined = keyed.join(answers.select(*keys, "asked_at", "_answer"), keys).drop(*keys)
     decided = _with_override(joined, MODEL_AGENT, F.col("_answer"), policy)
     return decided.withColumn("cached", F.col("asked_at") != F.col("step")).withColumn("reasoning", F.concat(

@@ -74,16 +74,15 @@ def score_distinct(
 ) -> tuple[DataFrame, DataFrame]:
     """Score every distinct text once; returns the scored rows and the grown cache (text, scores).
 
-    Texts are matched by a 128-bit digest, so the long strings are shuffled once. Copies collapse map-side
-    before scoring; in the join back, a text with very many copies is one small row on the cache side, and
-    adaptive skew handling may split its rows.
+    Copies collapse map-side before the distinct texts are shuffled. The join back goes by a 128-bit digest; a
+    text with very many copies is one small row on the cache side, so adaptive skew handling can split its rows.
     """
     known_columns = ["text_md5", "text", *SCORE_COLUMNS]
-    keyed = df.withColumn("_text", text_key(text_col, max_chars)).withColumn("text_md5", F.md5("_text"))
-    fresh = keyed.groupBy("text_md5").agg(F.first("_text").alias("text"))
+    keyed = df.withColumn("_text", text_key(text_col, max_chars))
+    fresh = keyed.select(F.col("_text").alias("text")).distinct().withColumn("text_md5", F.md5("text"))
     if cache is not None:
         fresh = fresh.join(cache.select("text_md5"), "text_md5", "left_anti")
     scored = stage(add_scores(fresh, probabilities, "text").select(*known_columns), "scores")
     grown = scored if cache is None else reduce(DataFrame.unionByName, [cache.select(*known_columns), scored])
-    rows = keyed.drop("_text").join(grown.drop("text"), "text_md5").drop("text_md5")
-    return rows, grown
+    rows = keyed.withColumn("text_md5", F.md5("_text")).drop("_text").join(grown.drop("text"), "text_md5")
+    return rows.drop("text_md5"), grown
