@@ -100,7 +100,7 @@ def lean_answer() -> Column:
 
 
 def both_agents(table: DataFrame) -> DataFrame:
-    return decisions.rule_agent(table).unionByName(decisions.model_agent(table, lean_answer()))
+    return decisions.rule_and_model(table, lean_answer())
 
 
 def sweep_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,12 +117,17 @@ def word_scorer(col: Column) -> Column:
 
 def labelled_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as labelled posts in time order."""
-    scored_docs = scoring.add_scores(raw(spark, folder).withColumn("tweet_text", text.strip("Content")), word_scorer)
-    chosen = scored_docs.select(
-        "index", F.try_to_timestamp("Date").alias("timestamp"), "tweet_text", F.col("finbert_label").alias("label"),
+    # Positions first: placing rows reads them twice, so the costly scoring comes after.
+    placed = global_index(
+        raw(spark, folder).select(
+            "index", F.try_to_timestamp("Date").alias("timestamp"), F.col("Content").alias("tweet_text"), "Hashtags",
+        ), ["timestamp", "index"],
+    )
+    labelled = scoring.add_scores(placed, word_scorer)
+    return labelled.select(
+        "index", "timestamp", text.strip("tweet_text").alias("tweet_text"), F.col("finbert_label").alias("label"), "step",
         text.tag_symbol(text.parse_tags("Hashtags"), SYMBOLS, "CRYPTO").alias("cryptocurrency"),
     )
-    return global_index(chosen, ["timestamp", "index"])
 
 
 def with_text_digest(df: DataFrame) -> DataFrame:
@@ -747,7 +752,10 @@ def step_index(spark, folder):
 @query
 def pnl_steps(spark, folder):
     loaded = posts.load_steps(market(spark, folder).withColumnRenamed("step", "event_id"), "event_id")
-    logs = decisions.step_rule_agent(loaded).unionByName(decisions.composite_agent(loaded), allowMissingColumns=True)
+    logs = decisions.step_logs(loaded, {
+        "deterministic": decisions.step_rule(),
+        "composite": labels.action_from_label(decisions.composite_parts()["raw_label"]),
+    })
     return pnl.with_running_pnl(logs, ["agent"]).select("agent", "step", "action_taken", "pnl", "cum_pnl")
 
 

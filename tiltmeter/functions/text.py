@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ def as_col(col: Column | str) -> Column:
 _SPACE = r"[\s\x1c-\x1f]+"
 
 
+# Matches a text that is more than whitespace.
+HAS_TEXT = r"(?U)[^\s\x1c-\x1f]"
+
+
 def strip(col: Column | str) -> Column:
     return F.regexp_replace(as_col(col), rf"(?U)^{_SPACE}|{_SPACE}$", "")
 
@@ -58,11 +63,14 @@ def parse_tags(col: Column | str) -> Column:
 def detect_topics(tags: Column, text: Column, topics: Mapping[str, Sequence[str]]) -> Column:
     """Symbols named by the tags or, as whole words, by the text; in the order of `topics`."""
     plain = F.transform(tags, lambda tag: F.regexp_replace(F.lower(tag), "^#+", ""))
+    low = F.lower(text)
     hits = []
     for symbol, words in topics.items():
         aliases = F.array(*[F.lit(w.lower()) for w in words])
-        pattern = r"(?iU)\b(?:" + "|".join(words) + r")\b"
-        hits.append(F.when(F.arrays_overlap(plain, aliases) | text.rlike(pattern), F.lit(symbol)))
+        # A plain substring search rules out most texts before the pattern runs.
+        maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words])
+        whole = low.rlike(r"(?U)\b(?:" + "|".join(w.lower() for w in words) + r")\b")
+        hits.append(F.when(F.arrays_overlap(plain, aliases) | (maybe & whole), F.lit(symbol)))
     return F.array_compact(F.array(*hits))
 
 

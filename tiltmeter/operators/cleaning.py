@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiltmeter.config import BASELINE, TOPICS, require_columns
-from tiltmeter.functions.text import detect_topics, normalize_text, parse_tags
+from tiltmeter.functions.text import HAS_TEXT, detect_topics, normalize_text, parse_tags
 from tiltmeter.schemas import CLEAN_POST
 
 ID_COLUMNS = ("", "_c0", "Unnamed: 0", "index")
@@ -39,17 +39,16 @@ def prepare_posts(df: DataFrame) -> DataFrame:
     def optional(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
 
+    time = _as_time(df, "Date")
+    # Both filters look at the raw fields: a filter on the normalised text would normalise every text twice.
     return (
-        df.select(
-            source_row_id(df).alias("source_row_id"),
-            _as_time(df, "Date").alias("timestamp"),
-            normalize_text("Content").alias("tweet_text"),
-            parse_tags(optional("Hashtags")).alias("hashtags"),
-            optional("URL").alias("url"),
-            optional("Username").alias("username"),
+        df.where(time.isNotNull() & F.coalesce(F.col("Content"), F.lit("")).rlike(HAS_TEXT))
+        .select(
+            source_row_id(df).alias("source_row_id"), time.alias("timestamp"),
+            normalize_text("Content").alias("tweet_text"), parse_tags(optional("Hashtags")).alias("hashtags"),
+            optional("URL").alias("url"), optional("Username").alias("username"),
             *[c for c in df.columns if c.startswith("_source_")],
         )
-        .where(F.col("timestamp").isNotNull() & (F.length("tweet_text") > 0))
     )
 
 
@@ -57,14 +56,11 @@ def explode_topics(
     posts: DataFrame, topics: Mapping[str, Sequence[str]] = TOPICS, *, explode_multi_topic: bool = True,
 ) -> DataFrame:
     """One row per post and detected topic, or one row under a joined symbol; posts without a topic go."""
-    found = posts.withColumn("_topics", detect_topics(F.col("hashtags"), F.col("tweet_text"), topics))
-    found = found.where(F.size("_topics") > 0)
-    if explode_multi_topic:
-        topic = F.explode("_topics")
-    else:
-        topic = F.array_join("_topics", "_")
+    topics_found = detect_topics(F.col("hashtags"), F.col("tweet_text"), topics)
+    # The outer form keeps the optimizer from adding a size filter that would run the detection again.
+    named = F.explode_outer(topics_found) if explode_multi_topic else F.nullif(F.array_join(topics_found, "_"), F.lit(""))
     return (
-        found.withColumn("cryptocurrency", topic).drop("_topics")
+        posts.select("*", named.alias("cryptocurrency")).where(F.col("cryptocurrency").isNotNull())
         .withColumn("tweet_id", F.concat_ws(":", "source_row_id", "cryptocurrency"))
     )
 

@@ -77,21 +77,30 @@ def decision_question(max_chars: int | None = None) -> Column:
     )
 
 
-def trajectory(windows: DataFrame, agent: str, action: Column, policy: WindowPolicy = WindowPolicy()) -> DataFrame:
-    """One agent's decisions: its own choice, then the risk override."""
+def trajectories(
+    windows: DataFrame, choices: Mapping[str, Column], policy: WindowPolicy = WindowPolicy(),
+) -> DataFrame:
+    """Decisions of several agents over one pass of the windows: own choice, then the risk override.
+
+    `choices` maps an agent to the column with its action.
+    """
     if "dataset" not in windows.columns:
         windows = windows.withColumn("dataset", F.lit(""))
+    per_agent = F.array(*[
+        F.struct(F.lit(agent).alias("agent"), action.alias("policy_action")) for agent, action in choices.items()
+    ])
     return windows.select(
         "window_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "cryptocurrency",
         "tweet_count", F.col("mean_sentiment_score").alias("mean_sentiment"), "sentiment_std", "positive_ratio",
-        "negative_ratio", "synthetic_count", action.alias("policy_action"),
-        F.when(window_risk(policy), "HOLD").otherwise(action).alias("action_taken"),
-        window_risk(policy).alias("oracle_triggered"), F.lit(agent).alias("agent"), "dataset",
-    )
+        "negative_ratio", "synthetic_count", window_risk(policy).alias("oracle_triggered"), "dataset",
+        F.inline(per_agent),
+    ).withColumn(
+        "action_taken", F.when(F.col("oracle_triggered"), "HOLD").otherwise(F.col("policy_action")),
+    ).select(*TRAJECTORY.names)
 
 
 def rule_agent(windows: DataFrame, policy: WindowPolicy = WindowPolicy()) -> DataFrame:
-    return trajectory(windows, RULE_AGENT, window_policy(policy), policy)
+    return trajectories(windows, {RULE_AGENT: window_policy(policy)}, policy)
 
 
 def answered(question: Column, factory: Callable[[], Answer], batch_size: int = 64) -> Column:
@@ -112,10 +121,24 @@ def model_agent(
     agent: str = MODEL_AGENT,
 ) -> DataFrame:
     """Render each window, ask a model (or take a native answer column), read the action from the reply."""
+    return trajectories(*asked(windows, answer, agent), policy)
+
+
+def asked(
+    windows: DataFrame, answer: Callable[[], Answer] | Column, agent: str = MODEL_AGENT,
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Windows with the model's reply, and the choice read from it, for `trajectories`."""
     if not isinstance(answer, Column):
         answer = answered(F.replace(F.lit(WINDOW_QUESTION), F.lit("%s"), window_text()), answer)
-    ready = windows.withColumn("_choice", answer_action(answer))
-    return trajectory(ready, agent, F.col("_choice"), policy)
+    return windows.withColumn("_answer", answer), {agent: answer_action("_answer")}
+
+
+def rule_and_model(
+    windows: DataFrame, answer: Callable[[], Answer] | Column, policy: WindowPolicy = WindowPolicy(),
+) -> DataFrame:
+    """Both agents' decisions from one pass over the windows."""
+    ready, choice = asked(windows, answer)
+    return trajectories(ready, {RULE_AGENT: window_policy(policy)} | choice, policy)
 
 
 def step_rule(policy: StepPolicy = StepPolicy()) -> Column:
@@ -187,6 +210,17 @@ def composite_agent(
     )
 
 
+def step_logs(
+    steps: DataFrame, choices: Mapping[str, Column], policy: StepPolicy = StepPolicy(),
+) -> DataFrame:
+    """Logs of several agents over one pass of the steps."""
+    per_agent = F.array(*[
+        F.struct(F.lit(agent).alias("_agent"), action.alias("_choice")) for agent, action in choices.items()
+    ])
+    stacked = steps.select("*", F.inline(per_agent))
+    return _step_log(_with_override(stacked, "", F.col("_choice"), policy).withColumn("agent", F.col("_agent")))
+
+
 def model_step_agent(
     steps: DataFrame, probabilities: Callable[[Column], Column], policy: StepPolicy = StepPolicy(),
 ) -> DataFrame:

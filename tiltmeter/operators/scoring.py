@@ -25,8 +25,10 @@ def lexicon_probabilities(
     text: Column, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
 ) -> Column:
     """Class probabilities from word counts over the whole text, with one count reserved for neutral."""
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
-    counts = F.transform(F.array(tokens), lambda words: F.struct(
+    # One pass over the tokens finds the words of either list; the counts then look at those few.
+    known = list(dict.fromkeys([*positive, *negative]))
+    hits = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda t: t.isin(known))
+    counts = F.transform(F.array(hits), lambda words: F.struct(
         F.size(F.filter(words, lambda t: t.isin(list(positive)))).alias("p"),
         F.size(F.filter(words, lambda t: t.isin(list(negative)))).alias("n"),
     ))

@@ -69,10 +69,8 @@ def sweep_run(
     report("injection_actual_ratio_table", ratios)
     report("injection_actual_ratio_summary", compare.injection_ratio_summary(ratios))
 
-    logs = decisions.rule_agent(frame, experiment.policy)
-    if model is not None:
-        logs = logs.unionByName(decisions.model_agent(frame, model, experiment.policy))
-    logs = keep("trajectories", logs)
+    logs = keep("trajectories", decisions.rule_agent(frame, experiment.policy) if model is None
+                else decisions.rule_and_model(frame, model, experiment.policy))
     adr = compare.sweep_adr(logs, registry)
     report("sweep_adr_table", adr)
     report("adr_table", compare.main_only(adr))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tiltmeter.config import Sweep
@@ -53,10 +53,11 @@ def qa_violations(qa: DataFrame) -> DataFrame:
 
     Amplified and jittered datasets keep the baseline's row count; injected ones hold both directions.
     """
-    base = qa.where(F.col("family") == "baseline").select(F.max("rows")).scalar()
+    whole = Window.partitionBy()  # one row per dataset
+    base = F.max(F.when(F.col("family") == "baseline", F.col("rows"))).over(whole)
     reason = (
-        F.when(F.col("family").isin("sentiment", "jitter") & (F.col("rows") != base), "row count changed")
-        .when((F.col("family") == "injection") & (F.col("rows") - F.col("synthetic_rows") != base), "row count changed")
+        F.when(F.col("family").isin("sentiment", "jitter") & (F.col("rows") != F.col("_base")), "row count changed")
+        .when((F.col("family") == "injection") & (F.col("rows") - F.col("synthetic_rows") != F.col("_base")), "row count changed")
         .when((F.col("family") == "injection") & (F.least("positive_rows", "negative_rows") == 0), "one direction only")
     )
-    return qa.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("dataset", "reason")
+    return qa.withColumn("_base", base).withColumn("reason", reason).where(F.col("reason").isNotNull()).select("dataset", "reason")
