@@ -17,7 +17,7 @@ from checks.catalog import QUERIES  # noqa: E402
 from tiltmeter.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "window_features", "sweep_windows", "sweep_posts", "sweep_adr", "consensus", "injection_flips", "negative_summary",
+    "window_features", "sweep_windows", "sweep", "sweep_adr", "consensus", "injection_flips", "negative_summary",
     "timeline", "clean_posts", "score_lexicon", "score_distinct", "score_udf", "time_jitter", "heuristic_policy", "decide_bucketed",
     "market_frame", "drift_steps", "consensus_steps", "pnl_steps", "stream_windows",
 )

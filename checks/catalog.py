@@ -82,7 +82,7 @@ def market(spark: SparkSession, folder: str) -> DataFrame:
     return demo.market_steps(spark, folder)
 
 
-def sweep(spark: SparkSession, folder: str) -> SweepTables:
+def sweep_tables(spark: SparkSession, folder: str) -> SweepTables:
     return run_sweep(scored(spark, folder), EXPERIMENT)
 
 
@@ -104,7 +104,7 @@ def both_agents(table: DataFrame) -> DataFrame:
 
 
 def sweep_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return both_agents(sweep(spark, folder).windows)
+    return both_agents(sweep_tables(spark, folder).windows)
 
 
 def variants(spark: SparkSession) -> DataFrame:
@@ -204,14 +204,14 @@ def text_report(spark, folder):
 @query
 def dataset_registry(spark, folder):
     """Registry entries with the number of windows each dataset really has."""
-    counts = sweep(spark, folder).windows.groupBy("dataset").agg(F.count(F.lit(1)).alias("windows"))
+    counts = sweep_tables(spark, folder).windows.groupBy("dataset").agg(F.count(F.lit(1)).alias("windows"))
     return variants(spark).join(counts, "dataset")
 
 
 @query
 def main_aliases(spark, folder):
     """The alias views of the main datasets, as row counts."""
-    views = registry.main_views(sweep(spark, folder).windows, variants(spark))
+    views = registry.main_views(sweep_tables(spark, folder).windows, variants(spark))
     parts = [spark.table(v).agg(F.lit(v).alias("view"), F.sum("tweet_count").alias("posts")) for v in views]
     table = parts[0]
     for part in parts[1:]:
@@ -482,7 +482,7 @@ def injected_dataset(spark, folder):
 
 
 @query
-def sweep_posts(spark, folder):
+def sweep(spark, folder):
     return run_sweep_rows(scored(spark, folder), EXPERIMENT).select(
         "dataset", "tweet_id", "timestamp", "cryptocurrency", "finbert_label", "sentiment_score",
         "sentiment_confidence", "is_synthetic", "mutation_type", "sweep_family", "sweep_strength",
@@ -499,12 +499,12 @@ def window_features(spark, folder):
 
 @query
 def sweep_windows(spark, folder):
-    return sweep(spark, folder).windows
+    return sweep_tables(spark, folder).windows
 
 
 @query
 def regimes(spark, folder):
-    return sweep(spark, folder).windows.select("dataset", "window_id", "dominant_label", "regime")
+    return sweep_tables(spark, folder).windows.select("dataset", "window_id", "dominant_label", "regime")
 
 
 @query
@@ -524,22 +524,22 @@ def value_counts(spark, folder):
 
 @query
 def load_summary(spark, folder):
-    return windows.load_summary(sweep(spark, folder).windows)
+    return windows.load_summary(sweep_tables(spark, folder).windows)
 
 
 @query
 def negative_summary(spark, folder):
-    return windows.negative_summary(stage(sweep(spark, folder).windows, "sweep-windows"))
+    return windows.negative_summary(stage(sweep_tables(spark, folder).windows, "sweep-windows"))
 
 
 @query
 def negative_thresholds(spark, folder):
-    return windows.negative_thresholds(sweep(spark, folder).windows, NegativeCuts())
+    return windows.negative_thresholds(sweep_tables(spark, folder).windows, NegativeCuts())
 
 
 @query
 def most_negative(spark, folder):
-    return windows.most_negative(sweep(spark, folder).windows)
+    return windows.most_negative(sweep_tables(spark, folder).windows)
 
 
 # Decisions ------------------------------------------------------------------------------------------------
@@ -547,7 +547,7 @@ def most_negative(spark, folder):
 
 @query
 def window_policy(spark, folder):
-    return sweep(spark, folder).windows.select(
+    return sweep_tables(spark, folder).windows.select(
         "dataset", "window_id", decisions.window_policy().alias("policy_action"),
         decisions.window_risk().alias("oracle_triggered"),
     )
@@ -555,7 +555,7 @@ def window_policy(spark, folder):
 
 @query
 def trajectory(spark, folder):
-    return decisions.rule_agent(sweep(spark, folder).windows)
+    return decisions.rule_agent(sweep_tables(spark, folder).windows)
 
 
 @query
@@ -632,12 +632,12 @@ def action_distribution(spark, folder):
 
 @query
 def variant_counts(spark, folder):
-    return compare.variant_counts(decisions.policy_variants(sweep(spark, folder).windows, VARIANTS))
+    return compare.variant_counts(decisions.policy_variants(sweep_tables(spark, folder).windows, VARIANTS))
 
 
 @query
 def variant_summary(spark, folder):
-    return compare.variant_summary(decisions.policy_variants(sweep(spark, folder).windows, VARIANTS))
+    return compare.variant_summary(decisions.policy_variants(sweep_tables(spark, folder).windows, VARIANTS))
 
 
 @query
@@ -652,12 +652,12 @@ def flip_classes(spark, folder):
 
 @query
 def injection_ratio(spark, folder):
-    return compare.injection_ratio(sweep(spark, folder).windows, variants(spark))
+    return compare.injection_ratio(sweep_tables(spark, folder).windows, variants(spark))
 
 
 @query
 def injection_ratio_summary(spark, folder):
-    return compare.injection_ratio_summary(compare.injection_ratio(sweep(spark, folder).windows, variants(spark)))
+    return compare.injection_ratio_summary(compare.injection_ratio(sweep_tables(spark, folder).windows, variants(spark)))
 
 
 @query

@@ -557,7 +557,7 @@ ORACLES: dict[str, str] = {
                syn AS is_synthetic, kind AS mutation_type, adv AS adversarial_direction, coalesce(s.window_id, '') AS target_window_id,
                family AS sweep_family, strength AS sweep_strength
         FROM rows LEFT JOIN synthetic s ON s.sid = rows.tweet_id WHERE rows.dataset = 'injection_0.20'"""),
-    "sweep_posts": on_sweep(f"""
+    "sweep": on_sweep(f"""
         SELECT dataset, tweet_id, {stamp('ts')} AS "timestamp", coin AS cryptocurrency, label AS finbert_label, {r6('score')} AS sentiment_score,
                {r6('conf')} AS sentiment_confidence, syn AS is_synthetic, kind AS mutation_type, family AS sweep_family,
                strength AS sweep_strength FROM rows"""),

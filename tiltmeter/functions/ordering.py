@@ -18,37 +18,58 @@ BLOCK = 1 << 16
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
-def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "step") -> DataFrame:
-    """Dense 0-based position in a total order; `order` must end in a unique key.
+def _placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """Rows in range partitions with their partition and their number in it.
 
-    One range shuffle, staged so that the sampled range bounds are fixed, then a join with one offset per
-    range partition.
+    Staged, so that the sampled range bounds are fixed for everything derived from them.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = (
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn("_seq", F.monotonically_increasing_id())
     )
-    placed = stage(ranged, "positions").withColumn("_part", F.shiftright("_seq", _ROW_BITS))
+    return stage(ranged, "positions").withColumns({
+        "_part": F.shiftright("_seq", _ROW_BITS), "_seq": F.col("_seq").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+    })
+
+
+def global_index(df: DataFrame, order: Sequence[str | Column], name: str = "step") -> DataFrame:
+    """Dense 0-based position in a total order; `order` must end in a unique key.
+
+    One range shuffle, then a join with one offset per range partition. Placing the rows reads the input twice
+    (the bounds are sampled), so costly columns are better added afterwards.
+    """
+    placed = _placed(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    in_part = F.col("_seq").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     # One row per range partition, a number the session fixes, so the broadcast cannot grow with the data.
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + in_part)
+        placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_seq"))
         .drop("_seq", "_part", "_offset")
     )
 
 
 def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "step") -> DataFrame:
-    """Dense 0-based position within each group, without gathering a group in one task."""
-    placed = global_index(df, [*groups, *order], "_pos")
-    starts = placed.groupBy(*groups).agg(F.min("_pos").alias("_start"))
-    return placed.join(starts, list(groups)).withColumn(name, F.col("_pos") - F.col("_start")).drop("_pos", "_start")
+    """Dense 0-based position within each group, without gathering a group in one task.
+
+    A large group spans many range partitions. Its rows are matched with their start by (group, partition), so
+    no join key holds more rows than one range partition.
+    """
+    groups = list(groups)
+    placed = _placed(df, [*groups, *order])
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_seq").alias("_first"))
+        .select(*groups, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    )
+    return (
+        placed.join(cells, [*groups, "_part"])
+        .withColumn(name, F.col("_offset") + F.col("_seq") - F.col("_first"))
+        .drop("_seq", "_part", "_first", "_offset")
+    )
 
 
 def over_previous_rows(

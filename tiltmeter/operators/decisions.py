@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.config import MODEL_AGENT, RULE_AGENT, CompositeWeights, StepPolicy, WindowPolicy
+from tiltmeter.functions.joins import lookup
 from tiltmeter.functions.labels import action_from_label, dominant, label_from_score
 from tiltmeter.functions.numeric import bucketed, clip
 from tiltmeter.functions.text import answer_action, strip
 from tiltmeter.schemas import TRAJECTORY
+from tiltmeter.session import stage
 
 Answer = Callable[[Sequence[str]], Sequence[str]]
 
@@ -243,28 +245,29 @@ def decide_bucketed(
     """Decide once per (text, rounded strength, rounded volatility) and reuse the answer.
 
     The earliest step of a bucket asks, with its own exact numbers, and every other step of the bucket gets
-    its answer. The earliest step is found by a combining aggregate; a bucket with most of the rows is one
-    small row on the answer side of the join.
+    its answer. The earliest step is found by a combining aggregate, staged with the bucket sizes; answers of
+    very large buckets come back by broadcast.
     """
     text = strip(F.coalesce(F.col(text_col), F.lit("")))
     if max_chars is not None:
         text = F.left(text, F.lit(max_chars))
-    bucketed_steps = steps.withColumns({
+    placed = steps.withColumns({
         "_text": text,
         "_rsi_bucket": bucketed(F.col("rsi_technical_indicator"), width),
         "_volatility_bucket": bucketed(F.col("volatility_index"), width),
     })
-    askers = bucketed_steps.groupBy("_text", "_rsi_bucket", "_volatility_bucket").agg(
-        F.min("step").alias("asked_at"),
+    bucket = F.concat_ws("|", F.md5("_text"), F.col("_rsi_bucket").cast("string"), F.col("_volatility_bucket").cast("string"))
+    askers = placed.groupBy("_text", "_rsi_bucket", "_volatility_bucket").agg(
+        F.min("step").alias("asked_at"), F.count(F.lit(1)).alias("_size"),
         F.min_by("rsi_technical_indicator", "step").alias("_rsi"),
         F.min_by("volatility_index", "step").alias("_volatility"),
     )
-    keys = ["_text_md5", "_rsi_bucket", "_volatility_bucket"]
-    answers = askers.withColumns({
-        "_answer": decide(F.col("_text"), F.col("_rsi"), F.col("_volatility")), "_text_md5": F.md5("_text"),
-    })
-    keyed = bucketed_steps.withColumn("_text_md5", F.md5("_text")).drop("_text")
-    joined = keyed.join(answers.select(*keys, "asked_at", "_answer"), keys).drop(*keys)
+    answers = stage(askers.select(
+        bucket.alias("_bucket"), "_size", "asked_at",
+        decide(F.col("_text"), F.col("_rsi"), F.col("_volatility")).alias("_answer"),
+    ), "answers")
+    keyed = placed.withColumn("_bucket", bucket).drop("_text", "_rsi_bucket", "_volatility_bucket")
+    joined = lookup(keyed, answers, "_bucket", "_size", ["step"]).drop("_bucket")
     decided = _with_override(joined, MODEL_AGENT, F.col("_answer"), policy)
     return decided.withColumn("cached", F.col("asked_at") != F.col("step")).withColumn("reasoning", F.concat(
         F.format_string(

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.config import NEGATIVE_WORDS, POSITIVE_WORDS, require_columns
+from tiltmeter.functions.joins import lookup
 from tiltmeter.functions.labels import sentiment_columns
 from tiltmeter.functions.text import strip
 from tiltmeter.schemas import SCORE_COLUMNS
@@ -74,17 +74,21 @@ def score_distinct(
     df: DataFrame, probabilities: Callable[[Column], Column], text_col: str = "tweet_text",
     cache: DataFrame | None = None, max_chars: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Score every distinct text once; returns the scored rows and the grown cache (text, scores).
+    """Score every distinct text once; returns the scored rows and the grown cache.
 
-    Copies collapse map-side before the distinct texts are shuffled. The join back goes by a 128-bit digest; a
-    text with very many copies is one small row on the cache side, so adaptive skew handling can split its rows.
+    The cache holds one row per text: digest, text, number of copies when it was scored, scores. Copies collapse
+    map-side before the distinct texts are shuffled, and the scores come back by digest, hot texts by broadcast.
     """
-    known_columns = ["text_md5", "text", *SCORE_COLUMNS]
+    columns = ["text_md5", "text", "copies", *SCORE_COLUMNS]
     keyed = df.withColumn("_text", text_key(text_col, max_chars))
-    fresh = keyed.select(F.col("_text").alias("text")).distinct().withColumn("text_md5", F.md5("text"))
+    fresh = (
+        keyed.groupBy(F.col("_text").alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("text_md5", F.md5("text"))
+    )
     if cache is not None:
         fresh = fresh.join(cache.select("text_md5"), "text_md5", "left_anti")
-    scored = stage(add_scores(fresh, probabilities, "text").select(*known_columns), "scores")
-    grown = scored if cache is None else reduce(DataFrame.unionByName, [cache.select(*known_columns), scored])
-    rows = keyed.withColumn("text_md5", F.md5("_text")).drop("_text").join(grown.drop("text"), "text_md5")
-    return rows.drop("text_md5"), grown
+    scored = stage(add_scores(fresh, probabilities, "text").select(*columns), "scores")
+    grown = scored if cache is None else cache.select(*columns).unionByName(scored)
+    rows = keyed.withColumn("text_md5", F.md5("_text")).drop("_text")
+    found = lookup(rows, grown.drop("text"), "text_md5", "copies", df.columns)
+    return found.drop("text_md5"), grown

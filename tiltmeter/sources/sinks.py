@@ -26,15 +26,17 @@ def finalize_dataset(df: DataFrame, default_mutation_type: str = BASELINE) -> Da
     return df.select(*first, *[c for c in df.columns if c not in first])
 
 
-def save_datasets(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Long table to Parquet, one folder per dataset, time-ordered inside every file.
+def save_datasets(df: DataFrame, path: str, *, mode: str = "overwrite", ordered: bool = True) -> None:
+    """Long table to Parquet, one folder per dataset, time-ordered inside every file if `ordered`.
 
     Range partitioning on (dataset, time) keeps a large dataset in many files and a reader of one dataset or
-    a time span in few.
+    a time span in few. Without the order nothing is shuffled.
     """
-    keys = ["dataset", "timestamp", "cryptocurrency", "tweet_id"]
-    (finalize_dataset(df).repartitionByRange(*keys).sortWithinPartitions(*keys)
-     .write.mode(mode).partitionBy("dataset").parquet(path))
+    table = finalize_dataset(df)
+    if ordered:
+        keys = ["dataset", "timestamp", "cryptocurrency", "tweet_id"]
+        table = table.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    table.write.mode(mode).partitionBy("dataset").parquet(path)
 
 
 def _flat(df: DataFrame) -> DataFrame:
