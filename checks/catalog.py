@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiltmeter.config import BASELINE, Experiment, NegativeCuts, WindowPolicy
-from tiltmeter.functions import labels, numeric, text
+from tiltmeter.functions import labels, text
 from tiltmeter.functions.ordering import global_index
 from tiltmeter.operators import cleaning, compare, decisions, injection, perturb, pnl, reports, scoring, steps, windows
 from tiltmeter.plans.sweep import SweepTables, default_scorer, run_sweep, run_sweep_rows

@@ -63,15 +63,19 @@ def parse_tags(col: Column | str) -> Column:
 def detect_topics(tags: Column, text: Column, topics: Mapping[str, Sequence[str]]) -> Column:
     """Symbols named by the tags or, as whole words, by the text; in the order of `topics`."""
     plain = F.transform(tags, lambda tag: F.regexp_replace(F.lower(tag), "^#+", ""))
-    low = F.lower(text)
-    hits = []
-    for symbol, words in topics.items():
-        aliases = F.array(*[F.lit(w.lower()) for w in words])
-        # A plain substring search rules out most texts before the pattern runs.
-        maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words])
-        whole = low.rlike(r"(?U)\b(?:" + "|".join(w.lower() for w in words) + r")\b")
-        hits.append(F.when(F.arrays_overlap(plain, aliases) | (maybe & whole), F.lit(symbol)))
-    return F.array_compact(F.array(*hits))
+
+    def found(low: Column) -> Column:
+        hits = []
+        for symbol, words in topics.items():
+            aliases = F.array(*[F.lit(w.lower()) for w in words])
+            # A plain substring search rules out most texts before the pattern runs.
+            maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words])
+            whole = low.rlike(r"(?U)\b(?:" + "|".join(w.lower() for w in words) + r")\b")
+            hits.append(F.when(F.arrays_overlap(plain, aliases) | (maybe & whole), F.lit(symbol)))
+        return F.array_compact(F.array(*hits))
+
+    # Bound as a lambda variable, the lower-cased text is made once per row.
+    return F.transform(F.array(F.lower(text)), found)[0]
 
 
 def tag_symbol(tags: Column, symbols: Mapping[str, str], default: str) -> Column:

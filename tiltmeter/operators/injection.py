@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.config import DEFAULT_TEXT_SYMBOL, SYNTHETIC_TEXTS, Sweep, TargetRules, ratio_key
+from tiltmeter.config import DEFAULT_TEXT_SYMBOL, SYNTHETIC_TEXTS, Sweep, TargetRules
 from tiltmeter.functions.numeric import keyed_draw
 from tiltmeter.operators.perturb import mark_injected_original
 from tiltmeter.operators.scoring import add_scores
