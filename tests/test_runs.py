@@ -93,3 +93,12 @@ def test_staging_refuses_a_private_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.staging_root(Session())
+
+
+def test_scope_removes_what_it_staged(spark):
+    kept = session.stage(spark.range(3), "kept")
+    with session.staging_scope(spark):
+        inner = session.stage(spark.range(4), "inner")
+        assert inner.count() == 4
+        path = inner.inputFiles()[0].removeprefix("file://")
+    assert not glob.glob(path) and kept.count() == 3

@@ -1,12 +1,13 @@
 """End-to-end runs: from posts or market steps to saved tables and reports.
 
 Each run writes every table once and builds later ones from what it wrote, so a run that stops can be
-continued from its folders.
+continued from its folders. Tables staged on the way are removed at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tiltmeter.config import BASELINE, Experiment, StepPolicy
 from tiltmeter.operators import compare, decisions, perturb, pnl, reports, scoring, steps, windows
 from tiltmeter.operators.cleaning import clean_posts
 from tiltmeter.plans.sweep import default_scorer, run_sweep, run_sweep_rows
+from tiltmeter.session import staging_scope
 from tiltmeter.sources import sinks
 from tiltmeter.sources.posts import normalize_scored
 from tiltmeter.sources.registry import dataset_registry
@@ -22,6 +24,17 @@ from tiltmeter.sources.registry import dataset_registry
 Scorer = Callable[[Column], Column]
 
 
+def _tidy(run: Callable[..., object]) -> Callable[..., object]:
+    """Run inside a staging scope; what a run returns must not depend on staged tables."""
+    @wraps(run)
+    def scoped(first: DataFrame, *args: object, **kwargs: object) -> object:
+        with staging_scope(first.sparkSession):
+            return run(first, *args, **kwargs)
+
+    return scoped
+
+
+@_tidy
 def score_baseline(
     raw: DataFrame, path: str, probabilities: Scorer | None = None, experiment: Experiment = Experiment(), *,
     force: bool = False, **cleaning: object,
@@ -35,6 +48,7 @@ def score_baseline(
     return sinks.cached_table(raw.sparkSession, path, build, force=force)
 
 
+@_tidy
 def sweep_run(
     scored: DataFrame, out: str, experiment: Experiment = Experiment(), probabilities: Scorer | None = None,
     model: Callable[[], decisions.Answer] | Column | None = None, *, save_posts: bool = False,
@@ -86,6 +100,7 @@ def sweep_run(
     return paths
 
 
+@_tidy
 def drift_run(market: DataFrame, out: str, factor: float = 2.0, lag: int = 3, policy: StepPolicy = StepPolicy()) -> dict[str, str]:
     """Rule agent on market steps and on two mutants: logs, drift reports and the P&L comparison.
 
@@ -123,6 +138,7 @@ def _compare_logs(logs: Mapping[str, DataFrame], out: str, first: str, second: s
     return paths
 
 
+@_tidy
 def hybrid_run(
     market: DataFrame, out: str, factor: float = 2.0, sample: int | None = None, probabilities: Scorer | None = None,
 ) -> dict[str, str]:
@@ -147,6 +163,7 @@ def hybrid_run(
     return paths
 
 
+@_tidy
 def post_level_run(
     labelled: DataFrame, out: str, decide: Callable[[Column, Column, Column], Column], factor: float = 2.0, lag: int = 3,
 ) -> dict[str, str]:
