@@ -29,7 +29,7 @@ def pack(values: np.ndarray) -> bytes:
     """Byte planes of a number array, compressed: small numbers have empty planes."""
     values = np.ascontiguousarray(values)
     planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes() if len(values) else b""
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def unpack(data: bytes, dtype: type) -> np.ndarray:

@@ -56,7 +56,7 @@ def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
     return spark.createDataFrame(rows, "token int, bytes binary")
 
 
-def _split(batches: Iterator[pa.RecordBatch], pattern: str, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     find = regex.compile(pattern).findall
     for chunk, rows in chunked(batches, "text"):
         number: dict[str, int] = {}
@@ -68,30 +68,33 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, id_type: pa.DataType
             parts.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
             counts.append(len(found))
         pieces = [piece.encode("utf-8", "surrogatepass") for piece in number]
-        order = sorted(range(len(pieces)), key=pieces.__getitem__)
+        index = np.concatenate(parts)
+        often = np.bincount(index, minlength=len(pieces))
+        grade = np.where(often > 16, 100 + 4 * np.log2(np.maximum(often, 1)), often).astype(np.int64)
+        # Frequent pre-tokens get small numbers and neighbours share prefixes: both compress well.
+        order = sorted(range(len(pieces)), key=lambda i: (-grade[i], pieces[i]))
         place = np.empty(len(pieces), np.uint32)
         place[order] = np.arange(len(pieces), dtype=np.uint32)
-        index = place[np.concatenate(parts)] if pieces else np.zeros(0, np.uint32)
+        of = np.fromiter((xxhash.xxh3_64_intdigest(pieces[i]) % buckets for i in order), np.uint64, len(pieces))
         yield pa.record_batch({
             "chunk": pa.array([chunk], pa.int64()), "ids": pa.array([[row["id"] for row in rows]], pa.list_(id_type)),
-            "counts": [pack(np.array(counts, np.uint32))], "places": [pack(index)],
+            "counts": [pack(np.array(counts, np.uint32))], "places": [pack(place[index])], "of": [pack(of)],
             "sizes": [pack(np.array([len(pieces[i]) for i in order], np.uint32))],
             "pieces": [pack(np.frombuffer(b"".join(pieces[i] for i in order), np.uint8))],
         })
 
 
-def _keys(sizes: np.ndarray, raw: bytes) -> tuple[list[bytes], np.ndarray]:
-    ends = np.cumsum(sizes).tolist()
-    pieces = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
-    return pieces, np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+def _pieces(row: dict) -> list[bytes]:
+    ends, raw = np.cumsum(unpack(row["sizes"], np.uint32)).tolist(), unpack(row["pieces"], np.uint8).tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            pieces, keys = _keys(unpack(row["sizes"], np.uint32), unpack(row["pieces"], np.uint8).tobytes())
+            pieces = _pieces(row)
             out: dict[str, list] = {"bucket": [], "chunk": [], "sizes": [], "pieces": []}
-            for bucket, at in by_bucket(keys, buckets):
+            for bucket, at in by_bucket(unpack(row["of"], np.uint64), buckets):
                 own = [pieces[i] for i in at.tolist()]
                 out["bucket"].append(bucket)
                 out["chunk"].append(row["chunk"])
@@ -105,7 +108,7 @@ def _encode_bucket(table: pa.Table, ranks_path: str, pattern: str) -> pa.Table:
     known: dict[bytes, list[int]] = {}
     out: dict[str, list] = {"chunk": [], "bucket": [], "lengths": [], "tokens": []}
     for row in table.to_pylist():
-        pieces, _ = _keys(unpack(row["sizes"], np.uint32), unpack(row["pieces"], np.uint8).tobytes())
+        pieces = _pieces(row)
         for piece in pieces:
             if piece not in known:
                 known[piece] = encode(piece)
@@ -121,14 +124,14 @@ def _assemble(chunks: pa.Table, parts: pa.Table, ranks_path: str, buckets: int,
     starts, sizes, raw = _token_bytes(ranks_path)
     out: dict[str, list] = {"id": [], "n_tokens": [], "ids": [], "decoded": []}
     for row in chunks.to_pylist():
-        _, keys = _keys(unpack(row["sizes"], np.uint32), unpack(row["pieces"], np.uint8).tobytes())
+        of = unpack(row["of"], np.uint64)
         answer = {part["bucket"]: part for part in parts.to_pylist()}
         order, lengths, tokens = [], [], []
-        for bucket, at in by_bucket(keys, buckets):
+        for bucket, at in by_bucket(of, buckets):
             order.append(at)
             lengths.append(unpack(answer[bucket]["lengths"], np.uint32).astype(np.int64))
             tokens.append(unpack(answer[bucket]["tokens"], np.uint32))
-        length, first, values = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(0, np.uint32)
+        length, first, values = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), np.zeros(0, np.uint32)
         if order:
             at, sent, values = np.concatenate(order), np.concatenate(lengths), np.concatenate(tokens)
             length[at], first[at] = sent, np.cumsum(sent) - sent
@@ -155,14 +158,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     layout = T.StructType([
-        T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(n, T.BinaryType()) for n in ("counts", "places", "sizes", "pieces")),
+        T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(n, T.BinaryType()) for n in ("counts", "places", "of", "sizes", "pieces")),
     ])
-    chunks = stage(source.mapInArrow(lambda batches: _split(batches, pattern, arrow_id), layout), "pretokens")
-    sent = chunks.select("chunk", "sizes", "pieces").mapInArrow(lambda batches: _send(batches, buckets), "bucket int, chunk long, sizes binary, pieces binary")
+    chunks = stage(source.mapInArrow(lambda batches: _split(batches, pattern, buckets, arrow_id), layout), "pretokens")
+    sent = chunks.select("chunk", "of", "sizes", "pieces").mapInArrow(lambda batches: _send(batches, buckets), "bucket int, chunk long, sizes binary, pieces binary")
     coded = sent.groupBy("bucket").applyInArrow(lambda table: _encode_bucket(table, ranks_path, pattern), "chunk long, bucket int, lengths binary, tokens binary")
     result = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
     arrow = pa.schema([("id", arrow_id), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-    out = chunks.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _assemble(left, right, ranks_path, buckets, arrow), result)
+    out = chunks.select("chunk", "ids", "counts", "places", "of").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _assemble(left, right, ranks_path, buckets, arrow), result)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -22,6 +22,56 @@ def byte_bpe_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.secret_scan import scan
+
+    def listed(spans: str) -> F.Column:
+        return F.array_join(F.expr(f"transform({spans}, s -> concat_ws(':', s.kind, s.start, s.stop))"), ",")
+
+    found = scan(read(spark, sf_dir, "documents"))
+    count = {kind: F.expr(f"cast(size(filter(secret_spans, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in ("assign", "access", "hex", "random")}
+    base = F.sha2(listed("filter(secret_spans, s -> s.kind <> 'random')"), 256)
+    return found.select("doc_id", count["assign"], count["access"], count["hex"], base.alias("base_sha256"), listed("secret_spans").alias("spans"), count["random"])
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.quality_rules import judge
+
+    judged = judge(read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.quality_classifier import classify
+
+    scored = classify(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.html_text import extract
+
+    found = extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.toxicity import score_texts
+
+    held_out = F.coalesce(remainder(4) == 2, F.lit(False))
+    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    scored = score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.source_mixing import mix
+
+    mixed = mix(read(spark, sf_dir, "documents"))
+    shards = F.expr("transform(draws, d -> d.shard)")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"), shards.alias("shards"))
+
+
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tiltmeter.llm.language_model import score_texts
 
@@ -43,8 +93,14 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secret_scan,
+    "op2_quality_rules": quality_rules,
     "op3_language_model": language_model,
     "op4_jaccard_join": jaccard,
+    "op5_quality_classifier": quality_classifier,
+    "op6_html_text": html_text,
+    "op7_toxicity": toxicity,
+    "op9_source_mixing": source_mixing,
     "op10_byte_bpe": byte_bpe,
 }
 
