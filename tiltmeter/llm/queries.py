@@ -64,6 +64,12 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tiltmeter.llm.source_mixing import mix
 
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": quality_classifier,
     "op6_html_text": html_text,
     "op7_toxicity": toxicity,
+    "op8_embedding_dedup": embedding_dedup,
     "op9_source_mixing": source_mixing,
     "op10_byte_bpe": byte_bpe,
 }

@@ -9,7 +9,7 @@
    half again, by a multivariate hypergeometric draw: block after block goes left with the chance that the room left
    gives it. Every shard gets an exact quota of every source's blocks.
 4. Each source's drawn blocks, in a random order, are dealt to the shards by these quotas: disjoint runs of the order.
-   Within a shard rows are ordered by a keyed hash (`place`).
+   Within a shard rows are ordered by a keyed hash (`arranged`).
 
 All draws are hashes of (seed, keys), so reruns and retried tasks agree. Everything is SQL functions. Size is the number
 of words `[^\\x20\\x09-\\x0D]+`; a null text has none. A null source is a source of its own, last in the order. A source
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.session import stage
 
-BLOCKS = 1024
+BLOCKS, BROADCAST_BLOCKS = 1024, 200_000  # rows of some 100 bytes; beyond, blocks are shuffled
 WEIGHTS = (5, 2, 1)
 
 
@@ -72,7 +72,7 @@ def shard_quotas(drawn: DataFrame, levels: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = (), levels: int = 4, seed: int = 20, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """-> id, source, `keep`, size, source_size, target, draws: array of (pass, shard), one entry per copy that the mix takes.
 
-    `place(seed)` orders the copies of a shard.
+    `arranged` makes the copies of it.
     """
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), *(F.col(c).alias(f"__keep_{c}") for c in keep), word_count(text_col).alias("size"))
     sized = stage(sized, "sized")
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     draws = draws.groupBy("nr", "block").agg(F.array_sort(F.collect_list("draw")).alias("draws"))
     chosen = stage(sums.select("nr", "block", "before", "extra").join(draws, ["nr", "block"], "left"), "draws")
 
-    rows = rows.join(chosen, ["nr", "block"])
+    rows = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_BLOCKS else chosen, ["nr", "block"])
     last = Window.partitionBy("nr").orderBy(F.expr(f"xxhash64({seed + 2}, __id)"), "size")  # one block of each source
     partly = rows.where("extra = 1").withColumn("upto", F.col("before") + F.sum("size").over(last))
     partly = partly.withColumn("draws", F.when(F.col("upto") - F.col("size") / 2 <= F.col("rest"), F.col("draws")).otherwise(F.expr("filter(draws, d -> d.pass < times)"))).drop("upto")
@@ -106,3 +106,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.col("__id").alias(id_col), F.col("source").alias(source_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), "size", "source_size", "target",
         F.coalesce("draws", F.expr("cast(array() as array<struct<pass:int,shard:int>>)")).alias("draws"),
     )
+
+
+def arranged(mixed: DataFrame, id_col: str = "doc_id", seed: int = 20) -> DataFrame:
+    """One row per drawn copy, with `shard`, in the order of the shards and of a keyed hash within a shard."""
+    copies = mixed.withColumn("draw", F.explode("draws")).withColumn("shard", F.col("draw.shard"))
+    copies = copies.withColumn("place", F.xxhash64(F.lit(seed + 3), id_col, "draw.pass")).drop("draw", "draws")
+    return copies.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")

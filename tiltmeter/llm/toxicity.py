@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tiltmeter.session import stage
 
-SPAN, DECAY, LANDMARKS, SAMPLE = 8, 0.7, 256, 4000
+SPAN, DECAY, LANDMARKS, SAMPLE = 8, 0.7, 512, 4000
 LONGEST = 24   # longer units are read in overlapping pieces of this length
 LETTERS = 64
 TOP = 3
@@ -123,7 +123,7 @@ class _Kernel:
         return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, rounds: int = 15) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-4, rounds: int = 15) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -160,6 +160,7 @@ def _train(table: pa.Table) -> pa.Table:
     good = np.bincount(np.concatenate([texts[i] for i in np.flatnonzero(~toxic)]), minlength=len(names)) / max(1, (~toxic).sum())
     half = 0.5 / len(rows)
     guess = np.log((bad + half) / (good + half)) * np.sqrt(bad)
+    guess[bad * toxic.sum() < 2.5] = -9  # twice is chance
     common = np.argsort(-good, kind="stable")[: LANDMARKS // 2]
     landmarks = [names[i] for i in dict.fromkeys([*np.argsort(-guess, kind="stable")[: LANDMARKS - len(common)].tolist(), *common.tolist()])]
     kernel = _Kernel(landmarks)
@@ -169,17 +170,21 @@ def _train(table: pa.Table) -> pa.Table:
 
     clean = np.flatnonzero(good > 0)
     clean = clean[np.argsort(-good[clean], kind="stable")]
-    clean = np.unique(np.concatenate([clean[:10_000], clean[10_000 :: max(1, len(clean) // 10_000)]]))
-    negative = kernel.of([names[i] for i in clean]) @ whiten
+    clean = np.concatenate([clean[:10_000], clean[10_000 :: max(1, len(clean) // 10_000)]])
     current, direction, bias = guess, np.zeros(LETTERS**3), 0.0
-    for turn in range(3):
+    for turn in range(4):
         witness = {int(texts[i][np.argmax(current[texts[i]])]) for i in np.flatnonzero(toxic) if len(texts[i])}
-        if turn:
-            witness = {u for u in witness if current[u] > -0.5} | set(np.flatnonzero((current > 0) & (bad > 4 * good)).tolist())
+        if not turn:
+            witness = {u for u in witness if current[u] > 0} or witness
+        else:
+            witness = {u for u in witness if current[u] > -0.5} | set(np.flatnonzero(current > 0).tolist())
+            hard = np.flatnonzero((good > 0) & (current > -0.7))  # clean units on the wrong side count in full from now on
+            clean = np.unique(np.concatenate([clean, hard[np.argsort(-current[hard], kind="stable")][:5000]]))
         positive = np.array(sorted(u for u in witness if bad[u] > 4 * good[u]) or sorted(witness), np.int64)
-        x = np.vstack([kernel.of([names[i] for i in positive]) @ whiten, negative])
+        x = kernel.of([names[i] for i in [*positive, *clean]]) @ whiten
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(clean))])
-        weight = np.concatenate([np.sqrt(bad[positive]) / np.sqrt(bad[positive]).sum(), 2 * np.sqrt(good[clean]) / np.sqrt(good[clean]).sum()])
+        wrong = np.sqrt(good[clean]) * (1 if not turn else np.where(current[clean] > -0.7, 4, 1))
+        weight = np.concatenate([np.sqrt(bad[positive]) / np.sqrt(bad[positive]).sum(), 2 * wrong / wrong.sum()])
         w = _svm(x, y, weight)
         direction = np.zeros(LETTERS**3)
         direction[kernel.known] = kernel.table[:-1].astype(np.float64) @ (whiten @ w[:-1])
