@@ -20,13 +20,16 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiltmeter.llm.blocks import bucket_count, by_bucket, chunked, pack, ranges, unpack
+from tiltmeter.llm.blocks import bucket_count, by_bucket, pack, ranges, unpack
 from tiltmeter.session import stage
 
+CHUNK_CHARS = 28_000_000  # fewer chunks send fewer pre-tokens twice
+
 
 @functools.lru_cache(maxsize=2)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,31 +60,42 @@ def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
 
 
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Chunks of a task's texts. Texts are read one by one, and only the numbers of their pre-tokens are held."""
     find = regex.compile(pattern).findall
-    for chunk, rows in chunked(batches, "text"):
-        number: dict[str, int] = {}
-        parts, counts = [], []
-        for row in rows:
-            found = find(row["text"])
+    chunk, held = TaskContext.get().partitionId() << 24, 0
+    number: dict[str, int] = {}
+    ids, parts = [], []
+    for batch in batches:
+        for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            found = find(text.as_py() or "")
             for piece in set(found).difference(number):
                 number[piece] = len(number)
+            ids.append(key)
             parts.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
-            counts.append(len(found))
-        pieces = [piece.encode("utf-8", "surrogatepass") for piece in number]
-        index = np.concatenate(parts)
-        often = np.bincount(index, minlength=len(pieces))
-        grade = np.where(often > 16, 100 + 4 * np.log2(np.maximum(often, 1)), often).astype(np.int64)
-        # Frequent pre-tokens get small numbers and neighbours share prefixes: both compress well.
-        order = sorted(range(len(pieces)), key=lambda i: (-grade[i], pieces[i]))
-        place = np.empty(len(pieces), np.uint32)
-        place[order] = np.arange(len(pieces), dtype=np.uint32)
-        of = np.fromiter((xxhash.xxh3_64_intdigest(pieces[i]) % buckets for i in order), np.uint64, len(pieces))
-        yield pa.record_batch({
-            "chunk": pa.array([chunk], pa.int64()), "ids": pa.array([[row["id"] for row in rows]], pa.list_(id_type)),
-            "counts": [pack(np.array(counts, np.uint32))], "places": [pack(place[index])], "of": [pack(of)],
-            "sizes": [pack(np.array([len(pieces[i]) for i in order], np.uint32))],
-            "pieces": [pack(np.frombuffer(b"".join(pieces[i] for i in order), np.uint8))],
-        })
+            held += 64 + sum(map(len, found))
+            if held >= CHUNK_CHARS:
+                yield _chunk(chunk, ids, parts, number, buckets, id_type)
+                chunk, held, number, ids, parts = chunk + 1, 0, {}, [], []
+    if ids:
+        yield _chunk(chunk, ids, parts, number, buckets, id_type)
+
+
+def _chunk(chunk: int, ids: list, parts: list[np.ndarray], number: dict[str, int], buckets: int, id_type: pa.DataType) -> pa.RecordBatch:
+    pieces = [piece.encode("utf-8", "surrogatepass") for piece in number]
+    index = np.concatenate(parts)
+    often = np.bincount(index, minlength=len(pieces))
+    grade = np.where(often > 16, 100 + 4 * np.log2(np.maximum(often, 1)), often).astype(np.int64).tolist()
+    # Frequent pre-tokens get small numbers and neighbours share prefixes: both compress well.
+    order = sorted(range(len(pieces)), key=lambda i: (-grade[i], pieces[i]))
+    place = np.empty(len(pieces), np.uint32)
+    place[order] = np.arange(len(pieces), dtype=np.uint32)
+    of = np.fromiter((xxhash.xxh3_64_intdigest(pieces[i]) % buckets for i in order), np.uint64, len(pieces))
+    return pa.record_batch({
+        "chunk": pa.array([chunk], pa.int64()), "ids": pa.array([ids], pa.list_(id_type)),
+        "counts": [pack(np.array([len(p) for p in parts], np.uint32))], "places": [pack(place[index])], "of": [pack(of)],
+        "sizes": [pack(np.array([len(pieces[i]) for i in order], np.uint32))],
+        "pieces": [pack(np.frombuffer(b"".join(pieces[i] for i in order), np.uint8))],
+    })
 
 
 def _pieces(row: dict) -> list[bytes]:
