@@ -29,28 +29,50 @@ from tiltmeter.session import stage
 
 WIDTH, SAMPLE = 1 << 16, 8000
 LABELLERS = ("symbols", "repeats", "capitals", "tables", "run-ons", "variety", "lengths", "prose", "calm", "fresh")
-_WORD: dict[str, tuple[int, ...]] = {}
 _SYMBOL, _END, _UPPER, _LETTER = re.compile(r"[#*$%&|<>{}\\^~=_]"), re.compile(r"[.!?…]"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\W\d_]")
 
 
-def measure(text: str) -> list[float]:
-    """Words, then shares per word (or per letter): symbols, repeated words of windows, capitals, bars, ends, distinct words, mean length."""
-    words = text.split()
-    n = len(words)
+class _Words:
+    """What a task knows of words, one row each: counts of capitals, letters, symbols, ends, bars, characters; two features."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((1 << 16, 8), np.int64)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if len(self.number) > 400_000:
+            self.number.clear()
+        for word in set(words).difference(self.number):
+            if len(self.number) == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            shape = re.sub(r"(.)\1+", r"\1", _LETTER.sub("a", _UPPER.sub("A", re.sub(r"\d", "0", word))).replace("aA", "A"))[:12]
+            self.table[len(self.number)] = (
+                len(_UPPER.findall(word)), len(_LETTER.findall(word)), len(_SYMBOL.findall(word)), len(_END.findall(word)), word.count("|"), len(word),
+                xxhash.xxh32_intdigest(word.lower()) % WIDTH, xxhash.xxh32_intdigest("shape " + shape) % WIDTH,
+            )
+            self.number[word] = len(self.number)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+
+_WORDS = _Words()
+
+
+def measure(text: str) -> tuple[list[float], np.ndarray]:
+    """Words, then shares per word (or per letter): symbols, repeated 5-word windows, capitals, bars, ends, distinct words,
+    mean length; and the words' rows."""
+    rows = _WORDS.rows(text.split())
+    n = len(rows)
     if not n:
-        return [0.0] * 8
-    codes = np.fromiter(map(hash, words), np.int64, n)
+        return [0.0] * 8, rows
     repeated = 0.0
     if n > 4:
         with np.errstate(over="ignore"):
-            grams = sum(codes[k : n - 4 + k] * np.int64(0x9E3779B97F4A7C1 + 2 * k) for k in range(5))
-        _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
-        repeated = float((counts[inverse] > 1).mean())
-    letters = len(_LETTER.findall(text)) or 1
-    return [
-        float(n), len(_SYMBOL.findall(text)) / n, repeated, len(_UPPER.findall(text)) / letters, text.count("|") / n,
-        len(_END.findall(text)) / n, len(np.unique(codes)) / min(n, 2000), sum(map(len, words)) / n,
-    ]
+            grams = sum(rows[k : n - 4 + k] * np.int64(0x9E3779B97F4A7C1 + 2 * k * k) for k in range(5))
+        grams.sort()
+        same = grams[1:] == grams[:-1]
+        repeated = float((np.append(same, False) | np.append(False, same)).mean())
+    upper, letters, symbols, ends, bars, length = _WORDS.table[rows, :6].sum(0).tolist()
+    return [float(n), symbols / n, repeated, upper / max(letters, 1), bars / n, ends / n, len(np.unique(rows)) / min(n, 2000), length / n], rows
 
 
 def vote(m: list[float]) -> str:
@@ -65,24 +87,18 @@ def vote(m: list[float]) -> str:
     return "".join(["b" if x else "-" for x in one] + ["b" if bad else "g" if good else "-" for bad, good in several])
 
 
-def features(text: str, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
+def features(rows: np.ndarray, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and their weights: words and word shapes by share, and steps of the measures."""
-    words = text.split()
-    if len(_WORD) > 400_000:
-        _WORD.clear()
-    for word in set(words).difference(_WORD):
-        shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-ZÀ-ÖØ-Þ]", "A", re.sub(r"\d", "0", word))))[:12]
-        _WORD[word] = (xxhash.xxh32_intdigest(word.lower()) % WIDTH, xxhash.xxh32_intdigest("shape " + shape) % WIDTH)
-    places = np.array([_WORD[word] for word in words], np.int64).reshape(-1, 2)
+    hashed, words = np.unique(rows, return_counts=True)
+    at, inverse = np.unique(_WORDS.table[hashed, 6:].T.ravel(), return_inverse=True)
+    share = np.sqrt(np.bincount(inverse, np.tile(words, 2)) / max(1, len(rows)))
     steps = [f"{k} {min(20, int(x * 20)) if k not in (0, 7) else min(20, int(np.log2(1 + x) * 2))}" for k, x in enumerate(m)]
-    bias = np.array([xxhash.xxh32_intdigest("step " + s) % WIDTH for s in steps], np.int64)
-    at, counts = np.unique(places.ravel(), return_counts=True)
-    return np.concatenate([at, bias]), np.concatenate([np.sqrt(counts / max(1, len(words))), np.ones(len(bias))])
+    return np.concatenate([at, [xxhash.xxh32_intdigest("step " + s) % WIDTH for s in steps]]), np.concatenate([share, np.ones(len(steps))])
 
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        measures = [measure(text or "") for text in batch.column("text").to_pylist()]
+        measures = [measure(text or "")[0] for text in batch.column("text").to_pylist()]
         yield pa.record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "votes": pa.array([vote(m) if m[0] else "-" * len(LABELLERS) for m in measures], pa.string())})
 
 
@@ -107,7 +123,8 @@ def _train(table: pa.Table) -> pa.Table:
     weights, squares = np.zeros(WIDTH + 1), np.full(WIDTH + 1, 1e-2)
     examples = []
     for row in rows:
-        at, value = features(row["text"], measure(row["text"]))
+        m, own = measure(row["text"])
+        at, value = features(own, m)
         examples.append((np.append(at, WIDTH), np.append(value, 1.0), row["good"]))
     good = sum(e[2] for e in examples)
     balance = (len(examples) / (2 * max(good, 1.0)), len(examples) / (2 * max(len(examples) - good, 1.0)))
@@ -127,11 +144,11 @@ def _score_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> It
     for batch in batches:
         scores = []
         for text in batch.column("__text").to_pylist():
-            m = measure(text or "")
+            m, rows = measure(text or "")
             if not m[0]:
                 scores.append(0.0)
                 continue
-            at, value = features(text, m)
+            at, value = features(rows, m)
             scores.append(float(1 / (1 + np.exp(-np.clip(weights[at] @ value + weights[WIDTH], -30, 30)))))
         out = batch.drop_columns(["__text"]).append_column("quality_score", pa.array(scores, pa.float64()))
         yield out
