@@ -15,7 +15,6 @@ not kept. Rows stay rows. Only the named columns and `keep` are read. An empty i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,11 @@ from tiltmeter.session import stage
 
 WIDTH, SAMPLE = 1 << 16, 8000
 LABELLERS = ("symbols", "repeats", "capitals", "tables", "run-ons", "variety", "lengths", "prose", "calm", "fresh")
-_SYMBOL, _END, _UPPER, _LETTER = re.compile(r"[#*$%&|<>{}\\^~=_]"), re.compile(r"[.!?…]"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\W\d_]")
+_KINDS = np.zeros((0x800, 5), np.int64)  # by code point: capital, letter, symbol, end, bar; all beyond count as letters
+for _code in range(len(_KINDS)):
+    _c = chr(_code)
+    _KINDS[_code] = (_c.isupper(), _c.isalpha(), _c in "#*$%&|<>{}\\^~=_", _c in ".!?", _c == "|")
+_KINDS = np.vstack([_KINDS, [[0, 1, 0, 0, 0]]])
 
 
 class _Words:
@@ -40,19 +43,31 @@ class _Words:
         self.table = np.zeros((1 << 16, 8), np.int64)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > 400_000:
+        if len(self.number) > 300_000:
             self.number.clear()
-        for word in set(words).difference(self.number):
-            if len(self.number) == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            shape = re.sub(r"(.)\1+", r"\1", _LETTER.sub("a", _UPPER.sub("A", re.sub(r"\d", "0", word))).replace("aA", "A"))[:12]
-            self.table[len(self.number)] = (
-                len(_UPPER.findall(word)), len(_LETTER.findall(word)), len(_SYMBOL.findall(word)), len(_END.findall(word)), word.count("|"), len(word),
-                xxhash.xxh32_intdigest(word.lower()) % WIDTH, xxhash.xxh32_intdigest("shape " + shape) % WIDTH,
-            )
-            self.number[word] = len(self.number)
+        fresh = list(set(words).difference(self.number))
+        if fresh:
+            self._add(fresh)
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
+    def _add(self, fresh: list[str]) -> None:
+        first, last = len(self.number), len(self.number) + len(fresh)
+        while last > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        codes = np.frombuffer("".join(fresh).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        new = self.table[first:last]
+        new[:, :5] = np.add.reduceat(_KINDS[np.minimum(codes, len(_KINDS) - 1)], np.cumsum(sizes) - sizes)
+        new[:, 5] = sizes
+        new[:, 6] = np.fromiter((xxhash.xxh32_intdigest(word.lower()) for word in fresh), np.int64, len(fresh)) % WIDTH
+        upper, letters, symbols, ends = new[:, :4].T
+        others = sizes - letters - symbols - ends
+        shape = np.minimum(upper, 3)
+        for part, most in ((letters - upper, 3), (symbols, 4), (ends, 3), (others, 5), (sizes // 4, 6)):
+            shape = shape * (most + 1) + np.minimum(part, most)
+        new[:, 7] = (shape * 40503 + 17) % WIDTH
+        self.number.update(zip(fresh, range(first, last), strict=True))
+
 
 _WORDS = _Words()
 
@@ -78,11 +93,12 @@ def measure(text: str) -> tuple[list[float], np.ndarray]:
 def vote(m: list[float]) -> str:
     """One letter per labeller: g, b, or - to abstain. Labellers of one symptom never vote good; the last three look at several."""
     n, symbols, repeated, capitals, bars, ends, distinct, length = m
-    one = (symbols > 0.2, repeated > 0.45, capitals > 0.5, bars > 0.2, ends > 0.6 or (ends == 0 and n > 60), distinct < 0.12, length > 18)
+    looped, chopped = repeated > 0.45 and distinct < 0.5, ends > 0.6 and n >= 10
+    one = (symbols > 0.2, looped, capitals > 0.5, bars > 0.2, chopped or (ends == 0 and n > 60), distinct < 0.12, length > 18)
     several = (
-        (symbols > 0.2 or repeated > 0.45 or ends > 0.6, 0.01 < ends < 0.4 and 2.5 < length < 10 and symbols < 0.05 and repeated < 0.1),
+        (symbols > 0.2 or looped or chopped, 0.01 < ends < 0.4 and 2.5 < length < 10 and symbols < 0.05 and repeated < 0.1),
         (capitals > 0.5 or symbols > 0.2 or distinct < 0.12, capitals < 0.2 and symbols < 0.05 and 0 < ends < 0.4),
-        (repeated > 0.45 or symbols > 0.2 or capitals > 0.5, repeated < 0.05 and distinct > 0.2 and symbols < 0.05 and capitals < 0.2 and n >= 5),
+        (looped or symbols > 0.2 or capitals > 0.5, repeated < 0.05 and distinct > 0.2 and symbols < 0.05 and capitals < 0.2 and n >= 5),
     )
     return "".join(["b" if x else "-" for x in one] + ["b" if bad else "g" if good else "-" for bad, good in several])
 
@@ -98,7 +114,7 @@ def features(rows: np.ndarray, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
 
 def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        measures = [measure(text or "")[0] for text in batch.column("text").to_pylist()]
+        measures = [measure(text or "")[0] for text in _texts(batch, "text")]
         yield pa.record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "votes": pa.array([vote(m) if m[0] else "-" * len(LABELLERS) for m in measures], pa.string())})
 
 
@@ -140,18 +156,21 @@ def _train(table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str | None]:
+    return (text.as_py() for text in batch.column(name))
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch], text_col: str, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = []
-        for text in batch.column("__text").to_pylist():
+        for text in _texts(batch, text_col):
             m, rows = measure(text or "")
             if not m[0]:
                 scores.append(0.0)
                 continue
             at, value = features(rows, m)
             scores.append(float(1 / (1 + np.exp(-np.clip(weights[at] @ value + weights[WIDTH], -30, 30)))))
-        out = batch.drop_columns(["__text"]).append_column("quality_score", pa.array(scores, pa.float64()))
-        yield out
+        yield batch.append_column("quality_score", pa.array(scores, pa.float64()))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), keep_at: float = 0.5) -> DataFrame:
@@ -171,7 +190,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         weights = np.frombuffer(trained.weights, np.float64)
     else:
         weights = np.zeros(WIDTH + 1)
-    carried = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([f for f in carried.schema if f.name != "__text"] + [T.StructField("quality_score", T.DoubleType())])
-    scored = carried.mapInArrow(lambda batches: _score_batches(batches, weights), schema)
-    return scored.withColumn("quality_kept", F.col("quality_score") >= keep_at)
+    carried = docs.select(*dict.fromkeys([*keep, text_col]))
+    schema = T.StructType([*carried.schema, T.StructField("quality_score", T.DoubleType())])
+    scored = carried.mapInArrow(lambda batches: _score_batches(batches, text_col, weights), schema)
+    return scored.select(*keep, "quality_score", (F.col("quality_score") >= keep_at).alias("quality_kept"))
