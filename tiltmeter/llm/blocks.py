@@ -70,7 +70,7 @@ def chunked(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_CHA
     rows: list[dict] = []
     held = 0
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (row for at in range(0, batch.num_rows, 256) for row in batch.slice(at, 256).to_pylist()):
             row[text] = row[text] or ""
             rows.append(row)
             held += len(row[text]) + 64

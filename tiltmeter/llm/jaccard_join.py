@@ -36,7 +36,8 @@ from tiltmeter.session import stage
 
 BLOCK_ROWS = 512          # rows of a block of a group's product
 BROADCAST_IDS = 1_000_000  # 8 MB
-_WORDS: dict[bytes, int] = {}
+CHUNK_CHARS = 6_000_000    # sets are not merged in a chunk, so small ones cost nothing
+_WORDS: dict[bytes, int] = {}  # of the running task; emptied at its end, since workers live on
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
@@ -44,7 +45,7 @@ def shingle_set(text: str, n: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 600_000:
+    if len(_WORDS) > 300_000:
         _WORDS.clear()
     for word in set(words).difference(_WORDS):
         _WORDS[word] = xxhash.xxh3_64_intdigest(word)
@@ -73,7 +74,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 def _incidence(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per chunk and block of columns: n-grams and the chunk's document numbers. Block 0 also carries the documents."""
-    for chunk, rows in chunked(batches, "text"):
+    for chunk, rows in chunked(batches, "text", CHUNK_CHARS):
         sets = [shingle_set(row["text"], n) for row in rows]
         keys = np.concatenate(sets)
         docs = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
@@ -89,6 +90,7 @@ def _incidence(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Itera
             out["sizes"].append([len(s) for s in sets] if not bucket else None)
             out["digests"].append([_digest(s) for s in sets] if not bucket else None)
         yield pa.RecordBatch.from_pydict(out, _INCIDENCE)
+    _WORDS.clear()
 
 
 def _shared(table: pa.Table) -> pa.Table:
@@ -120,11 +122,12 @@ def _profile(table: pa.Table) -> pa.Table:
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(text or "", n) for text in batch.column("text").to_pylist()]
+        sets = [shingle_set(text.as_py() or "", n) for text in batch.column("text")]
         yield pa.record_batch({
             "n": pa.array([len(s) for s in sets], pa.int64()),
             "digest": pa.array([_digest(s) for s in sets], pa.binary()), "keys": pa.array([s.tobytes() for s in sets], pa.binary()),
         })
+    _WORDS.clear()
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,9 @@ class _Words:
     """What a task knows of words, one row each: counts of capitals, letters, symbols, ends, bars, characters; two features."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.table = np.zeros((1 << 16, 8), np.int64)
 
@@ -69,7 +72,7 @@ class _Words:
         self.number.update(zip(fresh, range(first, last), strict=True))
 
 
-_WORDS = _Words()
+_WORDS = _Words()  # of the running task; emptied at its end, since workers live on
 
 
 def measure(text: str) -> tuple[list[float], np.ndarray]:
@@ -116,6 +119,7 @@ def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         measures = [measure(text or "")[0] for text in _texts(batch, "text")]
         yield pa.record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "votes": pa.array([vote(m) if m[0] else "-" * len(LABELLERS) for m in measures], pa.string())})
+    _WORDS.clear()
 
 
 def posteriors(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
@@ -171,6 +175,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], text_col: str, weights: np
             at, value = features(rows, m)
             scores.append(float(1 / (1 + np.exp(-np.clip(weights[at] @ value + weights[WIDTH], -30, 30)))))
         yield batch.append_column("quality_score", pa.array(scores, pa.float64()))
+    _WORDS.clear()
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), keep_at: float = 0.5) -> DataFrame:

@@ -211,6 +211,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.
         x = np.array([_summary(np.fromiter((_VALUES[u] for u in set(units)), np.float64)) for units in texts]).reshape(len(texts), -1)
         chance = 1 / (1 + np.exp(-np.clip(x @ map_weights, -30, 30))) if len(texts) else np.zeros(0)
         yield batch.drop_columns(["__text"]).append_column("toxicity", pa.array(chance, pa.float64()))
+    _VALUES.clear()
 
 
 def score_texts(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
