@@ -9,6 +9,9 @@ therefore costs one entry per chunk, never one per occurrence, and no task holds
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -84,3 +87,12 @@ def chunked(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHUNK_CHA
 def words_of(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, as UTF-8: bytes know just these white-space characters."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def at_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass batches on; when a task ends, give its memory back to the system: workers live on beside the next stage."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)

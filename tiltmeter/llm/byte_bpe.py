@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiltmeter.llm.blocks import bucket_count, by_bucket, pack, ranges, unpack
+from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, pack, ranges, unpack
 from tiltmeter.session import stage
 
 CHUNK_CHARS = 28_000_000  # fewer chunks send fewer pre-tokens twice
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     layout = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(n, T.BinaryType()) for n in ("counts", "places", "of", "sizes", "pieces")),
     ])
-    chunks = stage(source.mapInArrow(lambda batches: _split(batches, pattern, buckets, arrow_id), layout), "pretokens")
+    chunks = stage(source.mapInArrow(lambda batches: at_end(_split(batches, pattern, buckets, arrow_id)), layout), "pretokens")
     sent = chunks.select("chunk", "of", "sizes", "pieces").mapInArrow(lambda batches: _send(batches, buckets), "bucket int, chunk long, sizes binary, pieces binary")
     coded = sent.groupBy("bucket").applyInArrow(lambda table: _encode_bucket(table, ranks_path, pattern), "chunk long, bucket int, lengths binary, tokens binary")
     result = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])

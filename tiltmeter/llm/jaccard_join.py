@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.blocks import bucket_count, by_bucket, chunked, mix, pack, unpack, words_of
+from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, chunked, mix, pack, unpack, words_of
 from tiltmeter.llm.components import components
 from tiltmeter.session import stage
 
@@ -171,18 +171,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """-> (`id_col` long, n_shingles long, component_id long), one per row; component_id is the smallest id reachable."""
     buckets = bucket_count(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cells = source.mapInArrow(lambda b: _incidence(b, n, buckets), _ddl(_INCIDENCE))
+    cells = source.mapInArrow(lambda b: at_end(_incidence(b, n, buckets)), _ddl(_INCIDENCE))
     shares = cells.groupBy("bucket").applyInArrow(_shared, _ddl(_SHARES))
     profile = stage(shares.groupBy("chunk").applyInArrow(_profile, "id long, n long, digest binary, shared long"), "profile")
 
     tag = F.xxhash64("digest")  # names a class; as good as an n-gram's hash
     near = profile.where(F.expr(f"n > 0 and 100 * shared >= {percent} * n"))
     classes = stage(near.groupBy(tag.alias("tag")).agg(F.min("id").alias("rep")), "classes")
-    sets = _rows_of(source, classes).mapInArrow(lambda b: _sets(b, n), "n long, digest binary, keys binary")
+    sets = _rows_of(source, classes).mapInArrow(lambda b: at_end(_sets(b, n)), "n long, digest binary, keys binary")
     sets = sets.select(tag.alias("tag"), "n", "keys").join(classes.select("tag"), "tag", "left_semi")
     sets = stage(sets.dropDuplicates(["tag"]), "sets")
 
-    held = stage(sets.mapInArrow(_explode, "tag long, n long, key long"), "cells")
+    held = stage(sets.mapInArrow(lambda b: at_end(_explode(b)), "tag long, n long, key long"), "cells")
     frequent = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # N-grams of one row alone come first in the order from rare to frequent, and match nothing: what they leave of the
     # prefix goes to the rarest of the others.

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiltmeter.llm.blocks import at_end
 from tiltmeter.session import stage
 
 WIDTH, SAMPLE = 1 << 16, 8000
@@ -181,7 +182,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], text_col: str, weights: np
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), keep_at: float = 0.5) -> DataFrame:
     """-> `keep` columns, quality_score double, quality_kept boolean."""
     source = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("mark"), F.col(text_col).alias("text"))
-    voted = stage(source.mapInArrow(_vote_batches, "id string, mark long, votes string"), "votes")
+    voted = stage(source.mapInArrow(lambda batches: at_end(_vote_batches(batches)), "id string, mark long, votes string"), "votes")
     counts = {row.votes: row.n for row in voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()}  # bounded by the patterns
     counts.pop("-" * len(LABELLERS), None)
     table = posteriors(counts)
@@ -197,5 +198,5 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         weights = np.zeros(WIDTH + 1)
     carried = docs.select(*dict.fromkeys([*keep, text_col]))
     schema = T.StructType([*carried.schema, T.StructField("quality_score", T.DoubleType())])
-    scored = carried.mapInArrow(lambda batches: _score_batches(batches, text_col, weights), schema)
+    scored = carried.mapInArrow(lambda batches: at_end(_score_batches(batches, text_col, weights)), schema)
     return scored.select(*keep, "quality_score", (F.col("quality_score") >= keep_at).alias("quality_kept"))

@@ -8,7 +8,8 @@ and below the middle of the alphabet, and lag-1 serial correlation. Their smalle
 
 A string is a secret if its p reaches a threshold that holds the false-discovery rate of its stratum (alphabet size and
 length class, since short strings give weak tests) at `fdr`: random strings have uniform p-values, so twice the number
-above 1/2 tells how many there are and how many of them a threshold keeps; whatever else it keeps counts as false. The
+above 1/2 tells how many there are and how many of them a threshold keeps; whatever else it keeps, beyond
+that estimate's own error, counts as false. The
 table behind this has STRATA x CELLS rows at most and covers all candidates of the input.
 
 Everything is SQL functions. A null text counts as empty. Rows stay rows, also repeated ones; positions are code points,
@@ -112,7 +113,7 @@ def _thresholds(tests: DataFrame, fdr: float) -> dict[int, float]:
     whole = Window.partitionBy("stratum")
     bound = (F.col("cell") / CELLS).alias("bound")
     cells = cells.withColumn("declared", F.sum("n").over(above)).withColumn("random", 2 * F.sum(F.when(F.col("cell") * 2 >= CELLS, F.col("n")).otherwise(0)).over(whole))
-    false = F.col("declared") - F.least(F.col("declared"), F.col("random") * (1 - bound))
+    false = F.col("declared") - F.least(F.col("declared"), F.col("random") * (1 - bound) + F.sqrt(2 * F.col("random")))
     fit = cells.where((bound >= FLOOR) & (false <= fdr * F.col("declared"))).groupBy("stratum").agg((F.min("cell") / CELLS).alias("least"))
     return {row.stratum: row.least for row in fit.collect()}
 
