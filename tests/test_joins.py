@@ -39,3 +39,23 @@ def test_at_most_the_bound_is_broadcast(spark):
     total = table.agg(F.sum("n")).first()[0]
     assert table.where(F.col("n") * HOT_SHARE >= total).count() == 0
     assert lookup(rows, stage(table), "key", "n", ["id"]).where("first <> id OR first IS NULL").count() == 0
+
+
+def test_null_keys_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tiltmeter.functions.ordering import running_sum
+
+    rows = spark.createDataFrame([(0, "a", 1.0), (1, None, 2.0), (2, None, 3.0)], "step long, coin string, v double")
+    found = running_sum(rows, "step", F.col("v"), "total", ["coin"]).orderBy("step").collect()
+    assert [r.total for r in found] == [1.0, 2.0, 5.0]
+
+
+def test_nested_scopes_remove_their_own_tables(spark):
+    from tiltmeter.session import stage, staging_scope
+
+    with staging_scope(spark):
+        outer = stage(spark.range(3), "outer")
+        with staging_scope(spark):
+            stage(spark.range(2), "inner")
+        assert outer.count() == 3

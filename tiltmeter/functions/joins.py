@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,3 +31,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Seq
     )
     joined = routed.join(cold, "_route", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys match each other; `left`'s keys stay."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys])
+    return left.join(renamed, same).drop(*[f"_right_{key}" for key in keys])

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltmeter.functions.joins import join_null_safe
+
 from tiltmeter.session import stage
 
 BLOCK = 1 << 16
@@ -66,7 +68,7 @@ def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Co
         .select(*groups, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     return (
-        placed.join(cells, [*groups, "_part"])
+        join_null_safe(placed, cells, [*groups, "_part"])
         .withColumn(name, F.col("_offset") + F.col("_seq") - F.col("_first"))
         .drop("_seq", "_part", "_first", "_offset")
     )
@@ -111,14 +113,14 @@ def running_sum(
         *series, "_group",
         F.coalesce(F.sum("_group_total").over(before(*series, order="_group")), F.lit(0.0)).alias("_group_start"),
     )
-    starts = totals.join(group_starts, [*series, "_group"]).select(
+    starts = join_null_safe(totals, group_starts, [*series, "_group"]).select(
         *series, "_block",
         (F.col("_group_start")
          + F.coalesce(F.sum("_total").over(before(*series, "_group", order="_block")), F.lit(0.0))).alias("_start"),
     )
     so_far = Window.partitionBy(*series, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        base.join(starts, [*series, "_block"])
+        join_null_safe(base, starts, [*series, "_block"])
         .withColumn(name, F.col("_start") + F.sum("_value").over(so_far))
         .drop("_value", "_block", "_start")
     )

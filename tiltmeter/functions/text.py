@@ -70,7 +70,7 @@ def detect_topics(tags: Column, text: Column, topics: Mapping[str, Sequence[str]
             aliases = F.array(*[F.lit(w.lower()) for w in words])
             # A plain substring search rules out most texts before the pattern runs.
             maybe = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words])
-            whole = low.rlike(r"(?U)\b(?:" + "|".join(w.lower() for w in words) + r")\b")
+            whole = low.rlike(r"(?U)(?<!\w)(?:" + "|".join(rf"\Q{w.lower()}\E" for w in words) + r")(?!\w)")
             hits.append(F.when(F.arrays_overlap(plain, aliases) | (maybe & whole), F.lit(symbol)))
         return F.array_compact(F.array(*hits))
 

@@ -152,7 +152,8 @@ def step_rule(policy: StepPolicy = StepPolicy()) -> Column:
 
 
 def step_risk(policy: StepPolicy = StepPolicy()) -> Column:
-    return F.coalesce(F.col("volatility_index") > policy.risk_volatility, F.lit(False))
+    volatility = F.col("volatility_index")
+    return F.coalesce((volatility > policy.risk_volatility) & ~F.isnan(volatility), F.lit(False))
 
 
 def composite_parts(weights: CompositeWeights = CompositeWeights()) -> dict[str, Column]:
@@ -256,7 +257,9 @@ def decide_bucketed(
         "_rsi_bucket": bucketed(F.col("rsi_technical_indicator"), width),
         "_volatility_bucket": bucketed(F.col("volatility_index"), width),
     })
-    bucket = F.concat_ws("|", F.md5("_text"), F.col("_rsi_bucket").cast("string"), F.col("_volatility_bucket").cast("string"))
+    bucket = F.concat_ws("|", F.md5("_text"), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("_rsi_bucket", "_volatility_bucket")  # concat_ws skips nulls
+    ])
     askers = placed.groupBy("_text", "_rsi_bucket", "_volatility_bucket").agg(
         F.min("step").alias("asked_at"), F.count(F.lit(1)).alias("_size"),
         F.min_by("rsi_technical_indicator", "step").alias("_rsi"),

@@ -116,9 +116,12 @@ def first_active(log: DataFrame, n: int = 3) -> DataFrame:
 
 
 def combined_log(rule: DataFrame, agent: DataFrame) -> DataFrame:
-    """Both logs by step with prefixed columns, both P&Ls and an agreement flag."""
+    """Both logs by step with prefixed columns, both P&Ls and an agreement flag. A step that one log lacks is an error."""
     a = rule.select("step", *[F.col(c).alias(f"rule_{c}") for c in rule.columns if c not in ("step", "pnl")],
                     F.col("pnl").alias("pnl_rule"))
     b = agent.select("step", *[F.col(c).alias(f"agent_{c}") for c in agent.columns if c not in ("step", "pnl")],
                      F.col("pnl").alias("pnl_agent"))
-    return a.join(b, "step").withColumn("actions_agree", F.col("rule_action_taken") == F.col("agent_action_taken"))
+    both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), "step", "full_outer")
+    lacking = F.raise_error(F.format_string("only one of the logs has step %s", F.col("step").cast("string"))).cast("boolean")
+    agree = F.col("rule_action_taken") == F.col("agent_action_taken")
+    return both.withColumn("actions_agree", F.when(F.col("_a").isNull() | F.col("_b").isNull(), lacking).otherwise(agree)).drop("_a", "_b")

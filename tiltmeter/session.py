@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-_SCOPES: list[list[str]] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staging_scope", default=None)
 
 
 def build_session(app_name: str = "tiltmeter", master: str | None = None, **conf: object) -> SparkSession:
@@ -63,8 +64,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, name)
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,11 +74,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def staging_scope(spark: SparkSession) -> Iterator[None]:
     """Remove the tables staged inside the block when it ends; their readers must be done by then."""
     paths: list[str] = []
-    _SCOPES.append(paths)
+    token = _SCOPE.set(paths)
     try:
         yield
     finally:
-        _SCOPES.remove(paths)
+        _SCOPE.reset(token)
         for path in paths:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
