@@ -2,9 +2,11 @@
 
 Known forms (`assign`, `access`, `hex`) are leftmost non-overlapping matches of their pattern. Any other run of 20
 characters or more of a code alphabet is a candidate. From its characters its encoding is inferred (the smallest
-alphabet that holds them all); a run of letters of one case has none, since words look alike. Three tests ask whether
-the string could be drawn at random from that alphabet: chi-squared of the character counts, Wald-Wolfowitz runs above
-and below the middle of the alphabet, and lag-1 serial correlation. Their smallest p-value times three is `p`.
+alphabet that holds them all); a run of letters of one case has none, since words look alike. Four tests ask whether
+the string could be drawn at random from that alphabet: chi-squared of the character counts, chi-squared of the counts
+of its classes (capitals, small letters, others; single characters are too rare in short strings to tell words in camel
+case), Wald-Wolfowitz runs above and below the middle of the alphabet, and lag-1 serial correlation. `p` is the chance
+that the smallest of four such p-values is as small as theirs.
 
 A string is a secret if its p reaches a threshold that holds the false-discovery rate of its stratum (alphabet size and
 length class, since short strings give weak tests) at `fdr`: random strings have uniform p-values, so twice the number
@@ -70,6 +72,8 @@ def _battery() -> list[tuple[str, str]]:
     whole = "regexp_replace(c.string, '=+$', '')"
     mixed = "(rlike(c.body, '[0-9]') and rlike(c.body, '[A-Za-z]') or rlike(c.body, '[a-z]') and rlike(c.body, '[A-Z]'))"
     alphabet = "case when not " + mixed + " then null " + " ".join(f"when rlike(c.body, {_lit('^' + p + '$')}) then {_lit(a)}" for p, a in ENCODINGS) + " end"
+    of_class = "length(regexp_replace({}, '[^{}]', ''))"
+    classes = ", ".join(f"named_struct('seen', {of_class.format('c.body', k)}, 'among', {of_class.format('c.alphabet', k)})" for k in ("A-Z", "a-z", "0-9+/_-"))
     pairs = "zip_with(slice(c.codes, 1, c.n - 1), slice(c.codes, 2, c.n - 1), (x, y) -> {})"
     return [
         ("body", whole),
@@ -87,7 +91,10 @@ def _battery() -> list[tuple[str, str]]:
         ("z_chi", "(pow((c.a * c.squares / c.n - c.n) / (c.a - 1), 1 / 3D) - (1 - 2 / (9D * (c.a - 1)))) / sqrt(2 / (9D * (c.a - 1)))"),
         ("z_runs", "if(c.expected <= 1, 9D, abs(c.runs - 1 - c.expected) / sqrt(c.expected * (c.expected - 1) / (c.n - 1)))"),
         ("z_serial", "if(c.spread = 0, 9D, abs(c.lagged / c.spread + 1D / c.n) * sqrt(c.n))"),
-        ("p", f"least(1D, 3 * least({_normal('c.z_chi')}, 2 * {_normal('c.z_runs')}, 2 * {_normal('c.z_serial')}))"),
+        ("classes", f"filter(array({classes}), k -> k.among > 0)"),
+        ("chi_classes", "aggregate(c.classes, 0D, (s, k) -> s + pow(k.seen - c.n * k.among / c.a, 2) / (c.n * k.among / c.a))"),
+        ("p_classes", f"if(size(c.classes) = 3, exp(-c.chi_classes / 2), 2 * {_normal('sqrt(c.chi_classes)')})"),
+        ("p", f"1 - pow(1 - least(1D, {_normal('c.z_chi')}, c.p_classes, 2 * {_normal('c.z_runs')}, 2 * {_normal('c.z_serial')}), 4)"),
     ]
 
 
