@@ -92,6 +92,11 @@ def words_of(text: str) -> list[bytes]:
 def at_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pass batches on; when a task ends, give its memory back to the system: workers live on beside the next stage."""
     yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, pack, ranges, unpack
+from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, give_back, pack, ranges, unpack
 from tiltmeter.session import stage
 
 CHUNK_CHARS = 28_000_000  # fewer chunks send fewer pre-tokens twice
+BATCH_BYTES = 4_000_000  # results leave a task in batches of about this size
 
 
 @functools.lru_cache(maxsize=2)
@@ -131,15 +132,18 @@ def _encode_bucket(table: pa.Table, ranks_path: str, pattern: str) -> pa.Table:
         out["bucket"].append(row["bucket"])
         out["lengths"].append(pack(np.array([len(c) for c in coded], np.uint32)))
         out["tokens"].append(pack(np.array([t for c in coded for t in c], np.uint32)))
+    del known
+    give_back()
     return pa.Table.from_pydict(out, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("tokens", pa.binary())]))
 
 
 def _assemble(chunks: pa.Table, parts: pa.Table, ranks_path: str, buckets: int, schema: pa.Schema) -> pa.Table:
     starts, sizes, raw = _token_bytes(ranks_path)
-    out: dict[str, list] = {"id": [], "n_tokens": [], "ids": [], "decoded": []}
+    answer = {part["bucket"]: part for part in parts.to_pylist()}
+    out: dict[str, list] = {name: [] for name in schema.names}
+    done, held = [], 0
     for row in chunks.to_pylist():
         of = unpack(row["of"], np.uint64)
-        answer = {part["bucket"]: part for part in parts.to_pylist()}
         order, lengths, tokens = [], [], []
         for bucket, at in by_bucket(of, buckets):
             order.append(at)
@@ -158,7 +162,13 @@ def _assemble(chunks: pa.Table, parts: pa.Table, ranks_path: str, buckets: int,
             out["n_tokens"].append(len(ids))
             out["ids"].append(ids.astype("<u4").tobytes())
             out["decoded"].append(raw[ranges(starts[ids], sizes[ids])].tobytes())
-    return pa.Table.from_pydict(out, schema)
+            held += len(out["ids"][-1]) + len(out["decoded"][-1])
+            if held >= BATCH_BYTES:
+                done.append(pa.RecordBatch.from_pydict(out, schema))
+                out, held = {name: [] for name in schema.names}, 0
+    done.append(pa.RecordBatch.from_pydict(out, schema))
+    give_back()
+    return pa.Table.from_batches(done, schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
