@@ -647,7 +647,7 @@ def injection_flips(spark, folder):
 
 @query
 def flip_classes(spark, folder):
-    return compare.flip_classes(sweep_decisions(spark, folder))
+    return compare.flip_classes(sweep_decisions(spark, folder), variants(spark))
 
 
 @query

@@ -109,22 +109,22 @@ def features(rows: str) -> str:
 
 
 _SENTIMENT = " UNION ALL ".join(
-    f"SELECT '{SWEEP.sentiment_name(f)}' AS dataset, 'sentiment' AS family, {f}::DOUBLE AS strength,"
+    f"SELECT '{SWEEP.name('sentiment', f)}' AS dataset, 'sentiment' AS family, {f}::DOUBLE AS strength,"
     f" 'sentiment_amplification_k{f:g}' AS kind, tweet_id, ts, coin, label,"
     f" greatest(-1.0::DOUBLE, least(1.0::DOUBLE, score * {f}::DOUBLE)) AS score, conf, false AS syn, '' AS adv FROM scored"
     for f in SWEEP.factors
 )
 _JITTER = " UNION ALL ".join(
-    f"SELECT '{SWEEP.jitter_name(m)}', 'jitter', {m}::DOUBLE, 'temporal_jitter_pm{m}min', tweet_id,"
+    f"SELECT '{SWEEP.name('jitter', m)}', 'jitter', {m}::DOUBLE, 'temporal_jitter_pm{m}min', tweet_id,"
     f" ts + to_minutes({draw('jitter', 'tweet_id')} % {2 * m + 1} - {m}), coin, label, score, conf, false, '' FROM scored"
     for m in SWEEP.jitters
 )
 _ORIGINALS = " UNION ALL ".join(
-    f"SELECT '{SWEEP.injection_name(r)}', 'injection', {r}::DOUBLE, 'adversarial_original_r{r:.2f}', tweet_id, ts, coin,"
+    f"SELECT '{SWEEP.name('injection', r)}', 'injection', {r}::DOUBLE, 'adversarial_original_r{r:.2f}', tweet_id, ts, coin,"
     f" label, score, conf, false, '' FROM scored"
     for r in SWEEP.ratios
 )
-_RATIOS = ", ".join(f"('{SWEEP.injection_name(r)}', {r}::DOUBLE, '{r:.2f}')" for r in SWEEP.ratios)
+_RATIOS = ", ".join(f"('{SWEEP.name('injection', r)}', {r}::DOUBLE, '{r:.2f}')" for r in SWEEP.ratios)
 _TEXTS = ", ".join(
     f"('{symbol}', '{polarity}', {i}, '{body}')"
     for (symbol, polarity), bodies in SYNTHETIC_TEXTS.items() for i, body in enumerate(bodies)
@@ -654,7 +654,7 @@ ORACLES: dict[str, str] = {
     "flip_classes": on_sweep("""
         SELECT agent, dataset, window_id, coin AS cryptocurrency, act0 AS action_base, act AS action_taken, n_syn AS synthetic_count,
                CASE WHEN act <> act0 AND n_syn > 0 THEN 'flipped_injected' WHEN act <> act0 THEN 'flipped_other' ELSE 'stable' END AS flip_class
-        FROM pairs"""),
+        FROM pairs WHERE dataset IN (SELECT r.dataset FROM registry r WHERE r.family = 'injection')"""),
     "injection_ratio": on_sweep(f"""
         SELECT dataset, label, nominal AS nominal_injection_ratio, window_id, coin AS cryptocurrency, original AS original_tweet_count,
                n_syn AS synthetic_count, {r6('actual')} AS actual_injection_ratio, cap_hit FROM ({_RATIO_TABLE})"""),

@@ -158,7 +158,7 @@ def test_flips(spark):
     row = compare.injection_flips(table, dataset_registry(spark)).first()
     assert (row.matched_windows, row.targeted_windows, row.flipped_targeted, row["targeted_flip_rate_%"], row.flipped_all, row["all_flip_rate_%"]) == (
         3, 1, 1, 100.0, 2, 66.67)
-    assert {r.window_id: r.flip_class for r in compare.flip_classes(table).collect()} == {
+    assert {r.window_id: r.flip_class for r in compare.flip_classes(table, dataset_registry(spark)).collect()} == {
         "w0": "flipped_injected", "w1": "flipped_other", "w2": "stable"}
 
 
@@ -227,7 +227,7 @@ def test_market_frame(spark):
 
 
 def test_short_names():
-    assert Sweep.sentiment_name(2) == "sentiment_2.0" and Sweep.injection_name(0.1) == "injection_0.10"
+    assert Sweep.name("sentiment", 2) == "sentiment_2.0" and Sweep.name("injection", 0.1) == "injection_0.10"
 
 
 def test_demo_inputs_cover_all_outcomes(spark, data):

@@ -81,6 +81,7 @@ def over_previous_rows(
 
     The last `reach` rows of every block are copied into the next one as a halo, so each block is complete on
     its own; the copies are dropped at the end. `columns` receives the window spec, ordered by `step`.
+    Steps must be 0, 1, 2, ...; a gap, a repeated or a null step is an error, since frames would miss rows.
     """
     if not 0 < reach <= block:
         raise ValueError(f"reach must be between 1 and {block}")
@@ -88,7 +89,11 @@ def over_previous_rows(
     near_end = F.pmod(F.col(step), F.lit(block)) >= block - reach
     spread = df.withColumn("_block", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
     spec = Window.partitionBy("_block").orderBy(step)
-    return spread.withColumns(columns(spec)).where(F.col("_block") == home).drop("_block")
+    dense = (F.col(step) == 0) & F.col("_before").isNull() | (F.col("_before") == F.col(step) - 1)
+    gap = F.raise_error(F.format_string("steps are not dense at %s", F.col(step).cast("string"))).cast("boolean")
+    kept = F.when(F.col("_block").eqNullSafe(home), F.when(dense, True).otherwise(gap)).otherwise(False)
+    framed = spread.withColumns({**columns(spec), "_before": F.lag(step).over(spec)})
+    return framed.where(kept).drop("_block", "_before")
 
 
 def running_sum(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiltmeter.functions.joins import join_null_safe
+
 ACCURACY = 10_000
 
 
@@ -15,12 +17,12 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row per key with the linearly interpolated percentiles named in `outputs`.
 
-    Meant for keys with few values, such as the dataset of a sweep: one bracket row per key and output is
-    broadcast, so a key with most of the rows is not gathered in one task either.
+    Null keys are a group of their own.
 
     The built-in `percentile` keeps every distinct value of a group in one buffer. Here a bounded sketch
-    brackets each wanted rank; rows under the bracket are only counted, and only the bracket (a few rows per
-    `accuracy`) is ordered. Groups no larger than `accuracy` use the whole range as their bracket.
+    brackets each wanted rank; the rows under the bracket and those above it collapse to one row each (their count
+    and the value next to the bracket), and only the bracket is ordered. All groups go this way, whatever their
+    size. A rank that falls outside its bracket is an error.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
@@ -33,28 +35,35 @@ def exact_percentiles(
         F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(2 * i).alias("at"))
         for i, (name, p) in enumerate(outputs.items())
     ])
-    small = F.col("_n") <= accuracy
     brackets = sketch.select(*keys, "_n", "_edges", F.explode(wanted).alias("_w")).select(
         *keys,
         F.col("_w.name").alias("_name"),
         (F.col("_w.p") * (F.col("_n") - 1)).alias("_rank"),
-        F.when(small, F.lit(float("-inf"))).otherwise(F.get("_edges", F.col("_w.at"))).alias("_low"),
-        F.when(small, F.lit(float("inf"))).otherwise(F.get("_edges", F.col("_w.at") + 1)).alias("_high"),
+        F.get("_edges", F.col("_w.at")).alias("_low"),
+        F.get("_edges", F.col("_w.at") + 1).alias("_high"),
     )
-    # Equal values collapse before anything is ordered; values under a bracket collapse to one row that
-    # stands for their count.
-    placed = rows.join(F.broadcast(brackets), keys).where(F.col("_v") <= F.col("_high"))
+    zone = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
+    # Equal values collapse before anything is ordered, and so does all that lies outside the bracket.
     counted = (
-        placed.withColumn("_v", F.when(F.col("_v") < F.col("_low"), F.lit(float("-inf"))).otherwise(F.col("_v")))
-        .groupBy(*keys, "_name", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_rank").alias("_rank"))
+        join_null_safe(rows, brackets, keys).withColumn("_zone", zone)
+        .groupBy(*keys, "_name", "_zone", F.when(F.col("_zone") == 0, F.col("_v")).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_rank").alias("_rank"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
-    upto = Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*keys, "_name").orderBy("_zone", "_at").rowsBetween(Window.unboundedPreceding, 0)
     at = counted.withColumn("_end", F.sum("_c").over(upto))
+    outside = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+
+    def value_at(rank: Column) -> Column:
+        here = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
+        known = (
+            F.when((F.col("_zone") < 0) & (rank == F.col("_end") - 1), F.col("_most"))
+            .when((F.col("_zone") > 0) & (rank == F.col("_end") - F.col("_c")), F.col("_least"))
+            .when(F.col("_zone") == 0, F.col("_at")).otherwise(outside)
+        )
+        return F.max(F.when(here, known))
+
     picked = at.groupBy(*keys, "_name").agg(
-        F.first("_rank").alias("_rank"),
-        F.min(F.when(F.col("_end") > F.floor("_rank"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_end") > F.ceil("_rank"), F.col("_v"))).alias("_b"),
+        F.first("_rank").alias("_rank"), value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_b"),
     )
     exact = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
     return picked.groupBy(*keys).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltmeter.config import ACTIONS, BASELINE, FAMILIES, MODEL_AGENT, RULE_AGENT, TargetRules
-from tiltmeter.functions.labels import action_of, direction
+from tiltmeter.functions.labels import direction
 from tiltmeter.functions.numeric import percent
 from tiltmeter.functions.ordering import grouped_index
 
@@ -131,15 +131,12 @@ def paired_agents(decisions: DataFrame, first: str = RULE_AGENT, second: str = M
     def of(agent: str, value: Column) -> Column:
         return F.max(F.when(F.col("agent") == agent, value))
 
-    # Numbers rather than names keep the aggregate hash-based.
-    code, override = direction(F.col("action_taken")), F.col("oracle_triggered")
-    pairs = decisions.groupBy("dataset", "window_id", "cryptocurrency", "window_start").agg(
-        of(first, code).alias("_first"), of(second, code).alias("_second"),
+    # Names, not codes: an agent may answer something other than the three actions.
+    action, override = F.col("action_taken"), F.col("oracle_triggered")
+    return decisions.where(F.col("agent").isin(first, second)).groupBy("dataset", "window_id", "cryptocurrency", "window_start").agg(
+        of(first, action).alias("action_first"), of(second, action).alias("action_second"),
         of(first, override).alias("override_first"), of(second, override).alias("override_second"),
-    ).where(F.col("_first").isNotNull() & F.col("_second").isNotNull())
-    return pairs.withColumns({
-        "action_first": action_of(F.col("_first")), "action_second": action_of(F.col("_second")),
-    }).drop("_first", "_second")
+    ).where(F.col("action_first").isNotNull() & F.col("action_second").isNotNull())
 
 
 def consensus(
@@ -220,13 +217,19 @@ def variant_summary(decisions: DataFrame, notes: Mapping[str, str] | None = None
     return table
 
 
-def flip_classes(decisions: DataFrame) -> DataFrame:
+def _of_family(decisions: DataFrame, registry: DataFrame, family: str) -> DataFrame:
+    """Decisions of one family and of the baseline, cut before anything is shuffled."""
+    wanted = registry.where(F.col("family").isin(family, BASELINE)).select("dataset")
+    return decisions.join(F.broadcast(wanted), "dataset", "left_semi")
+
+
+def flip_classes(decisions: DataFrame, registry: DataFrame) -> DataFrame:
     """Every matched window of the injected datasets as flipped in a target, flipped elsewhere, or stable."""
     kind = (
         F.when(F.col("flipped") & (F.col("synthetic_count") > 0), "flipped_injected")
         .when(F.col("flipped"), "flipped_other").otherwise("stable")
     )
-    return matched(decisions).withColumn("flip_class", kind).select(
+    return matched(_of_family(decisions, registry, "injection")).withColumn("flip_class", kind).select(
         "agent", "dataset", "window_id", "cryptocurrency", "action_base", "action_taken", "synthetic_count",
         "flip_class",
     )
@@ -236,7 +239,7 @@ def injection_flips(decisions: DataFrame, registry: DataFrame) -> DataFrame:
     """Flip rates of injected datasets, in windows with synthetic posts and overall."""
     injected = registry.where(F.col("family") == "injection")
     targeted = F.col("synthetic_count") > 0
-    counts = matched(decisions).groupBy("agent", "dataset").agg(
+    counts = matched(_of_family(decisions, registry, "injection")).groupBy("agent", "dataset").agg(
         F.count(F.lit(1)).alias("matched_windows"), F.count_if(targeted).alias("targeted_windows"),
         F.count_if(targeted & F.col("flipped")).alias("flipped_targeted"), F.count_if("flipped").alias("flipped_all"),
     )

@@ -50,7 +50,7 @@ def synthetic_count(posts: Column, ratio: Column, rules: TargetRules = TargetRul
 def injection_plan(targets: DataFrame, sweep: Sweep = Sweep(), rules: TargetRules = TargetRules()) -> DataFrame:
     """Targets times ratios with the number of posts each gets."""
     ratios = F.array(*[
-        F.struct(F.lit(sweep.injection_name(r)).alias("dataset"), F.lit(float(r)).alias("nominal_injection_ratio"))
+        F.struct(F.lit(sweep.name("injection", r)).alias("dataset"), F.lit(float(r)).alias("nominal_injection_ratio"))
         for r in sweep.ratios
     ])
     return (
@@ -117,7 +117,7 @@ def injected_dataset(
 
     `synthetic` is scored here when `probabilities` is given, else it must be scored already.
     """
-    name = Sweep.injection_name(ratio)
+    name = Sweep.name("injection", ratio)
     extra = synthetic.where(F.col("dataset") == name).drop("dataset")
     if probabilities is not None:
         extra = add_scores(extra, probabilities)

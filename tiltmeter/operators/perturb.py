@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tiltmeter.config import BASELINE, EMPHASIS_PREFIX, NO_FEED_TEXT, Sweep, ratio_key, short_number
+from tiltmeter.config import BASELINE, EMPHASIS_PREFIX, NO_FEED_TEXT, Sweep
 from tiltmeter.functions.labels import score_from_label
 from tiltmeter.functions.numeric import clean_double, clip, keyed_draw
 from tiltmeter.functions.ordering import BLOCK, over_previous_rows
@@ -20,7 +20,7 @@ def amplify(df: DataFrame, factor: float) -> DataFrame:
     about decisions that read the score."""
     return df.withColumn("sentiment_score_original", clean_double("sentiment_score")).withColumns({
         "sentiment_score": amplified(F.col("sentiment_score_original"), factor),
-        "mutation_type": F.lit(f"sentiment_amplification_k{short_number(factor)}"),
+        "mutation_type": F.lit(Sweep.mutation("sentiment", factor)),
         "is_synthetic": F.lit(False),
         "sweep_family": F.lit("sentiment"),
         "sweep_strength": F.lit(float(factor)),
@@ -52,7 +52,7 @@ def time_jitter(df: DataFrame, max_minutes: int, seed: int = Sweep.seed, id_col:
 def mark_injected_original(df: DataFrame, ratio: float) -> DataFrame:
     """The untouched half of an injected dataset."""
     marked = df.withColumns({
-        "mutation_type": F.lit(f"adversarial_original_r{ratio_key(ratio)}"),
+        "mutation_type": F.lit(Sweep.mutation("injection", ratio)),
         "is_synthetic": F.lit(False),
         "sweep_family": F.lit("injection"),
         "sweep_strength": F.lit(float(ratio)),
@@ -83,18 +83,18 @@ def sweep_rows(scored: DataFrame, synthetic: DataFrame | None, sweep: Sweep = Sw
     variants = [variant(BASELINE, BASELINE, 0.0, BASELINE)]
     for factor in sweep.factors:
         variants.append(variant(
-            sweep.sentiment_name(factor), "sentiment", factor, f"sentiment_amplification_k{short_number(factor)}",
+            sweep.name("sentiment", factor), "sentiment", factor, Sweep.mutation("sentiment", factor),
             new_score=amplified(score, factor), original=score,
         ))
     for minutes in sweep.jitters:
         shift = F.col(f"_shift_{minutes}")
         variants.append(variant(
-            sweep.jitter_name(minutes), "jitter", minutes, f"temporal_jitter_pm{minutes}min",
+            sweep.name("jitter", minutes), "jitter", minutes, f"temporal_jitter_pm{minutes}min",
             shift=shift, new_time=moved(time, shift),
         ))
     for ratio in sweep.ratios:
         variants.append(variant(
-            sweep.injection_name(ratio), "injection", ratio, f"adversarial_original_r{ratio_key(ratio)}",
+            sweep.name("injection", ratio), "injection", ratio, Sweep.mutation("injection", ratio),
         ))
 
     replaced = {"sentiment_score", "timestamp", "mutation_type", "is_synthetic", "sweep_family", "sweep_strength",

@@ -64,10 +64,9 @@ def add_scores(df: DataFrame, probabilities: Callable[[Column], Column], text_co
     ).drop("_p")
 
 
-def text_key(text_col: str, max_chars: int | None = None) -> Column:
-    """Text as the scorer sees it: trimmed, and cut only when the model demands a limit."""
-    text = strip(F.coalesce(F.col(text_col), F.lit("")))
-    return text if max_chars is None else F.left(text, F.lit(max_chars))
+def text_key(text_col: str) -> Column:
+    """The whole text, trimmed; texts share a score only if all of it is equal."""
+    return strip(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def score_distinct(
@@ -77,18 +76,28 @@ def score_distinct(
     """Score every distinct text once; returns the scored rows and the grown cache.
 
     The cache holds one row per text: digest, text, number of copies when it was scored, scores. Copies collapse
-    map-side before the distinct texts are shuffled, and the scores come back by digest, hot texts by broadcast.
+    map-side before the distinct texts are shuffled, and the scores come back by digest, hot texts by broadcast;
+    which texts are hot depends on the rows of this call alone. `max_chars` cuts what the scorer reads, not the key.
     """
     columns = ["text_md5", "text", "copies", *SCORE_COLUMNS]
-    keyed = df.withColumn("_text", text_key(text_col, max_chars))
+    keyed = df.withColumn("_text", text_key(text_col))
     fresh = (
         keyed.groupBy(F.col("_text").alias("text")).agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("text_md5", F.md5("text"))
     )
+    known = None
     if cache is not None:
-        fresh = fresh.join(cache.select("text_md5"), "text_md5", "left_anti")
-    scored = stage(add_scores(fresh, probabilities, "text").select(*columns), "scores")
-    grown = scored if cache is None else cache.select(*columns).unionByName(scored)
+        counts = stage(fresh, "texts")
+        known = counts.join(cache.select("text_md5", *SCORE_COLUMNS), "text_md5").select(*columns)
+        fresh = counts.join(cache.select("text_md5"), "text_md5", "left_anti")
+
+    def limited(text: Column) -> Column:
+        return probabilities(text if max_chars is None else F.left(text, F.lit(max_chars)))
+
+    scored = stage(add_scores(fresh, limited, "text").select(*columns), "scores")
+    grown, current = scored, scored
+    if known is not None:
+        grown, current = cache.select(*columns).unionByName(scored), stage(known.unionByName(scored).drop("text"), "scores")
     rows = keyed.withColumn("text_md5", F.md5("_text")).drop("_text")
-    found = lookup(rows, grown.drop("text"), "text_md5", "copies", df.columns)
+    found = lookup(rows, current.drop("text"), "text_md5", "copies", df.columns)
     return found.drop("text_md5"), grown

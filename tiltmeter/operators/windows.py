@@ -115,7 +115,7 @@ def load_summary(windows: DataFrame, topics: tuple[str, ...] = ("BTC", "ETH")) -
 def negative_summary(windows: DataFrame) -> DataFrame:
     """Per dataset: spread of the mean score and of the negative ratio, and how many windows lean negative.
 
-    Reads `windows` three times, so it should be a table or staged."""
+    Reads `windows` five times, so it should be a table or staged."""
     total = F.col("windows")
     basic = windows.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("windows"),
@@ -127,18 +127,10 @@ def negative_summary(windows: DataFrame) -> DataFrame:
         F.count_if(F.col("regime") == "negative_skew").alias("_skew"),
         F.count_if(F.col("regime") == "high_conflict").alias("_conflict"),
     )
-    # Both measures share one pass: a reading is (dataset, measure, value).
-    readings = windows.select("dataset", F.expr(
-        "stack(2, 'mean', mean_sentiment_score, 'ratio', negative_ratio) AS (measure, value)"
-    ))
-    ranks = exact_percentiles(readings, ["dataset", "measure"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    spread = ranks.groupBy("dataset").agg(
-        F.max(F.when(F.col("measure") == "mean", F.col("p10"))).alias("mean_sentiment_p10"),
-        F.max(F.when(F.col("measure") == "mean", F.col("p50"))).alias("mean_sentiment_median"),
-        F.max(F.when(F.col("measure") == "ratio", F.col("p90"))).alias("negative_ratio_p90"),
-    )
+    means = exact_percentiles(windows, ["dataset"], "mean_sentiment_score", {"mean_sentiment_p10": 0.1, "mean_sentiment_median": 0.5})
+    ratios = exact_percentiles(windows, ["dataset"], "negative_ratio", {"negative_ratio_p90": 0.9})
     return (
-        basic.join(spread, "dataset", "left")
+        basic.join(means, "dataset", "left").join(ratios, "dataset", "left")
         .select(
             "dataset", "windows", "mean_sentiment_avg", "mean_sentiment_min",
             F.bround("mean_sentiment_p10", 4).alias("mean_sentiment_p10"),

@@ -16,7 +16,7 @@ from tiltmeter.config import BASELINE, Experiment, StepPolicy
 from tiltmeter.operators import compare, decisions, perturb, pnl, reports, scoring, steps, windows
 from tiltmeter.operators.cleaning import clean_posts
 from tiltmeter.plans.sweep import default_scorer, run_sweep, run_sweep_rows
-from tiltmeter.session import staging_scope
+from tiltmeter.session import stage, staging_scope
 from tiltmeter.sources import sinks
 from tiltmeter.sources.posts import normalize_scored
 from tiltmeter.sources.registry import dataset_registry
@@ -111,7 +111,7 @@ def drift_run(market: DataFrame, out: str, factor: float = 2.0, lag: int = 3, po
         f"intensity_k{factor:g}": perturb.amplify_steps(market, factor),
         f"temporal_jitter_n{lag}": perturb.row_lag(market, lag),
     }
-    logs = {name: pnl.with_running_pnl(decisions.step_rule_agent(df, policy)) for name, df in inputs.items()}
+    logs = {name: pnl.with_running_pnl(stage(decisions.step_rule_agent(df, policy), "log")) for name, df in inputs.items()}
     return _compare_logs(logs, out, "Baseline", "Mutant")
 
 
@@ -119,8 +119,8 @@ def _compare_logs(logs: Mapping[str, DataFrame], out: str, first: str, second: s
     paths, saved = {}, {}
     for name, log in logs.items():
         paths[f"traj_{name}"] = f"{out}/traj_{name}"
-        sinks.write_json(log, paths[f"traj_{name}"])
-        saved[name] = log.sparkSession.read.schema(log.schema).json(paths[f"traj_{name}"])
+        saved[name] = stage(log, "log")
+        sinks.write_json(saved[name], paths[f"traj_{name}"])
     totals = None
     for name, log in saved.items():
         one = pnl.pnl_summary(log.withColumn("series", F.lit(name)), "series")
@@ -142,13 +142,16 @@ def _compare_logs(logs: Mapping[str, DataFrame], out: str, first: str, second: s
 def hybrid_run(
     market: DataFrame, out: str, factor: float = 2.0, sample: int | None = None, probabilities: Scorer | None = None,
 ) -> dict[str, str]:
-    """Rule agent against the composite agent (or a text scorer) on amplified steps."""
+    """Rule agent against the composite agent (or a text scorer) on amplified steps.
+
+    Every step is decided once; P&L and reports read the staged logs. `sample` takes the first steps.
+    """
     louder = perturb.amplify_steps(market, factor)
     if sample is not None:
-        louder = louder.orderBy("step").limit(sample)
-    rule = pnl.with_pnl(decisions.step_rule_agent(louder))
+        louder = louder.where(F.col("step") < sample)
+    rule = stage(pnl.with_pnl(decisions.step_rule_agent(louder)), "log")
     other = decisions.composite_agent(louder) if probabilities is None else decisions.model_step_agent(louder, probabilities)
-    agent = pnl.with_pnl(other)
+    agent = stage(pnl.with_pnl(other), "log")
     paths = {name: f"{out}/{name}" for name in ("traj_rule", "traj_agent", "consensus_report", "hybrid_pnl", "combined_log")}
     sinks.write_json(pnl.with_running_pnl(rule), paths["traj_rule"])
     sinks.write_json(pnl.with_running_pnl(agent), paths["traj_agent"])
@@ -171,17 +174,16 @@ def post_level_run(
 
     `labelled` needs `step`, `tweet_text`, `label`, `timestamp` and `cryptocurrency`.
     """
-    base = perturb.market_frame(labelled)
+    base = stage(perturb.market_frame(labelled), "frame")
     inputs: Sequence[tuple[str, DataFrame]] = (
         (BASELINE, base), (f"intensity_k{factor:g}", perturb.emphasize(base, factor)),
         (f"temporal_jitter_n{lag}", perturb.row_lag(base, lag, text="tweet_text")),
     )
     paths, saved, totals = {}, {}, None
     for name, df in inputs:
-        log = pnl.with_pnl(decisions.decide_bucketed(df, decide), change="price_change_24h_percent")
         paths[f"traj_{name}"] = f"{out}/traj_{name}"
-        sinks.write_json(log, paths[f"traj_{name}"])
-        saved[name] = df.sparkSession.read.schema(log.schema).json(paths[f"traj_{name}"])
+        saved[name] = stage(pnl.with_pnl(decisions.decide_bucketed(df, decide), change="price_change_24h_percent"), "log")
+        sinks.write_json(saved[name], paths[f"traj_{name}"])
         one = pnl.pnl_summary(saved[name].withColumn("series", F.lit(name)), "series")
         totals = one if totals is None else totals.unionByName(one)
     text = None

@@ -82,9 +82,9 @@ def _observed_windows(scored: DataFrame, experiment: Experiment) -> DataFrame:
         )
 
     same = [reading(BASELINE, "r0")] + [
-        reading(sweep.sentiment_name(f), f"r{i}") for i, f in enumerate(sweep.factors, start=1)
+        reading(sweep.name("sentiment", f), f"r{i}") for i, f in enumerate(sweep.factors, start=1)
     ]
-    moved = " ".join(f"WHEN {m} THEN array({reading(sweep.jitter_name(m), 'r0')})" for m in sweep.jitters)
+    moved = " ".join(f"WHEN {m} THEN array({reading(sweep.name("jitter", m), 'r0')})" for m in sweep.jitters)
     return grouped.selectExpr(
         "cryptocurrency", "_window.start AS window_start", "_window.end AS window_end", *_COUNTS, *_WEIGHTS,
         "mean_sentiment_confidence", f"inline(CASE minutes WHEN 0 THEN array({', '.join(same)}) {moved} END)",
@@ -93,8 +93,10 @@ def _observed_windows(scored: DataFrame, experiment: Experiment) -> DataFrame:
 
 def _synthetic_windows(synthetic: DataFrame, freq: str) -> DataFrame:
     """Counts and score statistics of the synthetic posts alone."""
-    grouped = synthetic.groupBy("dataset", "cryptocurrency", F.window("timestamp", freq).alias("_window")).agg(*exprs(
-        *[text.replace(" AS ", " AS s_") for text in COUNTS], "avg(sentiment_score) AS s_mean",
+    clean = synthetic.withColumns({c: clean_double(c) for c in ("sentiment_score", "sentiment_confidence")})
+    grouped = clean.groupBy("dataset", "cryptocurrency", F.window("timestamp", freq).alias("_window")).agg(*exprs(
+        *[text.replace(" AS ", " AS s_") for text in COUNTS], "count(sentiment_score) AS s_scored",
+        "count(sentiment_confidence) AS s_confident", "avg(sentiment_score) AS s_mean",
         "var_pop(sentiment_score) AS s_var", "avg(abs(sentiment_score)) AS s_abs",
         "avg(sentiment_confidence) AS s_confidence",
     ))
@@ -103,18 +105,17 @@ def _synthetic_windows(synthetic: DataFrame, freq: str) -> DataFrame:
 
 def _merged(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Windows of two disjoint sets of posts as if aggregated together (pooled mean and variance)."""
-    def pooled(mine: str, weight: str, other: str) -> str:
-        return f"(coalesce({mine}, 0D) * {weight} + {other} * s_tweet_count) / ({weight} + s_tweet_count)"
+    def pooled(mine: str, other: str, weight: str = "_scored", added: str = "s_scored") -> str:
+        # A side without readings has no mean and weighs nothing; without any reading the result is null.
+        return f"try_divide(coalesce({mine}, 0D) * {weight} + coalesce({other}, 0D) * {added}, {weight} + {added})"
 
-    variance = """
-        (coalesce(pow(sentiment_std, 2), 0D) * _scored + s_var * s_tweet_count
-         + pow(coalesce(mean_sentiment_score, 0D) - s_mean, 2) * _scored * s_tweet_count / (_scored + s_tweet_count))
-        / (_scored + s_tweet_count)"""
+    apart = "if(_scored = 0 OR s_scored = 0, 0D, pow(mean_sentiment_score - s_mean, 2) * _scored * s_scored / (_scored + s_scored))"
+    variance = f"{pooled('pow(sentiment_std, 2)', 's_var')} + try_divide({apart}, _scored + s_scored)"
     updates = {
-        "mean_sentiment_score": pooled("mean_sentiment_score", "_scored", "s_mean"),
+        "mean_sentiment_score": pooled("mean_sentiment_score", "s_mean"),
         "sentiment_std": f"sqrt({variance})",
-        "sentiment_intensity": pooled("sentiment_intensity", "_scored", "s_abs"),
-        "mean_sentiment_confidence": pooled("mean_sentiment_confidence", "_confident", "s_confidence"),
+        "sentiment_intensity": pooled("sentiment_intensity", "s_abs"),
+        "mean_sentiment_confidence": pooled("mean_sentiment_confidence", "s_confidence", "_confident", "s_confident"),
         **{c: f"{c} + s_{c}" for c in _COUNTS},
     }
     # Synthetic windows are bounded by targets per topic times ratios, whatever the size of the stream.
@@ -141,7 +142,7 @@ def run_sweep(
     targets = select_targets(baseline.select(*WINDOW_COLUMNS), experiment.targets)
     plan = injection_plan(targets, sweep, experiment.targets)
     synthetic = add_scores(inject_posts(plan, sweep.seed), probabilities or default_scorer(experiment))
-    names = F.array(*[F.lit(sweep.injection_name(r)) for r in sweep.ratios])
+    names = F.array(*[F.lit(sweep.name("injection", r)) for r in sweep.ratios])
     copies = baseline.withColumn("dataset", F.explode(names))
     injected = describe_windows(
         _merged(copies, _synthetic_windows(synthetic, experiment.freq)), experiment.regimes, ("dataset",),
