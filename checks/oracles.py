@@ -418,10 +418,9 @@ ORACLES: dict[str, str] = {
     "text_report": on_steps("""
         , d AS (SELECT count(*) AS n, count(*) FILTER (WHERE a.act <> b.act) AS m, count(*) FILTER (WHERE a.hit AND b.act <> 'HOLD') AS v
                 FROM rule a JOIN rule2 b ON a.step = b.step)
-        SELECT unnest(['=== Logic Drift Report ===', printf('Total steps            : %d', n), printf('Mismatched steps       : %d', m),
-          printf('ADR                    : %.4f  (%.2f%%)', round_even(m::DOUBLE / n, 4), round_even(m::DOUBLE / n * 100, 2)),
-          printf('Oracle violations      : %d', v),
-          printf('Oracle violation rate  : %.4f  (%.2f%%)', round_even(v::DOUBLE / n, 4), round_even(v::DOUBLE / n * 100, 2))]) AS value
+        SELECT unnest(['Drift of decisions', printf('  steps            %d', n),
+          printf('  changed          %d of all steps: %.2f %%', m, round_even(m::DOUBLE / n * 100, 2)),
+          printf('  override broken  %d of all steps: %.2f %%', v, round_even(v::DOUBLE / n * 100, 2))]) AS value
         FROM d"""),
     "dataset_registry": on_sweep(f"""
         SELECT {REG}, c.windows FROM registry r JOIN (SELECT dataset, count(*) AS windows FROM win GROUP BY ALL) c ON c.dataset = r.dataset"""),
@@ -712,8 +711,8 @@ ORACLES: dict[str, str] = {
         SELECT experiment, {r6('pnl_a')} AS pnl_a, {r6('pnl_b')} AS pnl_b, {r6('delta')} AS delta,
                CASE WHEN delta > 0 THEN 'B better' WHEN delta < 0 THEN 'A better' ELSE 'Tied' END AS tag FROM compared"""),
     "pnl_report": on_steps("""
-        SELECT '=== P&L Comparison: Baseline vs Mutant ===' || chr(10) || printf('%-28s %16s %16s %16s', 'Experiment', 'Baseline', 'Mutant', 'Delta')
-          || chr(10) || repeat('-', 78) || chr(10) || string_agg(printf('%-28s %+16.2f %+16.2f %+10.2f (%s)', experiment, pnl_a, pnl_b, delta,
+        SELECT 'P&L in USD' || chr(10) || printf('%-24s%14s%14s%14s  %s', 'experiment', 'Baseline', 'Mutant', 'difference', 'better')
+          || chr(10) || string_agg(printf('%-24s%14.2f%14.2f%14.2f  %s', experiment, pnl_a, pnl_b, delta,
              CASE WHEN delta > 0 THEN 'B better' WHEN delta < 0 THEN 'A better' ELSE 'Tied' END), chr(10) ORDER BY experiment) AS value FROM compared
         UNION ALL
         SELECT printf('  %-24s | P&L: %+9.2f USD | Trades: %4d | Win rate: %5.1f%%', experiment, total_pnl, trades,

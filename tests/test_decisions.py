@@ -177,15 +177,28 @@ def test_drift_consensus_and_reports(spark):
     assert (row.total_steps, row.mismatched_steps, row.adr, row.oracle_violations, row.oracle_baseline) == (4, 2, 0.5, 0, 1)
     assert row.action_flips == {"HOLD -> BUY": 1, "HOLD -> SELL": 1}
     text = reports.drift_text(report).first().value
-    assert "Mismatched steps       : 2" in text and "ADR                    : 0.5000  (50.00%)" in text
+    assert "  steps            4" in text and "  changed          2 of all steps: 50.00 %" in text
     other = decisions.composite_agent(base)
     agreement = steps.consensus_steps(rule, other).first()
     assert agreement.total_steps == 4 and sum(agreement.rule_dist.values()) == 4 == sum(agreement.agent_dist.values())
-    assert "Logic Gap (post-oracle)" in reports.consensus_text(steps.consensus_steps(rule, other)).first().value
+    assert "  actions differ" in reports.consensus_text(steps.consensus_steps(rule, other)).first().value
     lagged = decisions.step_rule_agent(perturb.row_lag(base, 3))
     assert steps.drift_steps(rule, lagged).first().mismatched_steps == 0  # the rule agent does not read that column
 
 
+def test_other_answers_count_as_disagreement(spark):
+    table = log(spark, [("deterministic", "baseline", "w0", "BUY"), ("fingpt", "baseline", "w0", "WAIT")])
+    agents = [r.agent for r in table.select("agent").distinct().collect()]
+    pairs = compare.paired_agents(table, "deterministic", "fingpt").collect()
+    assert len(agents) == 2 and [(r.action_first, r.action_second) for r in pairs] == [("BUY", "WAIT")]
+
+
+def test_gaps_in_steps_are_an_error(spark):
+    base = market(spark, [(float(i), 10, 0, 0) for i in range(6)])
+    with pytest.raises(Exception, match="not dense"):
+        perturb.row_lag(base.where("step <> 3"), 2, block=4).collect()
+
+
 def test_pnl(spark):
     base = market(spark, [(0.6, 10, 0, 2), (0.6, 10, 0, -1), (-0.5, 10, 0, -3), (0.0, 10, 0, 5)])
     run = pnl.with_running_pnl(decisions.step_rule_agent(base)).orderBy("step").collect()

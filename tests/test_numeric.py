@@ -122,3 +122,12 @@ def test_exact_percentiles(spark, accuracy):
     for k, values in groups.items():
         for name, p in probs.items():
             assert got[k][name] == pytest.approx(np.quantile(values, p)), (k, name)
+
+
+def test_percentiles_of_large_groups_and_null_keys(spark):
+    values = [(None if i % 2 else "a", float(i * 7919 % 30011)) for i in range(30000)]
+    df = spark.createDataFrame(values, "k string, v double")
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"low": 0.1, "mid": 0.5, "high": 0.9}).collect()}
+    for key in ("a", None):
+        own = [v for k, v in values if k == key]
+        assert [got[key].low, got[key].mid, got[key].high] == pytest.approx(np.percentile(own, [10, 50, 90]).tolist())

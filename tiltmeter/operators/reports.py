@@ -24,49 +24,46 @@ def _map_text(name: str) -> Column:
     )
 
 
-def drift_text(report: DataFrame) -> DataFrame:
-    """Summary lines of a `drift_steps` row."""
-    def counted(title: str, name: str) -> Column:
-        return F.format_string(f"{title:<23}: %d", F.col(name))
+def _listing(title: str, items: list[tuple[str, Column]]) -> Column:
+    """A title and one aligned line per (name, text)."""
+    width = max(len(name) for name, _ in items)
+    return _lines(F.lit(title), *[F.concat(F.lit(f"  {name:<{width}}  "), text) for name, text in items])
 
-    def rate(title: str, name: str) -> Column:
-        return F.concat(_fixed(f"{title:<23}: %.4f", F.col(name), 4), _fixed("  (%.2f%%)", F.col(name) * 100, 2))
 
-    return report.select(_lines(
-        F.lit("=== Logic Drift Report ==="),
-        counted("Total steps", "total_steps"), counted("Mismatched steps", "mismatched_steps"), rate("ADR", "adr"),
-        counted("Oracle violations", "oracle_violations"), rate("Oracle violation rate", "oracle_violation_rate"),
-    ).alias("value"))
+def _number(name: str) -> Column:
+    return F.col(name).cast("string")
+
+
+def _part(count: str, rate: str) -> Column:
+    return F.concat(_number(count), _fixed(" of all steps: %.2f %%", F.col(rate) * 100, 2))
+
+
+def drift_text(report: DataFrame) -> DataFrame:
+    """Summary lines of a `drift_steps` row."""
+    return report.select(_listing("Drift of decisions", [
+        ("steps", _number("total_steps")), ("changed", _part("mismatched_steps", "adr")),
+        ("override broken", _part("oracle_violations", "oracle_violation_rate")),
+    ]).alias("value"))
 
 
 def override_drift_text(report: DataFrame, experiment: str) -> DataFrame:
     """Summary of a drift row with the overrides of both sides and the flips."""
-    return report.select(_lines(
-        F.lit(f"  Experiment        : {experiment}"),
-        F.format_string("  Total steps       : %d", "total_steps"),
-        F.concat(F.format_string("  Decision changes  : %d", "mismatched_steps"),
-                 _fixed("  (ADR = %.2f%%)", F.col("adr") * 100, 2)),
-        F.format_string("  Oracle (baseline) : %d", "oracle_baseline"),
-        F.format_string("  Oracle (mutant)   : %d", "oracle_mutant"),
-        F.concat(F.lit("  Action flips      : "), _map_text("action_flips")),
-    ).alias("value"))
+    return report.select(_listing(f"Drift of decisions under {experiment}", [
+        ("steps", _number("total_steps")), ("changed", _part("mismatched_steps", "adr")),
+        ("overrides, before and after", F.concat_ws(", ", _number("oracle_baseline"), _number("oracle_mutant"))),
+        ("changes", _map_text("action_flips")),
+    ]).alias("value"))
 
 
 def consensus_text(report: DataFrame, first: str = "Rule Engine", second: str = "Model") -> DataFrame:
     """Summary lines of a `consensus_steps` row."""
-    def gap(title: str, count: str, ratio: str) -> Column:
-        return F.concat(F.format_string(f"{title:<25}: %d", F.col(count)), _fixed("  (%.2f%%)", F.col(ratio) * 100, 2))
-
-    return report.select(_lines(
-        F.lit("=== Consensus & Gap Report ==="),
-        F.format_string(f"{'Total steps':<25}: %d", "total_steps"), F.lit(""),
-        gap("Logic Gap (post-oracle)", "logic_gap_steps", "logic_gap_ratio"),
-        gap("Policy Gap (pre-oracle)", "policy_gap_steps", "policy_gap_ratio"),
-        gap("Oracle Override Rate", "oracle_overrides", "oracle_override_rate"), F.lit(""),
-        F.concat(F.lit(f"{first} dist : "), _map_text("rule_dist")),
-        F.concat(F.lit(f"{second} dist : "), _map_text("agent_dist")), F.lit(""),
-        F.concat(F.lit("Disagreement breakdown: "), _map_text("gap_transitions")),
-    ).alias("value"))
+    return report.select(_listing(f"Agreement of {first} and {second}", [
+        ("steps", _number("total_steps")), ("actions differ", _part("logic_gap_steps", "logic_gap_ratio")),
+        ("policies differ", _part("policy_gap_steps", "policy_gap_ratio")),
+        (f"{second} overridden", _part("oracle_overrides", "oracle_override_rate")),
+        (f"actions of {first}", _map_text("rule_dist")), (f"actions of {second}", _map_text("agent_dist")),
+        ("differences", _map_text("gap_transitions")),
+    ]).alias("value"))
 
 
 def pnl_line(summary: DataFrame, series: str) -> DataFrame:
@@ -79,13 +76,11 @@ def pnl_line(summary: DataFrame, series: str) -> DataFrame:
 
 def pnl_table_text(comparison: DataFrame, first: str, second: str) -> DataFrame:
     """Aligned comparison table; the rows are one per experiment, so the text is small."""
-    header = "\n".join([
-        f"=== P&L Comparison: {first} vs {second} ===",
-        f"{'Experiment':<28} {first:>16} {second:>16} {'Delta':>16}", "-" * 78,
-    ])
+    titles = ("experiment", first, second, "difference", "better")
+    money = max(14, *[len(t) + 2 for t in titles[1:4]])
+    heading = f"{titles[0]:<24}" + "".join(f"{t:>{money}}" for t in titles[1:4]) + f"  {titles[4]}"
     row = F.format_string(
-        "%-28s %+16.2f %+16.2f %+10.2f (%s)", "experiment", F.bround("pnl_a", 2), F.bround("pnl_b", 2),
-        F.bround("delta", 2), "tag",
+        "%-24s" + f"%{money}.2f" * 3 + "  %s", "experiment", *[F.bround(c, 2) for c in ("pnl_a", "pnl_b", "delta")], "tag",
     )
     body = F.array_join(F.sort_array(F.collect_list(row)), "\n")
-    return comparison.agg(F.concat_ws("\n", F.lit(header), body).alias("value"))
+    return comparison.agg(F.concat_ws("\n", F.lit("P&L in USD"), F.lit(heading), body).alias("value"))
