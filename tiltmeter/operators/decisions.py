@@ -250,8 +250,7 @@ def decide_bucketed(
     very large buckets come back by broadcast.
     """
     text = strip(F.coalesce(F.col(text_col), F.lit("")))
-    if max_chars is not None:
-        text = F.left(text, F.lit(max_chars))
+    asked = F.col("_text") if max_chars is None else F.left("_text", F.lit(max_chars))  # cuts the question, not the key
     placed = steps.withColumns({
         "_text": text,
         "_rsi_bucket": bucketed(F.col("rsi_technical_indicator"), width),
@@ -267,7 +266,7 @@ def decide_bucketed(
     )
     answers = stage(askers.select(
         bucket.alias("_bucket"), "_size", "asked_at",
-        decide(F.col("_text"), F.col("_rsi"), F.col("_volatility")).alias("_answer"),
+        decide(asked, F.col("_rsi"), F.col("_volatility")).alias("_answer"),
     ), "answers")
     keyed = placed.withColumn("_bucket", bucket).drop("_text", "_rsi_bucket", "_volatility_bucket")
     joined = lookup(keyed, answers, "_bucket", "_size", ["step"]).drop("_bucket")
