@@ -126,6 +126,24 @@ def test_random_strings_are_told_from_words(spark):
     assert all([tuple(s) for s in r.secret_spans] == [("hex", 43, 71)] for i, r in found.items() if i >= 100)
 
 
+def test_lone_secrets_are_found(spark):
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    secrets = ["".join(np.random.default_rng(50 + n).choice(letters, n)) for n in range(26, 66)]  # one or two of a length
+    words = ["theQuickBrownFoxJumpsOverTheLazyDogAgain99", "docs/user-guide/getting_started/Installation2", "Oneaoutionheertionen", "order-2024-01-15-Invoice-000123"]
+    rows = [(i, f"see {s} here") for i, s in enumerate(secrets)] + [(100 + i, f"see {w} here") for i, w in enumerate(words)]
+    rows += [(200 + i, f"https://example.com/reset_it/{s}/confirm-mail?x=1") for i, s in enumerate(secrets[8:])]
+    for alone in (False, True):
+        found = by_id(secret_scan.scan(spark.createDataFrame([r for r in rows if not alone or r[0] in (17, 100, 101, 102, 103)], "doc_id long, text string")))
+        assert not any(r.secret_spans for i, r in found.items() if 100 <= i < 200)
+        texts = dict(rows)
+        for first, least in ((0, 38), (200, 30)):
+            if not alone:
+                held = [i for i, r in found.items() if first <= i < first + 100 and any(secrets[i - first + (8 if first else 0)] in texts[i][s.start : s.stop] for s in r.secret_spans)]
+                assert len(held) >= least, (first, sorted(held))
+        if alone:
+            assert [(s.kind, s.start, s.stop) for s in found[17].secret_spans] == [("random", 4, 4 + len(secrets[17]))]
+
+
 def test_quality_measures(docs, empty):
     for i, row in by_id(quality_rules.judge(docs)).items():
         text = TEXTS[i] or ""

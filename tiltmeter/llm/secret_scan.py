@@ -1,17 +1,22 @@
 """Secrets in texts: known forms, and unnamed random strings found by a battery of randomness tests.
 
 Known forms (`assign`, `access`, `hex`) are leftmost non-overlapping matches of their pattern. Any other run of 20
-characters or more of a code alphabet is a candidate. From its characters its encoding is inferred (the smallest
-alphabet that holds them all); a run of letters of one case has none, since words look alike. Four tests ask whether
-the string could be drawn at random from that alphabet: chi-squared of the character counts, chi-squared of the counts
-of its classes (capitals, small letters, others; single characters are too rare in short strings to tell words in camel
-case), Wald-Wolfowitz runs above and below the middle of the alphabet, and lag-1 serial correlation. `p` is the chance
-that the smallest of four such p-values is as small as theirs.
-
-A string is a secret if its p reaches a threshold that holds the false-discovery rate of its stratum (alphabet size and
-length class, since short strings give weak tests) at `fdr`: random strings have uniform p-values, so twice the number
-above 1/2 tells how many there are and how many of them a threshold keeps; whatever else it keeps counts as false. The
-table behind this has STRATA x CELLS rows at most and covers all candidates of the input.
+characters or more of a code alphabet is a candidate, and so is any run as long inside it without `/` and `+`, without
+`_` and `-`, or without all four: a secret in a path stands between these. From its characters its encoding is inferred
+(the smallest alphabet that holds them all; `/` or `+` with `_` or `-` has none); a run of letters of one case has none,
+since words look alike. Four tests ask whether the string could be drawn at random from that alphabet: chi-squared of the
+character counts, chi-squared of the counts of its classes (capitals, small letters, others; single characters are too
+rare in short strings to tell words in camel case), Wald-Wolfowitz runs above and below the middle of the alphabet, and
+lag-1 serial correlation. `p` is the chance that the smallest of four such p-values is as small as theirs; below `FLOOR`
+the string is not random.
+
+What passes the battery may still be words that are too short to tell. The null hypothesis to be rejected is therefore
+that the string is word-like: drawn from a fixed chain of classes and letter pairs (`SHIFTS`, `PAIRS`). Its chance under
+that chain, divided by its chance under random draws, bounds the p-value of this null; `bits` is its negative log2. It
+depends on the string alone, so a lone secret of a rare length has the same p-value as one among many. A string is a
+secret if its bits reach the threshold that holds the false-discovery rate of all candidates at `fdr` (Benjamini and
+Hochberg): the table behind this has CELLS rows at most and covers all candidates of the input. Of accepted strings
+inside each other the longest is listed.
 
 Everything is SQL functions. A null text counts as empty. Rows stay rows, also repeated ones; positions are code points,
 ends exclusive. Long texts are scanned whole. Columns named by `keep` are carried along; columns of any other name are
@@ -20,7 +25,7 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltmeter.session import stage
@@ -32,13 +37,27 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+PIECES = (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9]{20,}={0,2}")
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: (pattern of the whole string, alphabet in order), from small to large.
 ENCODINGS = (
     ("[0-9a-f]+", DIGIT + LOWER[:6]), ("[0-9A-F]+", DIGIT + UPPER[:6]), ("[A-Z2-7]+", UPPER + DIGIT[2:8]), ("[a-z0-9]+", LOWER + DIGIT), ("[A-Z0-9]+", UPPER + DIGIT),
     ("[A-Za-z0-9]+", UPPER + LOWER + DIGIT), ("[A-Za-z0-9+/]+", UPPER + LOWER + DIGIT + "+/"), ("[A-Za-z0-9_-]+", UPPER + LOWER + DIGIT + "-_"),
 )
-CELLS, STRATA, FLOOR = 100, 8 * 64, 0.01
+CELLS, FLOOR = 256, 0.01
+#: Words: bits of the step from one class to the next (small letter, capital, digit, other), in rows; bits of a first or
+#: lone letter, a digit, another character; bits less 1 of a small letter after a letter, 26 x 26 (words of program texts).
+SHIFTS = (0.2, 4.0, 4.5, 3.5, 1.1, 1.1, 5.0, 5.0, 4.0, 4.0, 0.4, 3.0, 1.0, 2.5, 2.0, 4.0)
+LETTER, NUMERAL, OTHER = 4.7, 3.4, 2.0
+PAIRS = (
+    "94339659395232949232557659264629983491683693362999482957289239336818946249997937740779189486389536378959"
+    "37324458698442746223856369296722791993872893543999493878185329936346933536898819981899299767199463599969"
+    "44344449897331259432949695396709985948881697571989794965066829938366852659397927741689298287269734477939"
+    "14861999398647229846499979383225284955853698225599696543656959643143924334489829762896398288238253498949"
+    "88868898889687997478099999275416492966443694334769494947177429656633872139695929561792199578369234486949"
+    "44453559499232639222999899189908792999774898999989991875289219959329924899579936162586299659629751888458"
+    "5556367829944332942286496638680888299557379667899967"
+)
 
 
 def _lit(value: str) -> str:
@@ -74,6 +93,12 @@ def _battery() -> list[tuple[str, str]]:
     alphabet = "case when not " + mixed + " then null " + " ".join(f"when rlike(c.body, {_lit('^' + p + '$')}) then {_lit(a)}" for p, a in ENCODINGS) + " end"
     of_class = "length(regexp_replace({}, '[^{}]', ''))"
     classes = ", ".join(f"named_struct('seen', {of_class.format('c.body', k)}, 'among', {of_class.format('c.alphabet', k)})" for k in ("A-Z", "a-z", "0-9+/_-"))
+    kind_of = "locate(substring(c.shape, {}, 1), 'luds')"
+    nth = "ascii(substring(c.small, {}, 1)) - 97"
+    letter = f"1D + cast(substring({_lit(PAIRS)}, 26 * ({nth.format('i - 1')}) + {nth.format('i')} + 1, 1) as int)"
+    lone = f"case substring(c.shape, {{}}, 1) when 'd' then {NUMERAL}D when 's' then {OTHER}D else {LETTER}D end"
+    shift = f"array({', '.join(f'{x}D' for x in SHIFTS)})[4 * {kind_of.format('i - 1')} + {kind_of.format('i')} - 5]"
+    step = f"{shift} + if(substring(c.shape, i - 1, 2) in ('ll', 'ul', 'uu'), {letter}, {lone.format('i')})"
     pairs = "zip_with(slice(c.codes, 1, c.n - 1), slice(c.codes, 2, c.n - 1), (x, y) -> {})"
     return [
         ("body", whole),
@@ -95,13 +120,17 @@ def _battery() -> list[tuple[str, str]]:
         ("chi_classes", "aggregate(c.classes, 0D, (s, k) -> s + pow(k.seen - c.n * k.among / c.a, 2) / (c.n * k.among / c.a))"),
         ("p_classes", f"if(size(c.classes) = 3, exp(-c.chi_classes / 2), 2 * {_normal('sqrt(c.chi_classes)')})"),
         ("p", f"1 - pow(1 - least(1D, {_normal('c.z_chi')}, c.p_classes, 2 * {_normal('c.z_runs')}, 2 * {_normal('c.z_serial')}), 4)"),
+        ("shape", f"translate(c.body, {_lit(LOWER + UPPER + DIGIT + '+/_-')}, {_lit('l' * 26 + 'u' * 26 + 'd' * 10 + 's' * 4)})"),
+        ("small", "lower(c.body)"),
+        ("bits", f"aggregate(sequence(2, c.n), 2D + {lone.format(1)}, (s, i) -> s + {step}) - c.n * log2(c.a)"),
     ]
 
 
 def _candidates(text: str) -> str:
-    """SQL: array of (start, stop, stratum, p) of the candidates that have an encoding."""
-    field, found = "struct", _spans(text, CANDIDATE, 3)
-    del field
+    """SQL: array of (start, stop, cell) of the candidates that have an encoding; cell 0 is not random, others are whole `bits`."""
+    none = "cast(array() as array<struct<start:int,kind:int,stop:int,string:string>>)"
+    runs = ", ".join(_spans(text, pattern, 3) for pattern in (CANDIDATE, *PIECES))
+    found = f"if(rlike({text}, {_lit(CANDIDATE)}), array_distinct(concat({runs})), {none})"
     have = ["start", "stop", "string"]
     for name, value in _battery():
         fields = ", ".join(f"'{h}', c.{h}" for h in have)
@@ -109,19 +138,18 @@ def _candidates(text: str) -> str:
         if name == "alphabet":
             found = f"filter({found}, c -> c.alphabet is not null)"
         have.append(name)
-    return f"transform({found}, c -> named_struct('start', c.start, 'stop', c.stop, 'stratum', cast(c.a * 100 + least(63, floor(2 * log2(c.n))) as int), 'p', c.p))"
+    return f"transform({found}, c -> named_struct('start', c.start, 'stop', c.stop, 'cell', if(c.p < {FLOOR}D, 0, cast(greatest(0, least({CELLS - 1}, floor(c.bits))) as int))))"
 
 
-def _thresholds(tests: DataFrame, fdr: float) -> dict[int, float]:
-    """The smallest p that each stratum accepts. Reads one row per stratum and cell."""
-    cells = tests.groupBy("stratum", F.least(F.floor(F.col("p") * CELLS), F.lit(CELLS - 1)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    above = Window.partitionBy("stratum").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("stratum")
-    bound = (F.col("cell") / CELLS).alias("bound")
-    cells = cells.withColumn("declared", F.sum("n").over(above)).withColumn("random", 2 * F.sum(F.when(F.col("cell") * 2 >= CELLS, F.col("n")).otherwise(0)).over(whole))
-    false = F.col("declared") - F.least(F.col("declared"), F.col("random") * (1 - bound))
-    fit = cells.where((bound >= FLOOR) & (false <= fdr * F.col("declared"))).groupBy("stratum").agg((F.min("cell") / CELLS).alias("least"))
-    return {row.stratum: row.least for row in fit.collect()}
+def _threshold(tests: DataFrame, fdr: float) -> int:
+    """The smallest cell that is accepted, CELLS if none is. Reads one row per cell."""
+    counts = {row.cell: row.n for row in tests.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    whole, declared, least = sum(counts.values()), 0, CELLS
+    for cell in sorted(counts, reverse=True):
+        declared += counts[cell]
+        if cell and whole * 2.0**-cell <= fdr * declared:
+            least = cell
+    return least
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), fdr: float = 0.1) -> DataFrame:
@@ -133,9 +161,10 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     found = stage(bare.select(*lean.columns, F.expr(base).alias("__base"), F.expr(_candidates(text)).alias("__tests")), "secrets")
     free = "filter(`__tests`, c -> not exists(`__base`, b -> b.start < c.stop and c.start < b.stop))"
     found = found.withColumn("__tests", F.expr(free))
-    least = _thresholds(found.select(F.explode("__tests").alias("t")).select("t.*"), fdr)
-    limits = ", ".join(f"{stratum}, {value}D" for stratum, value in sorted(least.items())) or "-1, 2D"
-    added = f"transform(filter(`__tests`, c -> c.p >= coalesce(map({limits})[c.stratum], 2D)), c -> named_struct('start', c.start, 'kind', 3, 'stop', c.stop))"
+    least = _threshold(found.select(F.explode("__tests").alias("t")).select("t.*"), fdr)
+    accepted = f"filter(`__tests`, c -> c.cell >= {least})"
+    outer = f"transform(array({accepted}), a -> filter(a, c -> not exists(a, d -> d.start <= c.start and c.stop <= d.stop and d.stop - d.start > c.stop - c.start)))[0]"
+    added = f"transform({outer}, c -> named_struct('start', c.start, 'kind', 3, 'stop', c.stop))"
     all_spans = f"array_sort(concat(transform(`__base`, b -> named_struct('start', b.start, 'kind', b.kind, 'stop', b.stop)), {added}))"
     names = "array(" + ", ".join(map(_lit, KINDS)) + ")"
     return found.select(*lean.columns, F.expr(f"transform({all_spans}, s -> named_struct('kind', {names}[s.kind], 'start', s.start, 'stop', s.stop))").alias("secret_spans"))
