@@ -200,6 +200,19 @@ def test_main_text(spark, page, text):
     assert html_text.extract(pages).first().main_text == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='site-content has-sidebar'><article><p>One.</p><p>Two.</p></article></div>", "One.\nTwo."),
+    ("<div class='no-sidebar'><div class='overflow-hidden' data-x='a hidden b'><p>One.</p></div><p hidden>Not seen.</p></div>", "One."),
+    ("<div class=sidebar><article><p>One.</p><div class=comments><article><p>First!</p></article></div></article></div>", "One."),
+    ("<main><h1>T</h1><div class='widget'><article><p>A long article text.</p></article></div></main>", "T\nA long article text."),
+    ("<article><p>A long article text.</p></article><aside><article><p>Teaser.</p></article></aside>", "A long article text."),
+    ("<article><a name=top><p>One.</p><p><a id=x/>Two.</p><p><a href=/y>Three</p><p>Four.</p></article>", None),
+])
+def test_containers_and_anchors(page, text):
+    found = html_text.main_text(page)
+    assert found == text if text else {"One.", "Two.", "Four."} <= set(found.split("\n"))
+
+
 def test_quality_classifier_keeps_prose(spark, empty):
     good = [(i, ". ".join(_text(100 + 7 * i + k, 12) for k in range(5))) for i in range(60)]
     junk = [(100 + i, " ".join(f"{w}***" for w in _text(500 + i).split())) for i in range(20)] + [(200, None), (201, "")]
