@@ -213,6 +213,15 @@ def test_containers_and_anchors(page, text):
     assert found == text if text else {"One.", "Two.", "Four."} <= set(found.split("\n"))
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body><ul><li><a href=/m>Menu</a></ul><div id=c><p>One.</p><ul><li><a href=/1>L1</a><li><a href=/2>L2</a><li><a href=/3>L3</a><li><a href=/4>L4</a></ul><p>Two.</p></div><ul><li><a href=/n>Next</a></ul></body>", "One.\nL1\nL2\nL3\nL4\nTwo."),
+    ("<div><p>One.</p><div class=ad><p>a</p><p>b</p><p>c</p><p>d</p></div><p>Two is longer.</p></div>", "One.\nTwo is longer."),
+    ("<article><p>One.</p><p><a href=/1>All link</a></p><figure><img src=x><figcaption>Caption</figcaption></figure><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", "One.\nAll link\nCaption\nLet x=1 be."),
+])
+def test_all_runs_links_captions_and_formulas(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_quality_classifier_keeps_prose(spark, empty):
     good = [(i, ". ".join(_text(100 + 7 * i + k, 12) for k in range(5))) for i in range(60)]
     junk = [(100 + i, " ".join(f"{w}***" for w in _text(500 + i).split())) for i in range(20)] + [(200, None), (201, "")]
