@@ -80,6 +80,19 @@ def test_weights_follow_held_out_events():
     assert weights[5, 0] > 0.9 and weights[5].sum() == pytest.approx(1)
 
 
+def test_weights_match_exact_expectation_maximisation():
+    rng = np.random.default_rng(4)
+    n = 4000
+    two, one = np.where(rng.random(n) < 0.5, 2.0 ** rng.uniform(-6, 8, n), 0), 2.0 ** rng.uniform(-8, 5, n)  # most unigram ratios are below 1
+    exact = np.array([0.4, 0.4, 0.2])
+    for _ in range(40):
+        share = exact * np.stack([two, one, np.ones(n)], axis=1)
+        exact = (share / share.sum(1, keepdims=True)).sum(0) / n
+    cells, events = np.unique((5 * (language_model.REACH + 2) + language_model._cell(two)) * (language_model.REACH + 2) + language_model._cell(one), return_counts=True)
+    assert language_model.learn_weights(cells, events)[5] == pytest.approx(exact, abs=0.01)
+    assert len(set(language_model._cell(np.array([0.001, 0.01, 0.5, 1.0])))) == 4
+
+
 def test_jaccard_components(docs, empty):
     sets = {}
     for i, t in enumerate(TEXTS):

@@ -4,7 +4,7 @@ P(w | v) = l2[b] * c(v w) / c(v) + l1[b] * c(w) / N + l0[b] / (V + 1), where b i
 frequency c(v). Counts come from all training documents. The weights of each bucket are learned by expectation
 maximisation: counts of the training documents outside the tuning part give the estimates, and the tuning part gives
 the held-out events, gathered as a table of (bucket, ratio of the bigram and of the unigram estimate to the uniform
-one, number of events). Ratios are kept in steps of 1/8 in log2, so this table has a fixed largest size (`CELLS`)
+one, number of events). Ratios are kept in steps of 1/8 in log2, from 2**-40 to 2**40, so this table has a fixed largest size (`CELLS`)
 whatever the corpus holds; it is the only thing that reaches the driver.
 
 Counting is an exchange of pre-aggregated keys (see blocks.py): a chunk sends each distinct word and word pair once
@@ -32,7 +32,7 @@ from tiltmeter.session import stage
 
 START, END = np.uint64(0x5D1CE5B1A3F0C2E7), np.uint64(0x9A7E3C41D55B06F9)
 BUCKETS = 32           # of context frequencies: 0, then by powers of two; the last holds all beyond 2**30
-STEPS, REACH = 8, 320  # cells of a log2 ratio: steps per unit, largest cell (2**40)
+STEPS, REACH = 8, 640  # cells of a log2 ratio: steps per unit, steps from 2**-40 to 2**40
 CELLS = BUCKETS * (REACH + 2) ** 2
 
 _SPLIT = "chunk long, ids array<{id}>, parts binary, counts binary, places binary, words binary"
@@ -157,8 +157,8 @@ def _context_bucket(counts: np.ndarray) -> np.ndarray:
 
 
 def _cell(ratio: np.ndarray) -> np.ndarray:
-    """0 for none, else 1 + the step of log2(ratio), from ratio 1 on."""
-    return np.where(ratio > 0, 1 + np.clip(np.rint(STEPS * np.log2(np.maximum(ratio, 1e-300))), 0, REACH), 0).astype(np.int64)
+    """0 for none, else 1 + the step of log2(ratio); ratio 1 is in the middle."""
+    return np.where(ratio > 0, 1 + np.clip(REACH // 2 + np.rint(STEPS * np.log2(np.maximum(ratio, 1e-300))), 0, REACH), 0).astype(np.int64)
 
 
 def _events(chunks: pa.Table, parts: pa.Table, buckets: int, known: int, tokens: int) -> pa.Table:
@@ -182,7 +182,7 @@ def learn_weights(cells: np.ndarray, events: np.ndarray, rounds: int = 40) -> np
     weights[0] = [0, 0.8, 0.2]
     rest, one = np.divmod(cells, REACH + 2)
     bucket, two = np.divmod(rest, REACH + 2)
-    estimates = np.stack([np.where(c > 0, 2.0 ** ((c - 1) / STEPS), 0) for c in (two, one)] + [np.ones(len(cells))], axis=1)
+    estimates = np.stack([np.where(c > 0, 2.0 ** ((c - 1 - REACH // 2) / STEPS), 0) for c in (two, one)] + [np.ones(len(cells))], axis=1)
     for _ in range(rounds):
         share = weights[bucket] * estimates
         share *= (events / share.sum(1))[:, None]
@@ -229,8 +229,8 @@ def score_texts(docs: DataFrame, part: F.Column, id_col: str = "doc_id", text_co
     tuned = chunks.groupBy("chunk").cogroup(totals.select("chunk", "bucket", "word_fit", "pair_fit").groupBy("chunk")).applyInArrow(
         lambda left, right: _events(left, right, buckets, *fit), "cell long, events long"
     )
-    table = np.array(tuned.groupBy("cell").agg(F.sum("events").alias("events")).collect(), np.int64).reshape(-1, 2)  # CELLS rows at most
-    weights = learn_weights(table[:, 0], table[:, 1])
+    table = tuned.groupBy("cell").agg(F.sum("events").alias("events")).toArrow()  # CELLS rows at most, 16 bytes each
+    weights = learn_weights(table["cell"].to_numpy(), table["events"].to_numpy())
 
     result = T.StructType([
         T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
