@@ -64,6 +64,16 @@ def test_csv_round_trip_and_quarantine(spark, tmp_path):
     assert [r["index"] for r in head.orderBy("_source_row").collect()] == ["1", "2"]
 
 
+def test_files_are_read_with_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "orders of columns"
+    folder.mkdir()
+    (folder / "a.csv").write_text("index,Date,Content\n1,2022-01-01,btc one\n")
+    (folder / "b.csv").write_text("Content,URL,index,Date\nbtc two,u,2,2022-01-02\ntoo,many,fields,in,it\n")
+    good, bad = posts.read_posts_csv(spark, str(folder))
+    assert sorted((r["index"], r.Date, r.Content, r.URL) for r in good.collect()) == [("1", "2022-01-01", "btc one", None), ("2", "2022-01-02", "btc two", "u")]
+    assert bad.count() == 1 and cleaning.prepare_posts(good).count() == 2
+
+
 def test_duplicate_ids_keep_the_first_line(spark, tmp_path):
     folder = tmp_path / "dup"
     folder.mkdir()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +24,36 @@ def read_posts_csv(
     """Posts and quarantined lines of CSV files with a header.
 
     Short rows are kept and padded with nulls; rows with too many fields go to the second table instead of
-    vanishing. Columns are read as text; `_source_file` and `_source_row` give a stable reading order.
+    vanishing. Every file is read with its own header, a column that a file lacks is null. Columns are read as text; `_source_file` and `_source_row` give a stable reading order.
     With `multi_line` a file is one task, so large inputs should be many files; without it files are split.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": False,
                "ignoreTrailingWhiteSpace": False}
-    header = spark.read.options(**options).csv(path).columns
-    require_columns(header, ["Date", "Content"])
+    groups = _files_by_header(spark, path, options)
+    for header in groups or [()]:
+        require_columns(list(header), ["Date", "Content"])
+    parts = [_read_files(spark, path if len(groups) == 1 else files, list(header), options) for header, files in groups.items()]
+    good = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [part[0] for part in parts])
+    bad = reduce(DataFrame.unionByName, [part[1] for part in parts])
+    if max_rows is not None:
+        good = good.orderBy("_source_file", "_source_row").limit(max_rows)
+    return good, bad
+
+
+def _files_by_header(spark: SparkSession, path: str | list[str], options: dict) -> dict[tuple[str, ...], list[str]]:
+    """Files of each header, in the order of their paths. Files without any line have none; only headers are read."""
+    files = sorted(unquote(file) for file in spark.read.options(**options).csv(path).inputFiles())
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda file: tuple(spark.read.options(**options).csv(file).columns), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, headers):
+        if header:
+            groups.setdefault(header, []).append(file)
+    return groups
+
+
+def _read_files(spark: SparkSession, path: str | list[str], header: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
+    """Posts and quarantined lines of files with the same header."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_ROW]])
     rows = (
         spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True)
@@ -47,8 +74,6 @@ def read_posts_csv(
         F.col(BAD_ROW).isNotNull(), parsed[f"c{len(header)}"].isNotNull() & fields,
     ).otherwise(F.lit(False))
     good = rows.where(~too_long).drop(BAD_ROW)
-    if max_rows is not None:
-        good = good.orderBy("_source_file", "_source_row").limit(max_rows)
     return good, rows.where(too_long).select(BAD_ROW, "_source_file", "_source_row")
 
 
