@@ -49,6 +49,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every run of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = (np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(values)], strict=True))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (a bijection)."""
     with np.errstate(over="ignore"):

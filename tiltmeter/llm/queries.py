@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiltmeter.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -98,6 +102,26 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1, keep="none")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.collocations import collocations
+
+    return collocations(read(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000)
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tiltmeter.llm.merkle import verified
+
+    tampered = F.coalesce(remainder(7) == 0, F.lit(False))
+    return verified(read(spark, sf_dir, "documents"), {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan,
     "op2_quality_rules": quality_rules,
@@ -109,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": embedding_dedup,
     "op9_source_mixing": source_mixing,
     "op10_byte_bpe": byte_bpe,
+    "op11_line_dedup": line_dedup,
+    "op12_collocations": phrases,
+    "op13_merkle_manifest": merkle_manifest,
 }
-
-ORACLES: dict[str, str] = {}
