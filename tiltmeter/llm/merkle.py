@@ -123,11 +123,17 @@ def _tree(nodes: DataFrame, height: int, keep: Sequence[str] = ()) -> list[DataF
             return levels
 
 
-def _paths(levels: Sequence[DataFrame], height: int, above: DataFrame) -> DataFrame:
-    """Siblings of every leaf up to the last root; `above` (nr, subroot, path) continues the path of every part."""
+def _paths(levels: Sequence[DataFrame], height: int, above: DataFrame | str | None) -> DataFrame:
+    """Siblings of every leaf up to the last root.
+
+    `above` (nr, subroot, path) continues the path of every part; of the top tree it is the root, where paths end.
+    """
     found: DataFrame | None = None
     for blocks in reversed(levels):
-        ends = blocks.where(F.col("n") <= 1 << height).join(above, "nr")
+        whole = blocks.where(F.col("n") <= 1 << height)
+        ends = whole.join(above, "nr") if isinstance(above, DataFrame) else whole.withColumns({
+            "subroot": F.lit(above).cast("string"), "path": F.array().cast("array<string>"),
+        })
         if found is not None:
             upper = found.select("nr", F.col("pos").alias("block"), "subroot", "path")
             ends = ends.unionByName(blocks.where(F.col("n") > 1 << height).join(upper, ["nr", "block"]).select(*ends.columns))
@@ -151,9 +157,7 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """Every leaf with its part's root and its siblings up to the root: nr, subroot, path, pos, leaf, kept columns."""
-        spark = self.parts.sparkSession
-        start = spark.range(1).select(F.lit(0).cast("long").alias("nr"), F.lit(self.root).alias("subroot"), F.array().cast("array<string>").alias("path"))
-        above = _paths(self.top, self.height, start).select(F.col("pos").alias("nr"), F.col("leaf").alias("subroot"), "path")
+        above = _paths(self.top, self.height, self.root).select(F.col("pos").alias("nr"), F.col("leaf").alias("subroot"), "path")
         return _paths(self.levels, self.height, above)
 
 
