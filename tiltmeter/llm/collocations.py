@@ -4,13 +4,15 @@ A-Z is lowered; texts fall into pieces at `[.,;:!?\\x0A-\\x0D]` and those into w
 (null: `und`). n counts word occurrences, f(phrase) all contiguous occurrences inside pieces. A phrase of at least `min_count`
 occurrences is a candidate; all its parts are as frequent, so length k + 1 is looked for only where length k was found.
 
-1. Chunks of a task's texts hold their word sequence and vocabulary. Word counts are summed, and frequent words get dense ids
-   by falling frequency; the ids go back to the chunks, all other words become gaps.
+1. Chunks of a task's texts hold their word sequence and vocabulary. A chunk sends each of its distinct words once, packed
+   by bucket of the word; the bucket sums them, and frequent words get dense ids by falling frequency. The bucket tells each
+   chunk which of its words these are, and the ids go back to the chunks the same way; all other words become gaps.
 2. A pair (id of the phrase of k words at a place, id of the word behind it) has an address in the plane of ids. The plane is
    cut into tiles of SIDE x SIDE ids. The DENSE x DENSE tiles of the most frequent ids are addressed directly and counted
    with `bincount`; all others are kept as sorted coordinates with counts and gathered in buckets by tile, whose number
-   follows the data. A chunk sends one row per tile or bucket; direct tiles, which every chunk has, are summed in two
-   steps, by (tile, share of the chunks) and then by tile, so no task reads all chunks' rows of a hot tile.
+   follows the data. A chunk sends one row per tile or bucket. A bucket's task has all rows of its tiles, so only frequent
+   pairs leave it. Direct tiles, which every chunk has, are summed in two steps, by (tile, share of the chunks) and then by
+   tile, so no task reads all chunks' rows of a hot tile.
 3. Pairs of at least `min_count` are ranked by frequency and become the ids of the next round. The tiles answer each chunk
    with the ids of the pairs it sent, and the chunk keeps only places that can grow further.
 4. Phrases are spelled out by joins; every cut of a phrase into two parts is scored floor(1000 a n / (l r)) in decimals of 38
@@ -29,12 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiltmeter.functions.ordering import global_index
-from tiltmeter.llm.blocks import at_end, bucket_count, give_back, mix, pack, runs, unpack
+from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, give_back, mix, pack, runs, unpack
 from tiltmeter.session import stage
 
 CHUNK_CHARS = 24_000_000
@@ -76,8 +79,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
             counts = np.bincount(tokens, minlength=len(buffer.number))[1:]
             yield pa.record_batch({
                 "chunk": pa.array([chunk], pa.int64()), "lang": pa.array([lang], pa.string()), "n_words": pa.array([int(counts.sum())], pa.int64()),
-                "words": pa.array([[w.decode("utf-8", "surrogatepass") for w in buffer.number if w != BREAK]], pa.list_(pa.string())),
-                "counts": pa.array([counts.tolist()], pa.list_(pa.int64())), "tokens": pa.array([pack(tokens)], pa.binary()),
+                "sizes": pa.array([pack(np.fromiter(map(len, buffer.number), np.int32, len(buffer.number))[1:])], pa.binary()),
+                "words": pa.array([pack(np.frombuffer(b"".join(buffer.number)[len(BREAK) :], np.uint8))], pa.binary()),
+                "counts": pa.array([pack(counts.astype(np.int64))], pa.binary()), "tokens": pa.array([pack(tokens)], pa.binary()),
             })
             chunk += 1
 
@@ -93,6 +97,65 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
     yield from rows()
 
 
+_WORDS = pa.schema([
+    ("bucket", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("local", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()),
+])
+_WORDS_SQL = "bucket long, chunk long, lang string, local binary, sizes binary, words binary, counts binary"
+
+
+def _split(sizes: bytes, words: bytes) -> list[bytes]:
+    ends, raw = np.cumsum(unpack(sizes, np.int32), dtype=np.int64).tolist(), unpack(words, np.uint8).tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _send_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct words with their counts, by bucket."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            words, counts = _split(row["sizes"], row["words"]), unpack(row["counts"], np.int64)
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.uint64, len(words))
+            rows = []
+            for bucket, at in by_bucket(of, buckets):
+                own = [words[i] for i in at.tolist()]
+                rows.append({
+                    "bucket": bucket, "chunk": row["chunk"], "lang": row["lang"], "local": pack(np.diff(at, prepend=0).astype(np.int32)), "sizes": pack(np.fromiter(map(len, own), np.int32, len(own))),
+                    "words": pack(np.frombuffer(b"".join(own), np.uint8)), "counts": pack(counts[at]),
+                })
+            yield pa.RecordBatch.from_pylist(rows, _WORDS)
+
+
+_COUNTED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("place", pa.int64()), ("local", pa.binary()), ("places", pa.binary())])
+_COUNTED_SQL = "bucket long, chunk long, lang string, word string, f long, place long, local binary, places binary"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Frequent words of a bucket (rows without a chunk), and for every chunk its own among them (rows with one)."""
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    total: dict[tuple[str, bytes], int] = {}
+    for row in rows:
+        for word, n in zip(_split(row["sizes"], row["words"]), unpack(row["counts"], np.int64).tolist(), strict=True):
+            total[row["lang"], word] = total.get((row["lang"], word), 0) + n
+    found = {pair: place for place, pair in enumerate(pair for pair, n in total.items() if n >= least)}
+    bucket = rows[0]["bucket"]
+    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "lang": lang, "word": word.decode("utf-8", "surrogatepass"), "f": total[lang, word], "place": place} for (lang, word), place in found.items()], _COUNTED)
+    for row in rows:
+        places = np.fromiter((found.get((row["lang"], word), -1) for word in _split(row["sizes"], row["words"])), np.int64)
+        hit = places >= 0
+        if hit.any():
+            local = np.cumsum(unpack(row["local"], np.int32), dtype=np.int64)[hit]
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "chunk": row["chunk"], "local": pack(local), "places": pack(places[hit])}], _COUNTED)
+
+
+def _tell_words(told: pa.Table, words: pa.Table) -> pa.Table:
+    """For every chunk the ids of its words of a bucket."""
+    ids = np.zeros(words.num_rows, np.int64)
+    ids[words.column("place").to_numpy()] = words.column("id").to_numpy()
+    return pa.Table.from_pylist(
+        [{"chunk": row["chunk"], "local": row["local"], "ids": pack(ids[unpack(row["places"], np.int64)])} for row in told.to_pylist()],
+        pa.schema([("chunk", pa.int64()), ("local", pa.binary()), ("ids", pa.binary())]),
+    )
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted coordinates, each once, with their summed counts."""
     if not len(keys):
@@ -143,8 +206,14 @@ def _kept(words: np.ndarray, phrases: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def _state(chunk: int, words: np.ndarray, phrases: np.ndarray, k: int) -> dict:
+    """Packed sequences; phrases of one word are the words."""
     words, phrases = _kept(words, phrases, k)
-    return {"chunk": chunk, "words": pack(words), "phrases": pack(phrases)}
+    return {"chunk": chunk, "words": pack(words + 1), "phrases": pack(phrases + 1) if k > 1 else None}
+
+
+def _unstate(words: bytes, phrases: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    plain = unpack(words, np.int64) - 1
+    return plain, plain if phrases is None else unpack(phrases, np.int64) - 1
 
 
 _STATE = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("phrases", pa.binary())])
@@ -155,9 +224,11 @@ def _numbered(chunks: pa.Table, ids: pa.Table) -> pa.Table:
     """Word sequences of a chunk in ids; words without an id are gaps."""
     out = []
     for row in chunks.to_pylist():
-        of = np.full(row["size"] + 1, -1, np.int64)
-        of[ids.column("local").to_numpy() + 1] = ids.column("id").to_numpy()
-        words = of[unpack(row["tokens"], np.int32)]
+        tokens = unpack(row["tokens"], np.int32)
+        of = np.full(int(tokens.max(initial=0)) + 1, -1, np.int64)
+        for part in ids.to_pylist():
+            of[unpack(part["local"], np.int64) + 1] = unpack(part["ids"], np.int64)
+        words = of[tokens]
         out.append(_state(row["chunk"], words, words, 1))
     give_back()
     return pa.Table.from_pylist(out, _STATE)
@@ -172,7 +243,7 @@ def _grown(states: pa.Table, answers: pa.Table, k: int) -> pa.Table:
     keys, ids = keys[order], ids[order]
     out = []
     for row in states.to_pylist():
-        words, phrases = unpack(row["words"], np.int64), unpack(row["phrases"], np.int64)
+        words, phrases = _unstate(row["words"], row["phrases"])
         at, wanted = _pairs(words, phrases, k)
         longer = np.full(len(words), -1, np.int64)
         if len(keys) and len(at):
@@ -191,12 +262,13 @@ _SENT = pa.schema([("tile", pa.int64()), ("share", pa.int64()), ("chunk", pa.int
 _SENT_SQL = "tile long, share long, chunk long, steps binary, counts binary"
 
 
-def _send(batches: Iterator[pa.RecordBatch], k: int, buckets: int, shares: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's pair counts by tile: direct tiles with bincount where they are well filled, else sorted coordinates."""
+def _send(batches: Iterator[pa.RecordBatch], k: int, buckets: int, shares: int, direct: bool) -> Iterator[pa.RecordBatch]:
+    """A chunk's pair counts, of direct tiles or of buckets: bincount where a tile is well filled, else sorted coordinates."""
     for batch in batches:
         for chunk, words, phrases in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "phrases")), strict=True):
-            _, keys = _pairs(unpack(words, np.int64), unpack(phrases, np.int64), k)
+            _, keys = _pairs(*_unstate(words, phrases), k)
             tile = _tile(keys >> 32, keys & 0xFFFFFFFF, buckets)
+            keys, tile = keys[(tile >= 0) == direct], tile[(tile >= 0) == direct]
             order = np.argsort(tile, kind="stable")
             keys, tile = keys[order], tile[order]
             rows: list[dict] = []
@@ -244,10 +316,24 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist([{"tile": tile, "steps": pack(np.diff(keys, prepend=np.int64(0))), "counts": pack(counts)}], pa.schema([_SENT.field("tile"), _SENT.field("steps"), _SENT.field("counts")]))
 
 
+_FOUND = pa.schema([("tile", pa.int64()), ("chunk", pa.int64()), ("first", pa.int64()), ("follower", pa.int64()), ("f", pa.int64()), ("steps", pa.binary())])
+_FOUND_SQL = "tile long, chunk long, first long, follower long, f long, steps binary"
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    tile, keys, counts = _tile_sums(batches)
+    """Frequent pairs of a tile (rows without a chunk), and for a bucket every chunk's own among them (rows with one)."""
+    held = list(batches)  # packed
+    tile, keys, counts = _tile_sums(iter(held))
     keys, counts = keys[counts >= least], counts[counts >= least]
-    yield pa.record_batch({"tile": np.full(len(keys), tile), "first": keys >> 32, "follower": keys & 0xFFFFFFFF, "f": counts})
+    nothing = pa.nulls(len(keys), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), tile)), nothing, pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(counts), pa.nulls(len(keys), pa.binary())], schema=_FOUND)
+    if tile < 0 and len(keys):
+        for batch in held:
+            for chunk, steps in zip(batch.column("chunk").to_pylist(), batch.column("steps").to_pylist(), strict=True):
+                own = np.cumsum(unpack(steps, np.int64))
+                own = own[keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own]
+                if len(own):
+                    yield pa.RecordBatch.from_pylist([{"tile": tile, "chunk": chunk, "steps": pack(np.diff(own, prepend=np.int64(0)))}], _FOUND)
 
 
 def _answer(sent: pa.Table, found: pa.Table) -> pa.Table:
@@ -277,23 +363,27 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     limit = CHUNK_CHARS
-    chunks = stage(source.mapInArrow(lambda batches: at_end(_chunks(batches, limit)), "chunk long, lang string, n_words long, words array<string>, counts array<long>, tokens binary"), "word-chunks")
+    chunks = stage(source.mapInArrow(lambda batches: at_end(_chunks(batches, limit)), "chunk long, lang string, n_words long, sizes binary, words binary, counts binary, tokens binary"), "word-chunks")
     totals = stage(chunks.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
     size = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(1, -(-size[0] >> 23), min(bucket_count(spark), size[0] >> 16))
     shares = max(1, int(np.ceil(np.sqrt(size[1]))))
 
-    vocabulary = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("chunk", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
-    counted = vocabulary.groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-    words = _ranked(counted, ["lang", "word"], "words")
-    back = vocabulary.select("chunk", "lang", "local", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("chunk").alias("to"), "local", "id")
-    start = chunks.select("chunk", "tokens", F.size("words").cast("long").alias("size"))
-    states = stage(start.groupBy("chunk").cogroup(back.groupBy("to")).applyInArrow(_numbered, _STATE_SQL), "sequences")
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_words(batches, min_count)
+
+    sent = chunks.select("chunk", "lang", "sizes", "words", "counts").mapInArrow(lambda batches: at_end(_send_words(batches, buckets)), _WORDS_SQL)
+    counted = stage(sent.groupBy("bucket").applyInArrow(count_words, _COUNTED_SQL), "counted")
+    words = _ranked(counted.where("chunk IS NULL").select("bucket", "place", "lang", "word", "f"), ["lang", "word"], "words")
+    told = counted.where("chunk IS NOT NULL").select("bucket", "chunk", "local", "places")
+    back = told.groupBy("bucket").cogroup(words.select("bucket", "place", "id").groupBy("bucket")).applyInArrow(_tell_words, "chunk long, local binary, ids binary")
+    states = stage(chunks.select("chunk", "tokens").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_numbered, _STATE_SQL), "sequences")
 
     spelled = words.select("id", "lang", F.col("word").alias("phrase"), F.array("word").alias("words"), "f")
     lengths, last = [spelled], spelled
     for k in range(1, max_words):
-        sent = stage(states.mapInArrow(lambda batches, k=k: at_end(_send(batches, k, buckets, shares)), _SENT_SQL), "pairs")
+        hot = stage(states.mapInArrow(lambda batches, k=k: at_end(_send(batches, k, buckets, shares, True)), _SENT_SQL), "pairs")
+        rare = states.mapInArrow(lambda batches, k=k: at_end(_send(batches, k, buckets, shares, False)), _SENT_SQL)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _partial(batches)
@@ -301,9 +391,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
         def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return _frequent(batches, min_count)
 
-        summed = sent.drop("chunk").groupBy("tile", "share").applyInArrow(partial, "tile long, steps binary, counts binary")
-        found = summed.groupBy("tile").applyInArrow(frequent, "tile long, first long, follower long, f long")
-        found = _ranked(found, ["first", "follower"], "phrases")
+        summed = hot.drop("chunk").groupBy("tile", "share").applyInArrow(partial, "tile long, steps binary, counts binary")
+        hot_found = summed.groupBy("tile").applyInArrow(frequent, _FOUND_SQL)
+        rare_found = stage(rare.drop("share").groupBy("tile").applyInArrow(frequent, _FOUND_SQL), "rare")
+        pairs = hot_found.unionByName(rare_found.where("chunk IS NULL")).select("tile", "first", "follower", "f")
+        found = _ranked(pairs, ["first", "follower"], "phrases")
         if found.isEmpty():
             break
         longer = (
@@ -316,8 +408,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
         if k + 1 < max_words:
             # A direct tile's ids go to every share of the chunks.
             share = F.when(F.col("tile") >= 0, F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-            told = found.select("tile", "first", "follower", "id", F.explode(share).alias("share"))
-            answers = sent.select("tile", "share", "chunk", "steps").groupBy("tile", "share").cogroup(told.groupBy("tile", "share")).applyInArrow(_answer, "chunk long, steps binary, ids binary")
+            ids = found.select("tile", "first", "follower", "id", F.explode(share).alias("share"))
+            asked = hot.select("tile", "share", "chunk", "steps").unionByName(rare_found.where("chunk IS NOT NULL").select("tile", F.lit(0).cast("long").alias("share"), "chunk", "steps"))
+            answers = asked.groupBy("tile", "share").cogroup(ids.groupBy("tile", "share")).applyInArrow(_answer, "chunk long, steps binary, ids binary")
             states = stage(states.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_growing(k), _STATE_SQL), "sequences")
     phrases = lengths[0].drop("id")
     for table in lengths[1:]:
