@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.llm import byte_bpe, embedding_dedup, html_text, jaccard_join, language_model, quality_classifier, quality_rules, secret_scan, source_mixing, toxicity
 from tiltmeter.llm.queries import byte_bpe_ranks
+from tiltmeter.session import stage
 
 WORDS = [f"w{i}{'xyz'[i % 3]}" for i in range(400)]
 
@@ -261,3 +262,47 @@ def test_pipeline_on_odd_rows(spark, docs, empty, tmp_path):
     for folder in tmp_path.iterdir():
         out = corpus_pipeline.run(spark, str(folder))
         assert out.columns == ["doc_id", "n_tokens", "ids"] and out.where("doc_id in (1, 2, 5, 6, 14)").count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_mixing_with_one_id_for_all(spark, doc_id):
+    rng = np.random.default_rng(8)
+    rows = [(doc_id, f"s{i % 2}", " ".join(["w"] * int(n))) for i, n in enumerate(rng.integers(1, 5, 2000))] + [(doc_id, "s2", "same text here")] * 600
+    found = source_mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4), keep=("text",)).collect()
+    assert len(found) == len(rows)
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(len(r.draws) * r.size for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def test_rows_without_an_id_are_linked(spark):
+    text = _text(31, 120)
+    rows = [(None, text + " x"), (None, text + " x"), (1, text), (5, _text(33))]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(found, key=str) if r.doc_id != 5] == [1, 1, 1]
+
+
+def test_samples_are_bounded_on_repeated_ids(spark, monkeypatch):
+    staged = {}
+
+    def spy(frame, name):
+        staged[name] = stage(frame, name)
+        return staged[name]
+
+    monkeypatch.setattr(toxicity, "stage", spy)
+    rows = [(1, f"you dorknose {i}") for i in range(300)] + [(2, _text(i)) for i in range(300)] + [(3, "plain words here")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), labels).count() == len(rows)
+    assert staged["labelled"].count() == 3
+
+
+def test_pipeline_removes_rows_not_ids(spark):
+    import corpus_pipeline
+
+    base = _text(21, 80)
+    rows = [(3, base), (5, base + " x"), (5, _text(22)), (7, _text(23)), (None, _text(24)), (None, _text(24)), (None, _text(25)), (8, _text(26)), (8, _text(26))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each(spark, docs.repartition(3), "").collect()
+    near = [r for r in kept if r.text.startswith(base)]
+    assert len(near) == 1 and len(kept) == 6
+    assert sorted((str(r.doc_id), r.text) for r in kept if r not in near) == sorted([("5", _text(22)), ("7", _text(23)), ("None", _text(24)), ("None", _text(25)), ("8", _text(26))])

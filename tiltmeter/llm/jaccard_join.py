@@ -202,11 +202,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _rows_of(source: DataFrame, classes: DataFrame) -> DataFrame:
-    """Texts of one row per class. The ids are broadcast up to `BROADCAST_IDS` of them, and shuffled beyond."""
+    """Texts of one row per class, and of all rows without an id if a class has no other.
+
+    The ids are broadcast up to `BROADCAST_IDS` of them, and shuffled beyond.
+    """
     wanted = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    return source.join(wanted, "id", "left_semi").select("text")
+    rows = source.join(wanted, "id", "left_semi").select("text")
+    return rows if classes.where("rep is null").isEmpty() else rows.unionAll(source.where("id is null").select("text"))
 
 
 def _block_tasks(rows: DataFrame, percent: int) -> DataFrame:

@@ -181,7 +181,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch], text_col: str, weights: np
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), keep_at: float = 0.5) -> DataFrame:
     """-> `keep` columns, quality_score double, quality_kept boolean."""
-    source = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("mark"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(5)).alias("mark"), F.col(text_col).alias("text"))
     voted = stage(source.mapInArrow(lambda batches: at_end(_vote_batches(batches)), "id string, mark long, votes string"), "votes")
     counts = {row.votes: row.n for row in voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()}  # bounded by the patterns
     counts.pop("-" * len(LABELLERS), None)
@@ -190,8 +190,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         good = F.create_map(*(F.lit(x) for item in table.items() for x in item))[F.col("votes")]
         labelled = voted.withColumn("good", good).where("good is not null")
         sample = labelled.where("good >= 0.5").orderBy("mark", "id").limit(SAMPLE // 2).unionAll(labelled.where("good < 0.5").orderBy("mark", "id").limit(SAMPLE // 2))
-        sample = stage(sample.dropDuplicates(["id"]).select("id", "good"), "sample")
-        texts = source.where(F.col("text").isNotNull()).join(F.broadcast(sample), "id")  # SAMPLE rows
+        sample = stage(sample.dropDuplicates(["mark"]).select("mark", "good"), "sample")  # a mark names an id with its text
+        texts = source.where(F.col("text").isNotNull()).join(F.broadcast(sample), "mark").dropDuplicates(["mark"])  # SAMPLE rows
         trained = texts.select(F.lit(0).alias("one"), "mark", "text", "good").groupBy("one").applyInArrow(_train, "weights binary").first()
         weights = np.frombuffer(trained.weights, np.float64)
     else:

@@ -2,7 +2,7 @@
 
 1. Targets: every source's share of all words follows its weight, but stops at `most` times the words that it has; the
    excess goes to the others by weight until none is above (water filling over the table of sources).
-2. Documents fall into blocks of their source by a hash of their id: at most BLOCKS blocks a source, so no block holds
+2. Documents fall into blocks of their source by a hash of id and text: at most BLOCKS blocks a source, so no block holds
    more than that part of one. A source is taken as many whole times as fit into its target; for the rest, blocks are
    taken in a random order, and the last one document by document, to the nearest document.
 3. Splitting tree: the numbers of drawn blocks per source are split between two halves of the output shards, then each
@@ -13,7 +13,7 @@
 
 All draws are hashes of (seed, keys), so reruns and retried tasks agree. Everything is SQL functions. Size is the number
 of words `[^\\x20\\x09-\\x0D]+`; a null text has none. A null source is a source of its own, last in the order. A source
-without words has target 0. Repeated rows are documents of their own and drawn with their block. An empty input gives an
+without words has target 0. Repeated rows are documents of their own; ids may repeat or be null. An empty input gives an
 empty result. Tables of sources and blocks are metadata: one row a source, at most BLOCKS rows a source.
 """
 
@@ -74,13 +74,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     `arranged` makes the copies of it.
     """
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), *(F.col(c).alias(f"__keep_{c}") for c in keep), word_count(text_col).alias("size"))
-    sized = stage(sized, "sized")
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), *(F.col(c).alias(f"__keep_{c}") for c in keep), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col)).alias("__text"))
+    sized = stage(sized.withColumn("__row", F.monotonically_increasing_id()), "sized")
     table = stage(targets(sized.select("source", "size"), weights, most), "targets")
     plan = table.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")).withColumn("blocks", F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.floor(F.col("docs") / 16))))
     plan = plan.withColumnRenamed("source", "__source")
-    of = F.expr(f"pmod(xxhash64({seed}, __id), blocks)").cast("int")
+    of = F.expr(f"pmod(xxhash64({seed}, __id, __text), blocks)").cast("int")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("block", of)
 
     sums = stage(rows.groupBy("nr", "block").agg(F.sum("size").alias("words"), F.first("times").alias("times"), F.first("rest").alias("rest")), "blocks")
@@ -98,10 +98,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     chosen = stage(sums.select("nr", "block", "before", "extra").join(draws, ["nr", "block"], "left"), "draws")
 
     rows = rows.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_BLOCKS else chosen, ["nr", "block"])
-    last = Window.partitionBy("nr").orderBy(F.expr(f"xxhash64({seed + 2}, __id)"), "size")  # one block of each source
-    partly = rows.where("extra = 1").withColumn("upto", F.col("before") + F.sum("size").over(last))
-    partly = partly.withColumn("draws", F.when(F.col("upto") - F.col("size") / 2 <= F.col("rest"), F.col("draws")).otherwise(F.expr("filter(draws, d -> d.pass < times)"))).drop("upto")
-    both = rows.where("extra <> 1").unionByName(partly)
+    # One block of each source is taken up to a row; only keys and sizes are ordered, the texts stay where they are.
+    key = F.struct(F.expr(f"xxhash64({seed + 2}, __id, __text)").alias("order"), "size", "__row")
+    last = Window.partitionBy("nr").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    partly = rows.where("extra = 1").select("nr", "size", "before", "rest", key.alias("key")).withColumn("upto", F.col("before") + F.sum("size").over(last))
+    cut = stage(partly.where(F.col("upto") - F.col("size") / 2 <= F.col("rest")).groupBy("nr").agg(F.max("key").alias("cut")), "cut")
+    rows = rows.join(cut, "nr", "left")
+    whole = (F.col("extra") != 1) | F.coalesce(key <= F.col("cut"), F.lit(False))
+    both = rows.withColumn("draws", F.when(whole, F.col("draws")).otherwise(F.expr("filter(draws, d -> d.pass < times)")))
     return both.select(
         F.col("__id").alias(id_col), F.col("source").alias(source_col), *(F.col(f"__keep_{c}").alias(c) for c in keep), "size", "source_size", "target",
         F.coalesce("draws", F.expr("cast(array() as array<struct<pass:int,shard:int>>)")).alias("draws"),

@@ -217,9 +217,12 @@ def _score(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.
 def score_texts(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """-> `keep` columns, toxicity double. `labelled` has (`id_col`, toxic 0/1) of the texts to learn from."""
     wanted = labelled.where("toxic in (0, 1)").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col(id_col), F.lit(7)).alias("mark"))
+    wanted = wanted.groupBy("id", "mark").agg(F.max("toxic").alias("toxic"))
     sample = stage(wanted.where("toxic = 1").orderBy("mark", "id").limit(SAMPLE).unionAll(wanted.where("toxic = 0").orderBy("mark", "id").limit(SAMPLE)), "sample")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    texts = stage(source.join(F.broadcast(sample), "id"), "labelled")  # 2 * SAMPLE rows
+    # One text of every labelled id, the same in every run: 2 * SAMPLE rows, also where ids repeat.
+    first = F.min(F.struct(F.xxhash64("text").alias("digest"), "text"))["text"]
+    texts = stage(source.join(F.broadcast(sample), "id").groupBy("id", "mark", "toxic").agg(first.alias("text")), "labelled")
     carried = docs.select(*keep, F.col(text_col).alias("__text"))
     if texts.select("toxic").distinct().count() < 2:
         return carried.drop("__text").withColumn("toxicity", F.lit(0.0))
