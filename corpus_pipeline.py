@@ -30,14 +30,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; of rows that repeat id and text, one."""
-    docs = docs.select(*COLUMNS)
-    groups = stage(jaccard_components(docs), "groups")
-    away, again = groups.where("doc_id <> component_id"), groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    kept = docs.join(_small(away.select("doc_id").distinct()), "doc_id", "left_anti")
-    again = _small(stage(again.select("doc_id"), "repeated"))
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    """One document of each group of near duplicates. Rows are told apart, not ids: these may repeat or be null."""
+    rows = _numbered(docs.select(*COLUMNS))
+    groups = jaccard_components(rows.select("row", "text"), id_col="row")
+    away = stage(groups.where("row <> component_id").select("row"), "away")
+    return rows.join(_small(away), "row", "left_anti").select(*COLUMNS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of its own for every row: the id, or one below all ids where an id is null or repeated."""
+    again = stage(docs.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("again is null or n > 1").select("again"), "repeated")
+    if again.isEmpty():
+        return docs.withColumn("row", F.col("doc_id"))
+    low = docs.agg(F.min("doc_id")).first()[0] or 0
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    more = docs.join(_small(again), same, "left_semi").withColumn("row", F.lit(low - 1).cast("long") - F.monotonically_increasing_id())
+    return docs.join(_small(again), same, "left_anti").withColumn("row", F.col("doc_id")).unionByName(stage(more, "numbered"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
