@@ -17,8 +17,10 @@ from tiltmeter.functions.ordering import global_index
 from tiltmeter.operators import cleaning, compare, decisions, injection, perturb, pnl, reports, scoring, steps, windows
 from tiltmeter.plans.sweep import SweepTables, default_scorer, run_sweep, run_sweep_rows
 from tiltmeter.session import stage, staging_path
-from tiltmeter.sources import demo, posts, registry, sinks
-from tiltmeter.streaming.windows import decide_stream, start_decisions
+from tiltmeter.operators.window_state import WindowStates
+from tiltmeter.sources import demo, ingest, posts, registry, sinks
+from tiltmeter.sources.score_store import ScoreStore
+from tiltmeter.streaming.windows import decide_stream, decide_unique, start_decisions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,6 +151,57 @@ def read_posts_csv(spark, folder):
     return good.select("index", "Date", F.col("Content").alias("content"), "Hashtags", "Username", "URL")
 
 
+def mixed_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as raw posts with three forms of time, some unreadable, some texts empty."""
+    time = F.try_to_timestamp("Date")
+    n = F.col("index").cast("long")
+    form = (
+        F.when(n % 23 == 7, "some day").when(n % 3 == 1, F.date_format(time, "dd/MM/yyyy HH:mm"))
+        .when(n % 3 == 2, F.date_format(time, "MMM d, yyyy h:mm a")).otherwise(F.col("Date"))
+    )
+    return raw(spark, folder).withColumn("Date", form).withColumn("Content", F.when(n % 31 != 5, F.col("Content")).otherwise("  "))
+
+
+@query
+def ingest_posts(spark, folder):
+    """Good and rejected rows of files with different columns, times and faults: every input row once."""
+    path = staging_path(spark, "mixed-csv")
+    rows = mixed_posts(spark, folder)
+    long_ = F.col("index").cast("long") % 29 == 3
+    sinks.write_csv(rows.where(~long_ & (F.col("index").cast("long") % 2 == 0)), f"{path}/a")
+    sinks.write_csv(rows.where(~long_ & (F.col("index").cast("long") % 2 == 1)).select("Content", "Date", "index"), f"{path}/b")
+    # Lines with a field too many, under a header of two.
+    lines = spark.range(1).select(F.lit("Date,Content").alias("value"), F.lit(-1).alias("at")).unionAll(
+        rows.where(long_).select(F.concat_ws(",", F.lit("2024-01-01 00:00:00"), "index", F.lit("more")), F.col("index").cast("int")),
+    )
+    sinks.write_text(lines.coalesce(1).sortWithinPartitions("at").select("value"), f"{path}/c")
+    good, rejected = ingest.ingest_posts(spark, [f"{path}/a", f"{path}/b", f"{path}/c"])
+    told = good.select("index", F.col("Date").alias("timestamp"), F.md5("Content").alias("text_md5"), F.lit(None).cast("string").alias("reason"))
+    number = F.coalesce("index", F.split("_bad_row", ",")[1])
+    return told.unionByName(rejected.select(number.alias("index"), F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("text_md5"), "reason"))
+
+
+@query
+def read_market_steps(spark, folder):
+    """Typed market steps of two files with other column orders, two forms of time, ties and broken fields."""
+    path = staging_path(spark, "market-csv")
+    rows = market(spark, folder).withColumnRenamed("step", "event_id")
+    n = F.col("event_id")
+    loose = rows.withColumns({
+        "rsi_technical_indicator": F.when(n % 37 == 5, "n/a").when(n % 37 == 6, "").otherwise(F.col("rsi_technical_indicator").cast("string")),
+        "volatility_index": F.when(n % 43 == 11, "NaN").otherwise(F.col("volatility_index").cast("string")),
+        "timestamp": F.when(n % 41 == 7, "soon").when(n % 2 == 1, F.date_format(F.date_trunc("minute", "timestamp"), "dd/MM/yyyy HH:mm"))
+        .otherwise(F.date_format(F.date_trunc("minute", "timestamp"), "yyyy-MM-dd HH:mm:ss")),
+    })
+    sinks.write_csv(loose.where(n % 3 > 0), f"{path}/a")
+    sinks.write_csv(loose.where(n % 3 == 0).select(*reversed(loose.columns)), f"{path}/b")
+    order = T.StructType([T.StructField("event_id", T.LongType())])
+    steps_, rejected = ingest.read_market_steps(spark, [f"{path}/a", f"{path}/b"], order)
+    told = steps_.select("event_id", "step", "timestamp", "rsi_technical_indicator", "volatility_index", F.lit(None).cast("string").alias("reason"))
+    lost = rejected.select(F.get_json_object("line", "$.event_id").cast("long").alias("event_id"), "reason")
+    return told.unionByName(lost, allowMissingColumns=True)
+
+
 @query
 def normalize_scored(spark, folder):
     loose = scored(spark, folder).select(
@@ -185,6 +238,15 @@ def csv_sink(spark, folder):
     return spark.read.options(header=True, quote='"', escape='"').schema(table.schema).csv(path).fillna({"top_flips": ""})
 
 
+@query
+def csv_lists(spark, folder):
+    """Lists through the CSV sink, as JSON text."""
+    path = staging_path(spark, "lists-csv")
+    table = raw(spark, folder).select("index", text.parse_tags("Hashtags").alias("tags"))
+    sinks.write_csv(table, path)
+    return spark.read.options(header=True, quote='"', escape='"').csv(path)
+
+
 @query
 def json_sink(spark, folder):
     path = staging_path(spark, "trajectory-json")
@@ -374,6 +436,25 @@ def score_distinct(spark, folder):
     return rows.drop("text")
 
 
+@query
+def score_store(spark, folder):
+    """Two runs over one kept store: the second scores only texts that the first did not meet."""
+    documents = demo.table(spark, folder, "documents").select("doc_id", "text", "lang")
+    store = ScoreStore(spark, staging_path(spark, "score-store"), digits=1)
+    scoring.score_new(documents.where("lang = 'en'"), word_scorer, store, "text")
+    scoring.score_new(documents, word_scorer, store, "text")
+    store.compact()
+    return scoring.score_new(documents, word_scorer, store, "text").drop("text")
+
+
+@query
+def score_truncated(spark, folder):
+    """Scores of the first 40 characters of every text; equal beginnings of different texts do not share a score."""
+    documents = demo.table(spark, folder, "documents").select("doc_id", "text")
+    rows, _ = scoring.score_distinct(documents, word_scorer, "text", max_chars=40)
+    return rows.drop("text")
+
+
 @query
 def heuristic_policy(spark, folder):
     return decisions.composite_agent(market(spark, folder))
@@ -500,6 +581,19 @@ def window_features(spark, folder):
     return baseline_windows(spark, folder)
 
 
+@query
+def kept_windows(spark, folder):
+    """Windows from kept states of three loads, compacted after the second: as if loaded at once."""
+    posts_ = scored(spark, folder)
+    kept = WindowStates(spark, staging_path(spark, "window-states"), EXPERIMENT.freq)
+    part = F.crc32(F.col("tweet_id")) % 3
+    for load in range(3):
+        kept.add(posts_.where(part == load))
+        if load == 1:
+            kept.compact()
+    return kept.windows().drop("dataset")
+
+
 @query
 def sweep_windows(spark, folder):
     return sweep_tables(spark, folder).windows
@@ -705,11 +799,14 @@ def stacked(logs: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def drift_steps(spark, folder):
+    """Both experiments against the baseline, from one stacked log."""
+    return steps.drift_all(stacked(experiments(spark, folder)), BASELINE, ["intensity", "lag"])
+
+
+@query
+def drift_pair(spark, folder):
     logs = experiments(spark, folder)
-    parts = [
-        steps.drift_steps(logs[BASELINE], logs[name]).withColumn("experiment", F.lit(name)) for name in ("intensity", "lag")
-    ]
-    return parts[0].unionByName(parts[1])
+    return steps.drift_steps(logs[BASELINE], logs["intensity"])
 
 
 @query
@@ -800,3 +897,17 @@ def stream_windows(spark, folder):
     decided = decide_stream(arriving, EXPERIMENT.freq, MAX_DELAY)
     start_decisions(decided, path, staging_path(spark, "stream-state"), once=True).awaitTermination()
     return spark.read.parquet(path)
+
+
+@query
+def stream_unique(spark, folder):
+    """The stream with every third post delivered twice: the same decisions."""
+    source = staging_path(spark, "stream-source")
+    events = demo.table(spark, folder, "events").selectExpr(*demo.SCORED_POSTS).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    again = events.where(F.crc32(F.col("tweet_id")) % 3 == 0)
+    events.unionByName(again).write.parquet(source)
+    arriving = spark.readStream.schema(events.schema).parquet(source)
+    path = staging_path(spark, "unique-decisions")
+    decided = decide_unique(arriving, EXPERIMENT.freq, MAX_DELAY)
+    start_decisions(decided, path, staging_path(spark, "unique-state"), once=True).awaitTermination()
+    return spark.read.parquet(path)

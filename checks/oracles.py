@@ -726,3 +726,29 @@ ORACLES: dict[str, str] = {
         WHERE w_end <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE"""),
 }
 ORACLES["first_active"] = ORACLES["heuristic_policy"] + " WHERE policy <> 'HOLD' ORDER BY step LIMIT 3"
+ORACLES["stream_unique"] = ORACLES["stream_windows"]
+ORACLES["kept_windows"] = ORACLES["window_features"]
+ORACLES["drift_pair"] = on_steps(f"SELECT * EXCLUDE (experiment) FROM ({_drift('intensity', 'rule2')})")
+ORACLES["score_store"] = on_labelled(
+    f"SELECT lang, {_SCORES}, CASE WHEN max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) OVER (PARTITION BY coalesce(post, '')) = 1 THEN 1::BIGINT ELSE 2 END AS score_batch FROM probs"
+)
+ORACLES["score_truncated"] = f"""
+    WITH cut AS (SELECT doc_id, left({strip("coalesce(text, '')")}, 40) AS head FROM documents),
+    counted AS (SELECT *, {words('head', W_POS)} AS wp, {words('head', W_NEG)} AS wn FROM cut),
+    probs AS (SELECT *, wp::DOUBLE / (wp + wn + 1) AS pp, 1::DOUBLE / (wp + wn + 1) AS pu, wn::DOUBLE / (wp + wn + 1) AS pn FROM counted)
+    SELECT {_SCORES} FROM probs"""
+ORACLES["csv_lists"] = """SELECT CAST(doc_id AS VARCHAR) AS "index", '["' || source || '","' || lang || '"]' AS tags FROM documents"""
+ORACLES["ingest_posts"] = f"""
+    WITH posts AS (SELECT *, doc_id % 29 = 3 AS too_long, doc_id % 23 = 7 AS no_time, doc_id % 31 = 5 OR NOT regexp_matches(coalesce(text, ''), '[^\\s]') AS no_text FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS "index",
+        CASE WHEN NOT (too_long OR no_time OR no_text) THEN {stamp("(TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 24)::INT) + to_minutes((doc_id % 60)::INT))")} END AS "timestamp",
+        CASE WHEN NOT (too_long OR no_time OR no_text) THEN md5(text) END AS text_md5,
+        CASE WHEN too_long THEN 'too many fields' WHEN no_time THEN 'unreadable time' WHEN no_text THEN 'empty text' END AS reason
+    FROM posts"""
+ORACLES["read_market_steps"] = f"""
+    WITH rows AS (SELECT event_id, date_trunc('minute', ts) AS t, CASE WHEN event_id % 37 = 6 THEN NULL ELSE CAST((event_id * 37) % 101 AS DOUBLE) END AS rsi,
+        CAST((event_id * 53) % 101 AS DOUBLE) AS vol, CASE WHEN user_id % 2 = 0 THEN 'BTC' ELSE 'ETH' END AS coin,
+        CASE WHEN event_id % 41 = 7 THEN 'unreadable time' WHEN event_id % 37 = 5 THEN 'bad rsi_technical_indicator' WHEN event_id % 43 = 11 THEN 'bad volatility_index' END AS reason FROM events)
+    SELECT event_id, row_number() OVER (ORDER BY t, coin, event_id) - 1 AS step, {stamp('t')} AS "timestamp", {r6('rsi')} AS rsi_technical_indicator, {r6('vol')} AS volatility_index, reason
+    FROM rows WHERE reason IS NULL
+    UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, reason FROM rows WHERE reason IS NOT NULL"""

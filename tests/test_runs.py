@@ -30,7 +30,7 @@ def test_step_runs(spark, data, tmp_path):
     market = demo.market_steps(spark, data)
     paths = runs.drift_run(market, str(tmp_path / "drift"))
     text = "\n".join(r.value for r in spark.read.text(paths["drift_pnl_comparison"]).collect())
-    assert "temporal_jitter_n3" in text and "(Tied)" in text
+    assert "temporal_jitter_n3" in text and "Tied" in text
     paths = runs.hybrid_run(market, str(tmp_path / "hybrid"), sample=100)
     assert spark.read.json(paths["combined_log"]).count() == 100
     labelled = market.select("step", "timestamp", "cryptocurrency", F.lit("up").alias("tweet_text"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tiltmeter.config import MODEL_AGENT, RULE_AGENT, CompositeWeights, StepPolicy, WindowPolicy
 from tiltmeter.functions.joins import lookup
 from tiltmeter.functions.labels import action_from_label, dominant, label_from_score
-from tiltmeter.functions.numeric import bucketed, clip
+from tiltmeter.functions.numeric import bucketed, clean_double, clip
 from tiltmeter.functions.text import answer_action, strip
 from tiltmeter.schemas import TRAJECTORY
 from tiltmeter.session import stage
@@ -144,7 +144,7 @@ def rule_and_model(
 
 
 def step_rule(policy: StepPolicy = StepPolicy()) -> Column:
-    mood, rsi = F.col("social_sentiment_score"), F.col("rsi_technical_indicator")
+    mood, rsi = clean_double("social_sentiment_score"), clean_double("rsi_technical_indicator")
     return (
         F.when((mood > policy.buy_above) & (rsi < policy.buy_rsi_below), "BUY")
         .when((mood < policy.sell_below) | (rsi > policy.sell_rsi_above), "SELL").otherwise("HOLD")
@@ -158,10 +158,10 @@ def step_risk(policy: StepPolicy = StepPolicy()) -> Column:
 
 def composite_parts(weights: CompositeWeights = CompositeWeights()) -> dict[str, Column]:
     """Weighted score of a step with its factors and the label it leads to."""
-    mood = F.col("social_sentiment_score")
-    rsi = -(F.col("rsi_technical_indicator") - 50) / 50
-    momentum = clip(F.col("price_change_24h_percent") / 10.0, -1.0, 1.0)
-    greed = (F.col("fear_greed_index") - 50) / 50
+    mood = clean_double("social_sentiment_score")
+    rsi = -(clean_double("rsi_technical_indicator") - 50) / 50
+    momentum = clip(clean_double("price_change_24h_percent") / 10.0, -1.0, 1.0)
+    greed = (clean_double("fear_greed_index") - 50) / 50
     total = weights.sentiment * mood + weights.rsi * rsi + weights.momentum * momentum + weights.mood * greed
     label = (
         F.when(total > weights.positive_above, "positive").when(total < weights.negative_below, "negative")

@@ -14,6 +14,7 @@ from tiltmeter.functions.labels import sentiment_columns
 from tiltmeter.functions.text import strip
 from tiltmeter.schemas import SCORE_COLUMNS
 from tiltmeter.session import stage
+from tiltmeter.sources.score_store import ScoreStore
 
 # Takes a list of texts, returns one (positive, neutral, negative) triple per text.
 BatchScorer = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -101,3 +102,28 @@ def score_distinct(
     rows = keyed.withColumn("text_md5", F.md5("_text")).drop("_text")
     found = lookup(rows, current.drop("text"), "text_md5", "copies", df.columns)
     return found.drop("text_md5"), grown
+
+
+def score_new(
+    df: DataFrame, probabilities: Callable[[Column], Column], store: ScoreStore, text_col: str = "tweet_text", max_chars: int | None = None,
+) -> DataFrame:
+    """Score rows through a store that outlives the run: texts it holds are looked up, only new ones are scored and added.
+
+    -> rows with the score columns and `score_batch`, the version of the store that brought the score. Distinct texts
+    are grouped by digest, so a long text is no shuffle key; the lookup reads the store's folders of their prefixes only.
+    """
+    keyed = df.withColumn("text_md5", F.md5(text_key(text_col)))
+    texts = stage(keyed.groupBy("text_md5").agg(F.first(text_key(text_col)).alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
+    prefixes = [row[0] for row in texts.select(store.prefix()).distinct().collect()]  # a few hundred at most
+    since = store.latest()
+    fresh = texts.join(store.read(since, prefixes).select("text_md5"), "text_md5", "left_anti")
+
+    def limited(text: Column) -> Column:
+        return probabilities(text if max_chars is None else F.left(text, F.lit(max_chars)))
+
+    scored = stage(add_scores(fresh, limited, "text").select("text_md5", *SCORE_COLUMNS), "scores")
+    if not scored.isEmpty():
+        since = store.add(scored, since)
+    known = store.read(since, prefixes).drop("prefix")
+    current = stage(texts.select("text_md5", "copies").join(known, "text_md5"), "scores")
+    return lookup(keyed, current, "text_md5", "copies", df.columns).drop("text_md5")

@@ -76,6 +76,43 @@ def drift_steps(base: DataFrame, mutant: DataFrame) -> DataFrame:
     )
 
 
+def drift_all(logs: DataFrame, baseline: str, experiments: Sequence[str], name: str = "experiment", step: str = "step") -> DataFrame:
+    """`drift_steps` of many experiments against the baseline, one row each, from one stacked log (`name`, `step`, ...).
+
+    Every step becomes one row with a slot per experiment: one scan and one shuffle by step, whatever the number of
+    experiments, and only counters after that. Actions are held as numbers, so the slots are plain hash aggregates.
+    """
+    known = F.array_position(F.array(*map(F.lit, ACTIONS)), F.col("action_taken"))
+    code = F.when(known > 0, known).otherwise(F.xxhash64("action_taken"))  # other actions count as changes, not as flips
+    slots: list[Column] = []
+    for i, experiment in enumerate([baseline, *experiments]):
+        mine = F.col(name) == experiment
+        slots += [
+            F.max(F.when(mine & F.col("action_taken").isNotNull(), code)).alias(f"_a{i}"),
+            F.max(F.when(mine, F.col("oracle_triggered").cast("int"))).alias(f"_o{i}"), F.count_if(mine).alias(f"_n{i}"),
+        ]
+    rows = logs.where(F.col(name).isin([baseline, *experiments])).groupBy(step).agg(*slots)
+    pairs = F.array(*[
+        F.struct(F.lit(e).alias(name), *[F.col(f"_{c}{j}").alias(f"{side}{c}") for c in "aon" for side, j in (("a_", 0), ("b_", i))])
+        for i, e in enumerate(experiments, 1)
+    ])
+    counters = [
+        F.count_if((F.col("a_a") == ACTIONS.index(a) + 1) & (F.col("b_a") == ACTIONS.index(b) + 1)).alias(f"_{a}_{b}")
+        for a in ACTIONS for b in ACTIONS if a != b
+    ]
+    _, flips = _pair_counts("a_a", "b_a", " -> ")
+    one = rows.select(F.inline(pairs)).where("a_n > 0 or b_n > 0").groupBy(name).agg(
+        F.count(F.lit(1)).alias("total_steps"), F.sum("a_n").alias("_steps_a"), F.sum("b_n").alias("_steps_b"),
+        F.count_if(F.col("a_a") != F.col("b_a")).alias("mismatched_steps"),
+        F.count_if((F.col("a_o") == 1) & (F.col("b_a") != ACTIONS.index("HOLD") + 1)).alias("oracle_violations"),
+        F.count_if(F.col("a_o") == 1).alias("oracle_baseline"), F.count_if(F.col("b_o") == 1).alias("oracle_mutant"), *counters,
+    )
+    return _checked(one).select(
+        name, "total_steps", "mismatched_steps", _rate("mismatched_steps").alias("adr"), "oracle_violations",
+        _rate("oracle_violations").alias("oracle_violation_rate"), "oracle_baseline", "oracle_mutant", flips.alias("action_flips"),
+    )
+
+
 def consensus_steps(rule: DataFrame, agent: DataFrame) -> DataFrame:
     """One row: gaps after and before the override, overrides of the second agent, distributions, transitions."""
     counters, gaps = _pair_counts("a_action_taken", "b_action_taken", " -> ")

@@ -9,17 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tiltmeter.config import BASELINE, Experiment, StepPolicy
+from tiltmeter.config import BASELINE, Experiment, StepPolicy, WindowPolicy
 from tiltmeter.operators import compare, decisions, perturb, pnl, reports, scoring, steps, windows
 from tiltmeter.operators.cleaning import clean_posts
 from tiltmeter.plans.sweep import default_scorer, run_sweep, run_sweep_rows
 from tiltmeter.session import stage, staging_scope
 from tiltmeter.sources import sinks
 from tiltmeter.sources.posts import normalize_scored
-from tiltmeter.sources.registry import dataset_registry
+from tiltmeter.sources.registry import dataset_registry, observed_violations, plan_metrics, window_metrics
+from tiltmeter.sources.score_store import ScoreStore
 
 Scorer = Callable[[Column], Column]
 
@@ -37,13 +38,22 @@ def _tidy(run: Callable[..., object]) -> Callable[..., object]:
 @_tidy
 def score_baseline(
     raw: DataFrame, path: str, probabilities: Scorer | None = None, experiment: Experiment = Experiment(), *,
-    force: bool = False, **cleaning: object,
+    force: bool = False, store: str | None = None, **cleaning: object,
 ) -> DataFrame:
-    """Clean and score raw posts once; later calls read the table."""
+    """Clean and score raw posts once; later calls read the table.
+
+    With `store`, scores of texts are kept there and shared by all runs with this scorer: a run scores new texts only.
+    The word-list scorer is cheaper than any lookup, so without a store it scores every row where it is.
+    """
     def build() -> DataFrame:
         clean = clean_posts(raw, sort=False, **cleaning)
-        rows, _ = scoring.score_distinct(clean, probabilities or default_scorer(experiment))
-        return normalize_scored(rows)
+        if store is not None:
+            scored = scoring.score_new(clean, probabilities or default_scorer(experiment), ScoreStore(raw.sparkSession, store)).drop("score_batch")
+        elif probabilities is None:
+            scored = scoring.add_scores(clean, default_scorer(experiment))
+        else:
+            scored, _ = scoring.score_distinct(clean, probabilities)
+        return normalize_scored(scored)
 
     return sinks.cached_table(raw.sparkSession, path, build, force=force)
 
@@ -52,8 +62,12 @@ def score_baseline(
 def sweep_run(
     scored: DataFrame, out: str, experiment: Experiment = Experiment(), probabilities: Scorer | None = None,
     model: Callable[[], decisions.Answer] | Column | None = None, *, save_posts: bool = False,
+    variants: Mapping[str, WindowPolicy] | None = None,
 ) -> dict[str, str]:
-    """Sweep, decisions of the rule agent (and a model), and all comparison tables; returns the folders."""
+    """Sweep, decisions of the rule agent (and a model), and all comparison tables; returns the folders.
+
+    Row counts and directions of the datasets are observed while the tables are written; a broken rule is an error.
+    """
     spark: SparkSession = scored.sparkSession
     registry = dataset_registry(spark, experiment.sweep)
     paths: dict[str, str] = {}
@@ -68,12 +82,17 @@ def sweep_run(
         sinks.write_csv(df, paths[name])
 
     tables = run_sweep(scored, experiment, probabilities)
-    frame = keep("windows", tables.windows)
-    report("targets", tables.plan)
+    seen, planned = Observation("windows"), Observation("plan")
+    frame = keep("windows", tables.windows.observe(seen, *window_metrics(experiment.sweep)))
+    report("targets", tables.plan.observe(planned, *plan_metrics(experiment.sweep)))
+    broken = observed_violations(experiment.sweep, seen.get, planned.get)
+    if broken:
+        raise ValueError(f"the sweep broke its rules: {broken}")
     if save_posts:
         paths["datasets"] = f"{out}/datasets"
         sinks.save_datasets(run_sweep_rows(scored, experiment, probabilities), paths["datasets"])
 
+    report("busiest_windows", windows.busiest_windows(frame.where(F.col("dataset") == BASELINE)))
     report("regime_counts", windows.regime_counts(frame.where(F.col("dataset") == BASELINE)))
     report("load_summary", windows.load_summary(frame))
     report("negative_summary", windows.negative_summary(frame))
@@ -88,6 +107,10 @@ def sweep_run(
     adr = compare.sweep_adr(logs, registry)
     report("sweep_adr_table", adr)
     report("adr_table", compare.main_only(adr))
+    report("flip_classes", compare.flip_classes(logs, registry))
+    if variants:
+        report("variant_counts", compare.variant_counts(decisions.policy_variants(frame, variants)))
+        report("variant_summary", compare.variant_summary(decisions.policy_variants(frame, variants)))
     report("injection_flip_table", compare.injection_flips(logs, registry))
     report("family_action_distribution", compare.action_distribution(logs, registry))
     report("adr_sensitivity", compare.sensitivity(adr, "ADR_%", "agent"))
@@ -95,6 +118,7 @@ def sweep_run(
         agreement = compare.consensus(logs, registry)
         report("sweep_consensus_table", agreement)
         report("consensus_table", compare.main_only(agreement))
+        report("timeline", compare.timeline(logs))
         report("agreement_matrix", compare.agreement_matrix(logs))
         report("consensus_sensitivity", compare.sensitivity(agreement, "consensus_%"))
     return paths

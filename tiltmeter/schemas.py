@@ -1,4 +1,4 @@
-"""Declared schemas of the tables that enter or leave the engine."""
+"""Declared schemas of the tables that enter or leave the engine. The column names are fixed values: results must carry them."""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -55,15 +55,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` once and read it back.
+def stage(df: DataFrame, name: str = "stage", by: Sequence[str] = ()) -> DataFrame:
+    """Write `df` once, in one folder per value of `by`, and read it back.
 
     This cuts the lineage on storage that outlives executors, keeps later scans column-pruned, and gives the
     optimizer the real size of the table, so it broadcasts a staged side only when that size allows it.
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     scope = _SCOPE.get()
     if scope is not None:
         scope.append(path)

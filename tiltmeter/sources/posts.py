@@ -27,17 +27,22 @@ def read_posts_csv(
     vanishing. Every file is read with its own header, a column that a file lacks is null. Columns are read as text; `_source_file` and `_source_row` give a stable reading order.
     With `multi_line` a file is one task, so large inputs should be many files; without it files are split.
     """
+    parts = scan_csv(spark, path, ["Date", "Content"], multi_line=multi_line)
+    good = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows.where("not _too_long").drop(BAD_ROW, "_too_long") for _, rows in parts])
+    bad = reduce(DataFrame.unionByName, [rows.where("_too_long").select(BAD_ROW, "_source_file", "_source_row") for _, rows in parts])
+    if max_rows is not None:
+        good = good.orderBy("_source_file", "_source_row").limit(max_rows)
+    return good, bad
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], required: list[str], *, multi_line: bool = True) -> list[tuple[list[str], DataFrame]]:
+    """(header, rows) for every header among the files: fields as text, `_too_long` for lines with too many (in `_bad_row`)."""
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": False,
                "ignoreTrailingWhiteSpace": False}
     groups = _files_by_header(spark, path, options)
     for header in groups or [()]:
-        require_columns(list(header), ["Date", "Content"])
-    parts = [_read_files(spark, path if len(groups) == 1 else files, list(header), options) for header, files in groups.items()]
-    good = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [part[0] for part in parts])
-    bad = reduce(DataFrame.unionByName, [part[1] for part in parts])
-    if max_rows is not None:
-        good = good.orderBy("_source_file", "_source_row").limit(max_rows)
-    return good, bad
+        require_columns(list(header), required)
+    return [(list(header), _read_files(spark, path if len(groups) == 1 else files, list(header), options)) for header, files in groups.items()]
 
 
 def _files_by_header(spark: SparkSession, path: str | list[str], options: dict) -> dict[tuple[str, ...], list[str]]:
@@ -52,8 +57,8 @@ def _files_by_header(spark: SparkSession, path: str | list[str], options: dict)
     return groups
 
 
-def _read_files(spark: SparkSession, path: str | list[str], header: list[str], options: dict) -> tuple[DataFrame, DataFrame]:
-    """Posts and quarantined lines of files with the same header."""
+def _read_files(spark: SparkSession, path: str | list[str], header: list[str], options: dict) -> DataFrame:
+    """Rows of files with the same header."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_ROW]])
     rows = (
         spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True)
@@ -73,8 +78,7 @@ def _read_files(spark: SparkSession, path: str | list[str], header: list[str], o
     too_long = F.when(
         F.col(BAD_ROW).isNotNull(), parsed[f"c{len(header)}"].isNotNull() & fields,
     ).otherwise(F.lit(False))
-    good = rows.where(~too_long).drop(BAD_ROW)
-    return good, rows.where(too_long).select(BAD_ROW, "_source_file", "_source_row")
+    return rows.withColumn("_too_long", too_long)
 
 
 PROBABILITY_ALIASES = {

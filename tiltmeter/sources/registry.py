@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tiltmeter.config import Sweep
+from tiltmeter.config import BASELINE, Sweep
+
+DIRECTIONS = ("positive_injection", "negative_injection")
 
 
 def _quote(text: str) -> str:
@@ -61,3 +65,34 @@ def qa_violations(qa: DataFrame) -> DataFrame:
         .when((F.col("family") == "injection") & (F.least("positive_rows", "negative_rows") == 0), "one direction only")
     )
     return qa.withColumn("_base", base).withColumn("reason", reason).where(F.col("reason").isNotNull()).select("dataset", "reason")
+
+
+def window_metrics(sweep: Sweep = Sweep()) -> list[Column]:
+    """Post counts of every dataset, as metrics to observe while the sweep's windows are written."""
+    names = [v.dataset for v in sweep.variants()]
+    return [F.sum(F.when(F.col("dataset") == d, F.col(c))).alias(f"{d}|{c}") for d in names for c in ("tweet_count", "synthetic_count")]
+
+
+def plan_metrics(sweep: Sweep = Sweep()) -> list[Column]:
+    """Synthetic posts by direction of every injected dataset, as metrics to observe while the plan is written."""
+    return [
+        F.sum(F.when((F.col("dataset") == v.dataset) & (F.col("adversarial_direction") == d), F.col("synthetic_count"))).alias(f"{v.dataset}|{d}")
+        for v in sweep.variants() if v.family == "injection" for d in DIRECTIONS
+    ]
+
+
+def observed_violations(sweep: Sweep, windows: Mapping[str, int | None], plan: Mapping[str, int | None]) -> list[tuple[str, str]]:
+    """(dataset, reason) for every rule of `qa_violations` that the observed metrics break; needs no further scan."""
+    def posts(dataset: str) -> int:
+        return windows[f"{dataset}|tweet_count"] or 0
+
+    broken = []
+    for v in sweep.variants():
+        if v.family in ("sentiment", "jitter") and posts(v.dataset) != posts(BASELINE):
+            broken.append((v.dataset, "row count changed"))
+        if v.family == "injection":
+            if posts(v.dataset) - (windows[f"{v.dataset}|synthetic_count"] or 0) != posts(BASELINE) - (windows[f"{BASELINE}|synthetic_count"] or 0):
+                broken.append((v.dataset, "row count changed"))
+            if not all(plan[f"{v.dataset}|{d}"] for d in DIRECTIONS):
+                broken.append((v.dataset, "one direction only"))
+    return broken

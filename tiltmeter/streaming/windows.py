@@ -23,6 +23,22 @@ def decide_stream(
     return rule_agent(window_features(posts.withWatermark("timestamp", max_delay), freq, rules), policy)
 
 
+def unique_posts(posts: DataFrame, max_delay: str, keys: tuple[str, ...] = ("tweet_id",)) -> DataFrame:
+    """A stream in which every post counts once: repeats of `keys` within `max_delay` of the first are dropped.
+
+    State is one entry per key until the watermark has passed the first one by `max_delay`, when a timer removes it.
+    """
+    return posts.withWatermark("timestamp", max_delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def decide_unique(
+    posts: DataFrame, freq: str, max_delay: str, keys: tuple[str, ...] = ("tweet_id",), policy: WindowPolicy = WindowPolicy(),
+    rules: RegimeRules = RegimeRules(),
+) -> DataFrame:
+    """`decide_stream` on a source that delivers some posts more than once, two chained states on one watermark."""
+    return rule_agent(window_features(unique_posts(posts, max_delay, keys), freq, rules), policy)
+
+
 def start_decisions(decisions: DataFrame, path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Append closed windows to a Parquet folder; `once` drains what is there and stops."""
     writer = decisions.writeStream.outputMode("append").format("parquet").options(
