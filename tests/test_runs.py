@@ -37,7 +37,7 @@ def test_step_runs(spark, data, tmp_path):
                              F.when(F.col("social_sentiment_score") > 0, "positive").otherwise("negative").alias("label"))
     paths = runs.post_level_run(labelled, str(tmp_path / "posts"), lambda t, rsi, vol: F.when(rsi > 55, "BUY").otherwise("SELL"))
     text = "\n".join(r.value for r in spark.read.text(paths["drift_report"]).collect())
-    assert "Decision changes" in text and "Oracle (mutant)" in text
+    assert "Drift of decisions under" in text and "overrides, before and after" in text
 
 
 def test_baseline_is_scored_once(spark, data, tmp_path):
