@@ -74,6 +74,37 @@ def test_files_are_read_with_their_own_headers(spark, tmp_path):
     assert bad.count() == 1 and cleaning.prepare_posts(good).count() == 2
 
 
+def test_first_rows_over_many_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(7):
+        (folder / f"{i}.csv").write_text("index,Date,Content\n" + "".join(f"{i * 10 + j},2022-01-01,t\n" for j in range(i)))
+    order = [str(i * 10 + j) for i in range(7) for j in range(i)]
+    for n in (0, 1, 3, 4, 20, 21, 50):
+        head, _ = posts.read_posts_csv(spark, str(folder), max_rows=n)
+        assert sorted(r["index"] for r in head.collect()) == sorted(order[:n])
+
+
+def test_one_job_reads_all_headers(spark, tmp_path):
+    folder = tmp_path / "head lines"
+    folder.mkdir()
+    for i in range(12):
+        names = 'index,Date,Content,"two\nlines"' if i % 2 else "\nindex,Content,Date"
+        (folder / f"{i:02d}.csv").write_text(f"{names}\n{i},2022-01-01,2022-01-01,x\n" if i % 2 else f"{names}\n{i},a,b\n")
+    (folder / "99.csv").write_text("")
+
+    def jobs(only):
+        spark.sparkContext.setJobGroup(f"headers-{only}", "")
+        found = posts._files_by_header(spark, [str(p) for p in sorted(folder.glob(only))], {"header": True, "multiLine": True})
+        spark.sparkContext.setJobGroup("rest", "")
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers-{only}"))
+
+    few, before = jobs("0[0-1].csv")
+    many, after = jobs("*.csv")
+    assert set(few) == set(many) == {("index", "Date", "Content", "two\nlines"), ("index", "Content", "Date")}
+    assert [len(files) for files in many.values()] == [6, 6] and after == before
+
+
 def test_duplicate_ids_keep_the_first_line(spark, tmp_path):
     folder = tmp_path / "dup"
     folder.mkdir()

@@ -239,6 +239,27 @@ def test_market_frame(spark):
     assert [r.price_change_24h_percent for r in rows] == [0.0, 3.0, -3.0, 0.0, 3.0]
 
 
+def test_texts_stay_out_of_the_block_shuffle(spark, tmp_path):
+    rows = [(i, "positive", f"text {i}") for i in range(20)]
+    spark.createDataFrame(rows, "step long, label string, tweet_text string").write.parquet(str(tmp_path / "steps"))
+    steps = spark.read.parquet(str(tmp_path / "steps"))
+    for late in (perturb.market_frame(steps, block=16), perturb.row_lag(perturb.market_frame(steps, block=16), 3, text="tweet_text", block=16)):
+        blocks = [line for line in late._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(_block" in line]
+        assert blocks
+        tree = late._jdf.queryExecution().optimizedPlan()
+        windows = [node for node in _nodes(tree) if node.nodeName() == "Window"]
+        assert windows and not any("tweet_text" in str(node.output()) for node in windows)
+    assert [r.tweet_text for r in late.orderBy("step").collect()][3:] == [f"text {i}" for i in range(17)]
+    holes = spark.createDataFrame([(0, "positive"), (None, "negative")], "step long, label string")
+    with pytest.raises(Exception, match="step is null"):
+        perturb.market_frame(holes).collect()
+
+
+def _nodes(plan):
+    children = plan.children()
+    return [plan] + [node for i in range(children.size()) for node in _nodes(children.apply(i))]
+
+
 def test_short_names():
     assert Sweep.name("sentiment", 2) == "sentiment_2.0" and Sweep.name("injection", 0.1) == "injection_0.10"
 

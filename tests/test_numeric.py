@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.functions import labels, numeric
 from tiltmeter.functions.ordering import global_index, grouped_index, over_previous_rows, running_sum
-from tiltmeter.functions.quantiles import exact_percentiles
+from tiltmeter.functions.quantiles import exact_percentiles, percentiles_of
 
 
 def test_half_even_shares(spark):
@@ -131,3 +131,14 @@ def test_percentiles_of_large_groups_and_null_keys(spark):
     for key in ("a", None):
         own = [v for k, v in values if k == key]
         assert [got[key].low, got[key].mid, got[key].high] == pytest.approx(np.percentile(own, [10, 50, 90]).tolist())
+
+
+def test_percentiles_of_several_columns(spark):
+    rows = [("a", 1.0, 5.0), ("a", 2.0, None), ("a", float("nan"), 7.0), ("b", None, 1.0), (None, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r.k: r for r in percentiles_of(
+        df, ["k"], {"x50": ("x", 0.5), "y50": ("y", 0.5), "x100": ("x", 1.0)}, {"n": F.count(F.lit(1))}).collect()}
+    assert (got["a"].x50, got["a"].y50, got["a"].x100, got["a"].n) == (1.5, 6.0, 2.0, 3)
+    assert (got["b"].x50, got["b"].y50, got["b"].n) == (None, 1.0, 1)
+    assert (got[None].x50, got[None].x100, got[None].n) == (3.0, 3.0, 1)
+    assert percentiles_of(df.where("false"), ["k"], {"x50": ("x", 0.5)}, {"n": F.count(F.lit(1))}).count() == 0

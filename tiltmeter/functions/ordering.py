@@ -76,15 +76,25 @@ def grouped_index(df: DataFrame, groups: Sequence[str], order: Sequence[str | Co
 
 def over_previous_rows(
     df: DataFrame, step: str, reach: int, columns: Callable[[Window], dict[str, Column]], block: int = BLOCK,
+    reads: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add columns computed over frames that look back at most `reach` rows.
 
     The last `reach` rows of every block are copied into the next one as a halo, so each block is complete on
     its own; the copies are dropped at the end. `columns` receives the window spec, ordered by `step`.
     Steps must be 0, 1, 2, ...; a gap, a repeated or a null step is an error, since frames would miss rows.
+    With `reads`, frames run over the step and these columns alone, and their results meet the wide rows by step:
+    `df` is then read twice, but no other column travels through the blocks.
     """
     if not 0 < reach <= block:
         raise ValueError(f"reach must be between 1 and {block}")
+    if reads is not None:
+        known = F.coalesce(F.col(step), F.raise_error(F.lit("a step is null")).cast("bigint"))
+        framed = over_previous_rows(df.select(known.alias(step), *reads), step, reach, columns, block)
+        added = list(columns(Window.partitionBy(F.lit(0)).orderBy(step)))
+        kept = [c for c in df.columns if c not in added]
+        joined = df.select(*kept).join(framed.select(step, *added), step)
+        return joined.select(*df.columns, *[c for c in added if c not in df.columns])
     home = F.floor(F.col(step) / block).cast("bigint")
     near_end = F.pmod(F.col(step), F.lit(block)) >= block - reach
     spread = df.withColumn("_block", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))

@@ -134,15 +134,18 @@ def row_lag(
     Numeric gaps at the start take the column mean, text gaps a placeholder.
     """
     def lagged(spec: Window) -> dict[str, Column]:
-        columns = {}
-        if numeric:
-            mean = steps.agg(F.avg(numeric)).scalar()
-            columns[numeric] = F.coalesce(F.lag(numeric, rows).over(spec), mean)
-        if text:
-            columns[text] = F.coalesce(F.lag(text, rows).over(spec), F.lit(NO_FEED_TEXT))
-        return columns
+        if not numeric:
+            return {}
+        mean = steps.agg(F.avg(numeric)).scalar()
+        return {numeric: F.coalesce(F.lag(numeric, rows).over(spec), mean)}
 
-    return over_previous_rows(steps, step, rows, lagged, block)
+    late = over_previous_rows(steps, step, rows, lagged, block, reads=[numeric] if numeric else [])
+    if not text:
+        return late
+    # A lag over dense steps is a lookup by position, so texts need no frame.
+    earlier = steps.select((F.col(step) + rows).alias(step), F.col(text).alias("_earlier"))
+    fed = late.drop(text).join(earlier, step, "left").withColumn(text, F.coalesce("_earlier", F.lit(NO_FEED_TEXT)))
+    return fed.select(*late.columns)
 
 
 def derive_market(df: DataFrame, step: str = "step", block: int = BLOCK) -> DataFrame:
@@ -158,7 +161,7 @@ def derive_market(df: DataFrame, step: str = "step", block: int = BLOCK) -> Data
             "price_change_24h_percent": F.coalesce(F.lag(score, 1).over(spec), F.lit(0.0)) * 3.0,
         }
 
-    return over_previous_rows(df, step, 13, rolling, block)
+    return over_previous_rows(df, step, 13, rolling, block, reads=[score])
 
 
 def market_frame(posts: DataFrame, step: str = "step", block: int = BLOCK) -> DataFrame:

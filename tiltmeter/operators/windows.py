@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tiltmeter.config import LABELS, NegativeCuts, RegimeRules, require_columns
 from tiltmeter.functions.numeric import clean_double, share_text
-from tiltmeter.functions.quantiles import exact_percentiles
+from tiltmeter.functions.quantiles import percentiles_of
 
 WINDOW_COLUMNS = (
     "window_id", "window_start", "window_end", "cryptocurrency", "tweet_count", "synthetic_count",
@@ -115,23 +115,23 @@ def load_summary(windows: DataFrame, topics: tuple[str, ...] = ("BTC", "ETH")) -
 def negative_summary(windows: DataFrame) -> DataFrame:
     """Per dataset: spread of the mean score and of the negative ratio, and how many windows lean negative.
 
-    Reads `windows` five times, so it should be a table or staged."""
+    Reads `windows` twice: once for all aggregates and sketches, once for the brackets."""
     total = F.col("windows")
-    basic = windows.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("windows"),
-        F.bround(F.avg("mean_sentiment_score"), 4).alias("mean_sentiment_avg"),
-        F.bround(F.min("mean_sentiment_score"), 4).alias("mean_sentiment_min"),
-        F.bround(F.avg("negative_ratio"), 4).alias("negative_ratio_avg"),
-        F.bround(F.max("negative_ratio"), 4).alias("negative_ratio_max"),
-        F.count_if(F.col("dominant_label") == "negative").alias("_dominant"),
-        F.count_if(F.col("regime") == "negative_skew").alias("_skew"),
-        F.count_if(F.col("regime") == "high_conflict").alias("_conflict"),
+    summary = percentiles_of(
+        windows, ["dataset"],
+        {"mean_sentiment_p10": ("mean_sentiment_score", 0.1), "mean_sentiment_median": ("mean_sentiment_score", 0.5),
+         "negative_ratio_p90": ("negative_ratio", 0.9)},
+        {"windows": F.count(F.lit(1)),
+         "mean_sentiment_avg": F.bround(F.avg("mean_sentiment_score"), 4),
+         "mean_sentiment_min": F.bround(F.min("mean_sentiment_score"), 4),
+         "negative_ratio_avg": F.bround(F.avg("negative_ratio"), 4),
+         "negative_ratio_max": F.bround(F.max("negative_ratio"), 4),
+         "_dominant": F.count_if(F.col("dominant_label") == "negative"),
+         "_skew": F.count_if(F.col("regime") == "negative_skew"),
+         "_conflict": F.count_if(F.col("regime") == "high_conflict")},
     )
-    means = exact_percentiles(windows, ["dataset"], "mean_sentiment_score", {"mean_sentiment_p10": 0.1, "mean_sentiment_median": 0.5})
-    ratios = exact_percentiles(windows, ["dataset"], "negative_ratio", {"negative_ratio_p90": 0.9})
     return (
-        basic.join(means, "dataset", "left").join(ratios, "dataset", "left")
-        .select(
+        summary.select(
             "dataset", "windows", "mean_sentiment_avg", "mean_sentiment_min",
             F.bround("mean_sentiment_p10", 4).alias("mean_sentiment_p10"),
             F.bround("mean_sentiment_median", 4).alias("mean_sentiment_median"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +33,29 @@ def read_posts_csv(
     good = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows.where("not _too_long").drop(BAD_ROW, "_too_long") for _, rows in parts])
     bad = reduce(DataFrame.unionByName, [rows.where("_too_long").select(BAD_ROW, "_source_file", "_source_row") for _, rows in parts])
     if max_rows is not None:
-        good = good.orderBy("_source_file", "_source_row").limit(max_rows)
+        good = _first_rows(good, max_rows)
     return good, bad
 
 
+def _first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first `n` rows in reading order, without moving or sorting the table.
+
+    Splits are counted and lie wholly before the cut, wholly after it, or hold it; only the one that holds it is sorted.
+    """
+    so_far = Window.orderBy("_source_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    splits = (
+        rows.groupBy("_source_file").agg(F.count(F.lit(1)).alias("_rows"))
+        .select("_source_file", "_rows", F.sum("_rows").over(so_far).alias("_upto"))
+    )
+    whole = splits.where(F.col("_upto") <= n).select("_source_file")
+    cut = splits.where((F.col("_upto") > n) & (F.col("_upto") - F.col("_rows") < n)).select(
+        "_source_file", (n - F.col("_upto") + F.col("_rows")).alias("_left"),
+    )
+    at = F.row_number().over(Window.partitionBy("_source_file").orderBy("_source_row"))
+    begun = rows.join(F.broadcast(cut), "_source_file").withColumn("_at", at).where(F.col("_at") <= F.col("_left"))
+    return rows.join(whole, "_source_file", "left_semi").unionByName(begun.drop("_at", "_left"))
+
+
 def scan_csv(spark: SparkSession, path: str | list[str], required: list[str], *, multi_line: bool = True) -> list[tuple[list[str], DataFrame]]:
     """(header, rows) for every header among the files: fields as text, `_too_long` for lines with too many (in `_bad_row`)."""
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": False,
@@ -45,15 +66,53 @@ def scan_csv(spark: SparkSession, path: str | list[str], required: list[str], *,
     return [(list(header), _read_files(spark, path if len(groups) == 1 else files, list(header), options)) for header, files in groups.items()]
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch], quoted: bool) -> Iterator[pa.RecordBatch]:
+    """(file, its first line that is not empty); null where the file system of the path is not known here."""
+    for batch in batches:
+        files = batch.column("file").to_pylist()
+        lines: list[bytes | None] = []
+        for file in files:
+            try:
+                system, place = (fs.LocalFileSystem(), urlsplit(file).path) if urlsplit(file).scheme in ("", "file") else fs.FileSystem.from_uri(file)
+            except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                lines.append(None)
+                continue
+            with system.open_input_stream(unquote(place), compression="detect", buffer_size=1 << 16) as stream:
+                lines.append(_header_of(stream, quoted))
+        yield pa.record_batch({"file": pa.array(files, pa.string()), "line": pa.array(lines, pa.binary())})
+
+
+def _header_of(stream: pa.NativeFile, quoted: bool) -> bytes:
+    """The first line that is not empty; with `quoted`, line breaks inside quotes belong to it."""
+    line = b""
+    while part := stream.read(1 << 12):
+        line = (line + part).lstrip(b"\r\n")
+        at = next((i for i, c in enumerate(line) if c in b"\r\n" and not (quoted and line[:i].count(b'"') % 2)), None)
+        if at is not None:
+            return line[:at]
+    return line
+
+
 def _files_by_header(spark: SparkSession, path: str | list[str], options: dict) -> dict[tuple[str, ...], list[str]]:
-    """Files of each header, in the order of their paths. Files without any line have none; only headers are read."""
-    files = sorted(unquote(file) for file in spark.read.options(**options).csv(path).inputFiles())
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda file: tuple(spark.read.options(**options).csv(file).columns), files))
+    """Files of each header, in the order of their paths. Files without any line have none; only headers are read.
+
+    One job reads the first lines, whatever the number of files; the parser then reads one file of each distinct line.
+    Paths of file systems that only the JVM knows are read one by one.
+    """
+    files = sorted(spark.read.options(**options).csv(path).inputFiles())
+    found = spark.createDataFrame([(file,) for file in files], "file string").mapInArrow(
+        lambda batches: _first_lines(batches, bool(options["multiLine"])), "file string, line binary",
+    )
+    lines = {row.file: row.line for row in found.collect()} if files else {}  # as long as the list of files, which the driver holds anyway
+    parsed: dict[bytes | str, tuple[str, ...]] = {}
     groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(files, headers):
-        if header:
-            groups.setdefault(header, []).append(file)
+    for file in files:
+        line = lines[file]
+        key = file if line is None else bytes(line)
+        if key not in parsed:
+            parsed[key] = tuple(spark.read.options(**options).csv(unquote(file)).columns) if key else ()
+        if parsed[key]:
+            groups.setdefault(parsed[key], []).append(unquote(file))
     return groups
 
 
