@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -306,3 +307,66 @@ def test_pipeline_removes_rows_not_ids(spark):
     near = [r for r in kept if r.text.startswith(base)]
     assert len(near) == 1 and len(kept) == 6
     assert sorted((str(r.doc_id), r.text) for r in kept if r not in near) == sorted([("5", _text(22)), ("7", _text(23)), ("None", _text(24)), ("None", _text(25)), ("8", _text(26))])
+
+
+LONG = "A long paragraph of plain article text that goes on for quite some time, as such paragraphs do. " * 2
+
+
+@pytest.mark.parametrize("name", ["post-comments-area", "comments-section", "user-comment", "article-ad", "cookie-bar-wrapper"])
+def test_parts_of_container_names(name):
+    side = f"<div class='{name}'><p>Not the article.</p></div>"
+    assert html_text.main_text(f"<article><h1>T</h1><p>{LONG}</p>{side}<p>End.</p></article>") == f"T\n{LONG.strip()}\nEnd."
+    assert html_text.main_text(f"<div><h1>T</h1><p>{LONG}</p></div>{side}") == f"T\n{LONG.strip()}"
+    # The same word names no side container where it holds most of the text or is negated.
+    assert html_text.main_text(f"<div class='{name}'><p>{LONG}</p></div><p>x</p>").startswith(LONG.strip())
+    assert html_text.main_text(f"<article><p>{LONG}</p><p class='no-{name}'>End.</p></article>").endswith("End.")
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p title=don't>One.</p><p>Two.</p>", "One.\nTwo."),
+    ("<p title = 'a > b' class=\"c'\">One.</p>", "One."),
+    ("<article><header><h1>Head</h1><p>by me</p></header><p>One.</p></article>", "Head\nOne."),
+    ("<article><p>One.<p></p></article><p>Two &lt;b>", "One."),
+])
+def test_quotes_and_headlines(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_surge_and_dive_points_cut(monkeypatch):
+    page = f"<body><div>Just a tagline</div><div><h1>T</h1><p>{LONG}<p>{LONG}<p>Short.</div><div>All rights reserved</div></body>"
+    article = f"T\n{LONG.strip()}\n{LONG.strip()}\nShort."
+    assert html_text.main_text(page) == article
+    teasers = "".join(f"<article><p>Teaser {i}.</p></article>" for i in range(5))
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>{teasers}") == LONG.strip()
+    # Without windows every line of the page stays.
+    monkeypatch.setattr(html_text, "surges", lambda strength: ([(0, len(strength) - 1)], 0.0))
+    assert html_text.main_text(page) == f"Just a tagline\n{article}\nAll rights reserved"
+
+
+def test_surges_match_a_plain_search():
+    draw = random.Random(5)
+    for _ in range(400):
+        strength = [draw.choice([0, 0, 3, 20, 90, 400]) for _ in range(draw.randint(1, 25))]
+        if not any(strength):
+            continue
+        n, width = len(strength), html_text.WINDOW
+        sums = [sum(strength[i : i + width]) for i in range(n)]
+        # The window sum that half of all characters, counted by windows, do not pass.
+        total, seen, middle = sum(sums), 0, 0
+        for value in sorted(sums):
+            seen += value
+            middle = value
+            if seen * 2 >= total:
+                break
+        threshold = min(html_text.SURGE * middle, html_text.ENOUGH)
+        strong = [any(sums[j] >= threshold for j in range(max(0, i - width + 1), i + 1)) for i in range(n)]
+        runs, line = [], 0
+        while line < n:
+            stop = line
+            while stop < n and strong[stop]:
+                stop += 1
+            peaks = [i for i in range(line, stop) if strength[i] >= threshold / width]
+            if peaks:
+                runs.append((peaks[0], peaks[-1]))
+            line = max(stop, line) + 1
+        assert html_text.surges(np.array(strength))[0] == runs

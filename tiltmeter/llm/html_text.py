@@ -4,11 +4,17 @@
    Text inside containers that never hold the article (menus, headers, footers, sidebars, forms, adverts, notices,
    comments, scripts, styles) and text of links keeps its line but counts nothing. Containers are known by whole words of
    class or id. A page's only article inside such a container counts, and so does one that holds more than those outside.
-2. Over the lines' counted lengths, sums over sliding windows of `WINDOW` lines are taken. A surge point is a line whose
-   window sum rises above `SURGE` from a line with text; the next dive point is where the sum falls to zero.
-3. The text of all runs between surge and dive points is kept. Where a page marks its article (article or main), only
-   lines inside it count, lines made of links, captions and formulas among them. Elsewhere a line of links counts if the
+   Containers whose class or id only contains such a word as one part are side containers if they hold less text than the rest.
+   Headlines in the header of a marked article count.
+2. Over the lines' counted lengths, less their text in links, sums over sliding windows of `WINDOW` lines are taken. A page's
+   threshold is the part `SURGE` of the median character's window sum, but at most `ENOUGH` characters. A surge point is
+   the first line with its share of the threshold in a stretch of windows that reach it; the last such line is the dive
+   point. A headline at most `WINDOW` lines before a surge point moves it there.
+3. The counted lines of all runs between surge and dive points are kept, and those that stand in the same container as a
+   line that surges, however short. Where a page marks its article (article or main), only lines inside it count, each
+   mark is one container, and lines made of links, captions and formulas count. Elsewhere a line of links counts if the
    counted lines before and after it stand in the same container and it does too, as a list in mid-text does.
+   What is cut so: taglines, copyright lines and teasers in containers of their own, away from the text.
 
 Character references are decoded once. A page without counted text has an empty result, as have null and empty pages.
 Pages cut off in the middle of a tag or element are read as far as they go. Rows stay rows; pages are read whole.
@@ -19,6 +25,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW, SURGE = 3, 0
+WINDOW, SURGE, ENOUGH = 3, 0.25, 120
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "annotation", "annotation-xml", "xmp"}
 SIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head"}
 BLOCK = {
@@ -39,9 +46,13 @@ HOLDER = {"body", "html", "div", "section", "center", "td", "article", "main", "
 _SIDE = r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|sidebar|side|related|recommend\w*|comments?|replies|discussion|disqus|breadcrumbs?|nav\w*|menu|footer|header|masthead|pagination|pager|widget|toolbar|login|search|tags|copyright|legal)"
 #: A whole class or id that names a container outside the article: such words alone, behind a place of the site or before a kind of box.
 NAMED = re.compile(rf"(?:(?:site|main|top|global)[_-]+)?{_SIDE}(?:[_-]+{_SIDE})*(?:[_-]+(?:list|links|box|container|wrapper|bar|form|area|block|unit|slot))?", re.I)
+#: Parts of a class or id that name such a container if it holds less text than the rest, unless another part negates them.
+PART = re.compile(r"ads?|advert\w*|promo\w*|sponsor\w*|cookies?|consent|newsletter|subscribe|disqus|comments?|sidebar|related", re.I)
+STATE = re.compile(r"has|no|not|with|without|is|open|closed", re.I)
+HEADLINE = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|dialog|alert|menu|form", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>]+)))?")
+TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>=]+|=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|=)*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
 UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
@@ -64,17 +75,33 @@ def _outside(name: str, text: str) -> bool:
     return bool(ROLE.search(own.get("role", ""))) or any(NAMED.fullmatch(word) for key in ("class", "id") for word in own.get(key, "").split())
 
 
-def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """(lines, counted length of each, whether each is inside a marked article, whether that is inside a side container, numbers of its holders).
+def _loose(name: str, text: str) -> bool:
+    """Whether a part of a class or id names a side container."""
+    if not text or name in ("html", "body", "article", "main"):
+        return False
+    own = _attributes(text)
+    words = [re.split("[_-]+", word) for key in ("class", "id") for word in own.get(key, "").split()]
+    return any(any(map(PART.fullmatch, parts)) and not any(map(STATE.fullmatch, parts)) for parts in words)
+
+
+@dataclass
+class Line:
+    """A line of a page; one of links outside a marked article has its length counted below zero."""
+
+    text: str
+    counted: int
+    linked: int
+    inside: bool  # a marked article
+    wrapped: bool  # that article is in a side container
+    loose: bool  # in a container that may be a side container
+    headline: bool
+    holders: list[int]  # numbers of its containers, the page and its body as 0
+    mark: int  # number of its marked article, 0 without
 
-    A line of links outside a marked article has its length counted below zero.
-    """
-    lines: list[str] = []
-    counted: list[int] = []
-    inside: list[bool] = []
-    wrapped: list[bool] = []
-    holders: list[list[int]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element, outside the article, marks the article, position
+
+def lines_of(page: str) -> list[Line]:
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # element, outside the article, marks the article, position, loosely named
     parts: list[str] = []
     linked = 0
     at: int | None = None  # depth of the block that holds the open link
@@ -88,12 +115,13 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray,
             marks = [i for i, s in enumerate(stack) if s[2]]
             # An article inside an article is a comment or the like; main only holds them.
             top = next((i for i in marks if stack[i][0] == "article"), marks[-1] if marks else 0)
-            side = any(s[1] for s in stack[top:])
-            lines.append(text)
-            counted.append(0 if side else -len(text) if linked >= len(text) and not marks else len(text))
-            holders.append([0, *(s[3] for s in stack if s[0] in HOLDER)])
-            inside.append(bool(marks))
-            wrapped.append(any(s[1] for s in stack[:top]))
+            headline = any(s[0] in HEADLINE for s in stack)
+            side = any(s[1] and not (marks and headline and s[0] == "header") for s in stack[top:])
+            lines.append(Line(
+                text, 0 if side else -len(text) if linked >= len(text) and not marks else len(text), min(linked, len(text)),
+                bool(marks), any(s[1] for s in stack[:top]), any(s[4] for s in stack[top:]), headline,
+                [0, *(s[3] for s in stack if s[0] in HOLDER and s[0] not in ("html", "body"))], stack[top][3] if marks else 0,
+            ))
         linked = 0
 
     def close_link() -> None:
@@ -142,9 +170,9 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray,
         if name == "a":
             at = len(stack) if "href" in _attributes(found[3]) else None
         elif name in BLOCK and name not in VOID and not found[3].endswith("/"):
-            stack.append((name, _outside(name, found[3]), name in MARK, position))
+            stack.append((name, _outside(name, found[3]), name in MARK, position, _loose(name, found[3])))
     close_line()
-    return lines, np.array(counted, np.int64), np.array(inside, bool), np.array(wrapped, bool), holders
+    return lines
 
 
 def _lists_in_text(counted: np.ndarray, holders: list[list[int]]) -> np.ndarray:
@@ -159,29 +187,59 @@ def _lists_in_text(counted: np.ndarray, holders: list[list[int]]) -> np.ndarray:
     return out
 
 
-def main_text(page: str) -> str:
-    lines, counted, inside, wrapped, holders = lines_of(page)
+def counted_lengths(lines: list[Line]) -> np.ndarray:
+    """Length of every line that can belong to the main text, zero for others."""
+    counted = np.array([line.counted for line in lines], np.int64)
+    inside, wrapped, loose = (np.array([getattr(line, name) for line in lines], bool) for name in ("inside", "wrapped", "loose"))
     own = counted[inside & ~wrapped].sum()
     if own and own >= counted[wrapped].sum():
         counted = np.where(wrapped, 0, counted)
     if own:
         counted = np.where(inside, counted, 0)
-    counted = _lists_in_text(counted, holders)
-    if not len(lines) or not counted.any():
+    if np.maximum(counted[loose], 0).sum() < np.maximum(counted[~loose], 0).sum():
+        counted = np.where(loose, 0, counted)
+    return _lists_in_text(counted, [line.holders for line in lines])
+
+
+def surges(strength: np.ndarray) -> tuple[list[tuple[int, int]], float]:
+    """(first and last line of every run, the least strength of a line that surges)."""
+    n = len(strength)
+    sums = np.convolve(strength, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the window that begins at each line
+    ranked = np.sort(sums)
+    middle = ranked[np.searchsorted(np.cumsum(ranked), ranked.sum() / 2)]
+    threshold = min(SURGE * middle, ENOUGH)
+    strong = np.zeros(n + 1, bool)
+    for at in np.flatnonzero(sums >= threshold):
+        strong[at : min(at + WINDOW, n)] = True
+    runs, least = [], threshold / WINDOW
+    edges = np.flatnonzero(np.diff(strong.astype(np.int8), prepend=0))
+    for start, stop in zip(edges[::2], edges[1::2]):
+        peaks = start + np.flatnonzero(strength[start:stop] >= least)
+        if len(peaks):
+            runs.append((int(peaks[0]), int(peaks[-1])))
+    return runs, least
+
+
+def main_text(page: str) -> str:
+    lines = lines_of(page)
+    counted = counted_lengths(lines) if lines else np.zeros(0, np.int64)
+    if not counted.any():
         return ""
-    sums = np.convolve(counted, np.ones(WINDOW, np.int64))[WINDOW - 1 :] if len(lines) >= WINDOW else np.array([counted[i:].sum() for i in range(len(lines))])
-    sums = np.pad(sums, (0, len(lines) - len(sums)))
-    runs: list[tuple[int, int]] = []
-    line = 0
-    while line < len(lines):
-        if counted[line] and sums[line] > SURGE:
-            stop = line
-            while stop < len(lines) and sums[stop] > 0:
-                stop += 1
-            runs.append((line, stop))
-            line = stop
-        line += 1
-    return "\n".join(lines[i] for a, b in runs for i in range(a, b) if counted[i])
+    strength = np.where(counted > 0, counted - np.array([0 if line.inside else line.linked for line in lines]), 0)
+    if not strength.any():
+        strength = counted
+    runs, least = surges(strength)
+    kept = np.zeros(len(lines), bool)
+    homes: set[int] = set()
+    for first, last in runs:
+        heads = [i for i in range(max(0, first - WINDOW), first) if lines[i].headline and counted[i]]
+        kept[heads[0] if heads else first : last + 1] = True
+        homes |= {lines[i].mark or lines[i].holders[-1] for i in range(first, last + 1) if strength[i] >= least}
+    for i, line in enumerate(lines):
+        # A line directly in the body shares it with others there; containers in the body are apart.
+        around = [line.mark] if line.mark else [h for h in line.holders if h] or [0]
+        kept[i] |= not homes.isdisjoint(around)
+    return "\n".join(line.text for line, stays, length in zip(lines, kept, counted) if stays and length)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
