@@ -5,8 +5,9 @@
    inserts its rows into a graph: levels by a keyed hash, links chosen among the nearest found by a beam search.
 3. Every row queries every shard of its label. A task takes two shards, searches each one's graph for the other's rows,
    and joins what both directions found. The beam is widened as a whole until an audit of `AUDIT` queries against brute
-   force finds `RECALL` of their links, and for every query whose beam ends within the bound; a query whose beam would
-   outgrow `WIDEST` is compared with the whole shard, so no link is lost to the beam's width.
+   force finds `RECALL` of their `NEAREST` true neighbours, themselves left out, whether or not those are links; it is
+   widened further for every query whose beam ends within the bound. A shard that fails the audit at `WIDEST`, and a query
+   whose beam would outgrow it, are compared row by row, so no link is lost to the beam's width.
 4. Found pairs are verified by their cosine in double precision. A task returns the number of links of each row and a
    spanning forest of the links; components of the forests' edges are the result. Pairs never leave a task.
 
@@ -28,7 +29,7 @@ from tiltmeter.session import stage
 
 SHARD = 8192
 LINKS, BUILD_BEAM, FIRST_BEAM, WIDEST = 12, 48, 48, 400
-AUDIT, RECALL, BATCH = 64, 0.99, 256
+AUDIT, NEAREST, RECALL, BATCH = 64, 10, 0.95, 256
 
 
 def unit_rows(blob: bytes, dim: int) -> np.ndarray:
@@ -141,18 +142,37 @@ class Graph:
         return own[np.array(chosen + rest[: most - len(chosen)])]
 
 
-def found_links(graph: Graph, queries: np.ndarray, bound: float) -> np.ndarray:
-    """(queries x rows) which pairs reach the bound, as far as the graph finds them."""
-    out = np.zeros((len(queries), len(graph.x)), bool)
-    width = FIRST_BEAM
+def audited_beam(graph: Graph, queries: np.ndarray, own: bool) -> tuple[int, float]:
+    """The first beam that finds `RECALL` of the true `NEAREST` neighbours of the audited queries, and its recall.
+
+    With `own` the queries are the graph's rows, and a row is no neighbour of itself. The truth comes from all rows, so it
+    is empty (recall 1) only where there is no other row. A recall below `RECALL` is that of `WIDEST`.
+    """
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(np.int64))
-    truth = queries[audit] @ graph.x.T >= bound
-    while width < WIDEST:
-        ids, sims = graph.search(queries[audit], width)
-        hits = sum(int((s[i >= 0] >= bound).sum()) for i, s in zip(ids, sims, strict=True))
-        if hits >= RECALL * truth.sum():
-            break
-        width *= 2
+    itself = audit[:, None] if own else np.full((len(audit), 1), -1)
+    sims = queries[audit] @ graph.x.T
+    if own:
+        np.put_along_axis(sims, itself, -np.inf, 1)
+    k = min(NEAREST, sims.shape[1] - own)
+    if k < 1:
+        return FIRST_BEAM, 1.0
+    least = -np.partition(-sims, k - 1, 1)[:, k - 1 : k] - 1e-12  # of the true neighbours; ties are as good as they
+    width = FIRST_BEAM
+    while True:
+        ids, near = graph.search(queries[audit], width)
+        hits = ((ids >= 0) & (ids != itself) & (near >= least)).sum(1)
+        recall = float(np.minimum(hits, k).mean() / k)
+        if recall >= RECALL or width >= WIDEST:
+            return width, recall
+        width = min(width * 2, WIDEST)
+
+
+def found_links(graph: Graph, queries: np.ndarray, bound: float, own: bool = False) -> np.ndarray:
+    """(queries x rows) which pairs reach the bound; where no beam passes the audit, by all products."""
+    out = np.zeros((len(queries), len(graph.x)), bool)
+    width, recall = audited_beam(graph, queries, own)
+    if recall < RECALL:
+        width = WIDEST + 1
     for start in range(0, len(queries), BATCH):
         rows, wide = np.arange(start, min(start + BATCH, len(queries))), width
         while len(rows) and wide <= WIDEST and wide < len(graph.x):
@@ -208,7 +228,7 @@ def _compare(table: pa.Table, bound: float) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
     a, copies_a, graph_a = _open(rows[0])
     if len(rows) == 1:
-        matrix = found_links(graph_a, graph_a.x, bound)
+        matrix = found_links(graph_a, graph_a.x, bound, own=True)
         matrix |= matrix.T
         np.fill_diagonal(matrix, False)
         b, counts = a, [(a, matrix @ copies_a)]
