@@ -370,3 +370,31 @@ def test_surges_match_a_plain_search():
                 runs.append((peaks[0], peaks[-1]))
             line = max(stop, line) + 1
         assert html_text.surges(np.array(strength))[0] == runs
+
+
+def _random_graph(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return embedding_dedup.Graph.build(x, np.arange(n)), x
+
+
+def test_audit_measures_recall_without_links():
+    graph, x = _random_graph(1500, 16, 3)
+    assert not (x @ x.T - 2 * np.eye(len(x)) >= 0.93).any()  # no link at all
+    width, recall = embedding_dedup.audited_beam(graph, x, True)
+    assert recall >= embedding_dedup.RECALL and width <= embedding_dedup.WIDEST
+    # Rows cut off from the graph are noticed though no link is lost, and all products decide.
+    graph.levels[0][: len(x) // 2] = -1
+    assert embedding_dedup.audited_beam(graph, x, True)[1] < embedding_dedup.RECALL
+    near = x + np.random.default_rng(4).normal(size=x.shape) * 0.02
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    assert (embedding_dedup.found_links(graph, near, 0.93) == (near @ x.T >= 0.93)).all()
+    assert embedding_dedup.audited_beam(_random_graph(1, 4, 0)[0], _random_graph(1, 4, 0)[1], True)[1] == 1.0
+
+
+def test_copies_of_a_secret_do_not_lower_the_bar(spark):
+    words = [(k, 10_000 + i) for k in range(1, 8) for i in range(4000 >> k)]
+    tests = lambda copies: spark.createDataFrame([(0, i) for i in range(4000)] + words + [(40, 1)] * copies, "cell int, mark long")
+    once = secret_scan._threshold(tests(1), 0.1)
+    assert once > 8 and secret_scan._threshold(tests(50_000), 0.1) == once

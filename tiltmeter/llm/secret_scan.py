@@ -127,7 +127,7 @@ def _battery() -> list[tuple[str, str]]:
 
 
 def _candidates(text: str) -> str:
-    """SQL: array of (start, stop, cell) of the candidates that have an encoding; cell 0 is not random, others are whole `bits`."""
+    """SQL: array of (start, stop, cell, mark) of the candidates that have an encoding; cell 0 is not random, others are whole `bits`; mark is a hash of the string."""
     none = "cast(array() as array<struct<start:int,kind:int,stop:int,string:string>>)"
     runs = ", ".join(_spans(text, pattern, 3) for pattern in (CANDIDATE, *PIECES))
     found = f"if(rlike({text}, {_lit(CANDIDATE)}), array_distinct(concat({runs})), {none})"
@@ -138,12 +138,15 @@ def _candidates(text: str) -> str:
         if name == "alphabet":
             found = f"filter({found}, c -> c.alphabet is not null)"
         have.append(name)
-    return f"transform({found}, c -> named_struct('start', c.start, 'stop', c.stop, 'cell', if(c.p < {FLOOR}D, 0, cast(greatest(0, least({CELLS - 1}, floor(c.bits))) as int))))"
+    return f"transform({found}, c -> named_struct('start', c.start, 'stop', c.stop, 'cell', if(c.p < {FLOOR}D, 0, cast(greatest(0, least({CELLS - 1}, floor(c.bits))) as int)), 'mark', xxhash64(c.body)))"
 
 
 def _threshold(tests: DataFrame, fdr: float) -> int:
-    """The smallest cell that is accepted, CELLS if none is. Reads one row per cell."""
-    counts = {row.cell: row.n for row in tests.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    """The smallest cell that is accepted, CELLS if none is. Reads one row per cell.
+
+    A string is one test however often it occurs, so copies of a secret do not lower the bar for others.
+    """
+    counts = {row.cell: row.n for row in tests.select("cell", "mark").distinct().groupBy("cell").agg(F.count("*").alias("n")).collect()}
     whole, declared, least = sum(counts.values()), 0, CELLS
     for cell in sorted(counts, reverse=True):
         declared += counts[cell]
