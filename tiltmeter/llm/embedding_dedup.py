@@ -29,6 +29,7 @@ from tiltmeter.session import stage
 
 SHARD = 8192
 LINKS, BUILD_BEAM, FIRST_BEAM, WIDEST = 12, 48, 48, 400
+WAYS = 4  # rows of a beam that a step opens together
 AUDIT, NEAREST, RECALL, BATCH = 64, 10, 0.95, 256
 
 
@@ -50,16 +51,21 @@ def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np
     done = ids < 0
     rows = np.arange(q)
     while len(rows):
-        best = np.argmax(np.where(done[rows], -99.0, sims[rows]), 1)
-        rows_live = ~done[rows, best]
+        best = np.argsort(done[rows], axis=1, kind="stable")[:, :WAYS]  # beams are in order, nearest first
+        rows_live = ~done[rows, best[:, 0]]
         rows, best = rows[rows_live], best[rows_live]
         if not len(rows):
             break
-        done[rows, best] = True
-        near = links[ids[rows, best]]
-        near = np.where(seen[rows[:, None], near], -1, near)
+        opened = np.where(done[rows[:, None], best], -1, ids[rows[:, None], best])
+        done[rows[:, None], best] = True
+        near = links[opened].reshape(len(rows), -1)
+        near = np.sort(np.where(seen[rows[:, None], near], -1, near), 1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        near = near[:, (near >= 0).any(0)]
         seen[rows[:, None], near] = True
-        near_sims = np.where(near >= 0, np.einsum("qd,qed->qe", queries[rows], x[near]), -9.0)
+        near_sims = np.full(near.shape, -9.0)
+        who, which = np.nonzero(near >= 0)
+        near_sims[who, which] = np.einsum("ed,ed->e", queries[rows[who]], x[near[who, which]])
         all_sims = np.concatenate([sims[rows], near_sims], 1)
         order = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
         sims[rows] = np.take_along_axis(all_sims, order, 1)
