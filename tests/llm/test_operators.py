@@ -56,10 +56,33 @@ def test_byte_bpe_round_trip(docs, empty):
     assert coded.count() == len(TEXTS) + 1
     for i, row in by_id(coded).items():
         ids = plain.encode_ordinary(TEXTS[i] or "")
-        assert row.ids == struct.pack(f"<{len(ids)}I", *ids) and row.decoded == (TEXTS[i] or "").encode() and row.n_tokens == len(ids)
-    ids = docs.sparkSession.createDataFrame([(i, plain.encode_ordinary(TEXTS[i] or "")) for i in (3, 6, 10)], "doc_id long, ids array<int>")
-    assert {r.doc_id: bytes(r.decoded).decode() for r in byte_bpe.decode(ids, path).collect()} == {3: TEXTS[3], 6: "", 10: TEXTS[10]}
-    assert byte_bpe.encode(empty, path, pattern).count() == 0
+        assert row.ids == struct.pack(f"<{len(ids)}I", *ids) and row.n_tokens == len(ids)
+    back = byte_bpe.decode(coded, path)
+    assert back.columns == ["doc_id", "n_tokens", "ids", "decoded"] and back.count() == len(TEXTS) + 1
+    assert all(row.decoded == (TEXTS[i] or "").encode() for i, row in by_id(back).items())
+    assert byte_bpe.encode(empty, path, pattern).count() == 0 and byte_bpe.decode(byte_bpe.encode(empty, path, pattern), path).count() == 0
+
+
+def test_decoding_joins_the_token_table(spark, monkeypatch):
+    path, _ = byte_bpe_ranks()
+    table = byte_bpe.load_ranks(path)
+    tokens = sorted(table, key=table.get)
+    draw = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else i % 5, [int(x) for x in draw.integers(0, len(tokens), i % 40)]) for i in range(400)]
+    rows.append((3, [int(x) for x in draw.integers(0, len(tokens), 30_000)]))
+    given = [(i, struct.pack(f"<{len(ids)}I", *ids), n, "extra") for n, (i, ids) in enumerate(rows)] + [(9, None, len(rows), None)]
+    frame = spark.createDataFrame(given, "doc_id long, ids binary, token long, bytes string").repartition(3)  # clashing names
+    monkeypatch.setattr(byte_bpe, "BATCH_BYTES", 500)  # many groups a task
+    back = byte_bpe.decode(frame, path)
+    found = {r.token: r for r in back.collect()}
+    assert len(found) == len(given) and found[len(rows)].decoded == b"" and found[len(rows)].ids is None
+    for n, (i, ids) in enumerate(rows):
+        assert found[n].decoded == b"".join(tokens[t] for t in ids) and found[n].doc_id == i and found[n].bytes == "extra"
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    unknown = spark.createDataFrame([(1, struct.pack("<I", len(tokens) + 5))], "doc_id long, ids binary")
+    with pytest.raises(Exception, match="unknown token id"):
+        byte_bpe.decode(unknown, path).collect()
 
 
 def test_language_model_base(docs, empty):

@@ -3,10 +3,12 @@
 1. Each task splits its texts into pre-tokens and keeps, per chunk, the distinct ones and the sequence of their
    numbers (their positions).
 2. A shuffle by pre-token brings the chunks' distinct pre-tokens together; each is encoded once.
-3. Ids return to their chunks and are laid out by position. Decoding looks every id up in the token-byte table.
+3. Ids return to their chunks and are laid out by position.
+4. Decoding joins the distinct ids of some rows with the token-byte table and lays the bytes out by position. The table
+   has one row per vocabulary entry, a bound that the rank file fixes, so the join needs no shuffle.
 
-Rows stay rows: one result per input row, also for repeated ids. Null text counts as empty (no tokens). Columns other
-than the two named ones are not read. No length limit: a text longer than a chunk is a chunk of its own.
+Rows stay rows: one result per input row, also for repeated ids. Null text counts as empty (no tokens). Encoding reads no
+columns but the two named ones. No length limit: a text longer than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, give_back, pack, ranges, unpack
+from tiltmeter.llm.blocks import at_end, bucket_count, by_bucket, give_back, pack, ranges, runs, unpack
 from tiltmeter.session import stage
 
 CHUNK_CHARS = 28_000_000  # fewer chunks send fewer pre-tokens twice
@@ -39,19 +42,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-
-
-@functools.lru_cache(maxsize=2)
-def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The token-byte table by id: starts, sizes, all bytes."""
-    table = load_ranks(path)
-    sizes = np.zeros(max(table.values()) + 1, np.int64)
-    for token, rank in table.items():
-        sizes[rank] = len(token)
-    joined = b"".join(token for token, _ in sorted(table.items(), key=lambda item: item[1]))
-    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(joined, np.uint8)
+def _encoder(path: str) -> tiktoken.Encoding:
+    """Encodes a text as one pre-token."""
+    return tiktoken.Encoding("given", pat_str=r"(?s:.+)", mergeable_ranks=load_ranks(path), special_tokens={})
 
 
 def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
@@ -118,15 +111,15 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("sizes", pa.binary()), ("pieces", pa.binary())]))
 
 
-def _encode_bucket(table: pa.Table, ranks_path: str, pattern: str) -> pa.Table:
-    encode = _encoder(ranks_path, pattern)._encode_single_piece
+def _encode_bucket(table: pa.Table, ranks_path: str) -> pa.Table:
+    encode = _encoder(ranks_path).encode_ordinary
     known: dict[bytes, list[int]] = {}
     out: dict[str, list] = {"chunk": [], "bucket": [], "lengths": [], "tokens": []}
     for row in table.to_pylist():
         pieces = _pieces(row)
         for piece in pieces:
             if piece not in known:
-                known[piece] = encode(piece)
+                known[piece] = encode(piece.decode("utf-8"))
         coded = [known[piece] for piece in pieces]
         out["chunk"].append(row["chunk"])
         out["bucket"].append(row["bucket"])
@@ -137,8 +130,7 @@ def _encode_bucket(table: pa.Table, ranks_path: str, pattern: str) -> pa.Table:
     return pa.Table.from_pydict(out, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("tokens", pa.binary())]))
 
 
-def _assemble(chunks: pa.Table, parts: pa.Table, ranks_path: str, buckets: int, schema: pa.Schema) -> pa.Table:
-    starts, sizes, raw = _token_bytes(ranks_path)
+def _assemble(chunks: pa.Table, parts: pa.Table, buckets: int, schema: pa.Schema) -> pa.Table:
     answer = {part["bucket"]: part for part in parts.to_pylist()}
     out: dict[str, list] = {name: [] for name in schema.names}
     done, held = [], 0
@@ -161,8 +153,7 @@ def _assemble(chunks: pa.Table, parts: pa.Table, ranks_path: str, buckets: int,
             out["id"].append(doc)
             out["n_tokens"].append(len(ids))
             out["ids"].append(ids.astype("<u4").tobytes())
-            out["decoded"].append(raw[ranges(starts[ids], sizes[ids])].tobytes())
-            held += len(out["ids"][-1]) + len(out["decoded"][-1])
+            held += len(out["ids"][-1])
             if held >= BATCH_BYTES:
                 done.append(pa.RecordBatch.from_pydict(out, schema))
                 out, held = {name: [] for name in schema.names}, 0
@@ -172,7 +163,7 @@ def _assemble(chunks: pa.Table, parts: pa.Table, ranks_path: str, buckets: int,
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode texts -> (`id_col`, n_tokens long, ids binary: little-endian unsigned 32-bit, decoded binary).
+    """Encode texts -> (`id_col`, n_tokens long, ids binary: little-endian unsigned 32-bit).
 
     `ranks_path` is a rank file that every executor can read under that path, `pattern` its pre-token pattern.
     """
@@ -186,23 +177,78 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ])
     chunks = stage(source.mapInArrow(lambda batches: at_end(_split(batches, pattern, buckets, arrow_id)), layout), "pretokens")
     sent = chunks.select("chunk", "of", "sizes", "pieces").mapInArrow(lambda batches: _send(batches, buckets), "bucket int, chunk long, sizes binary, pieces binary")
-    coded = sent.groupBy("bucket").applyInArrow(lambda table: _encode_bucket(table, ranks_path, pattern), "chunk long, bucket int, lengths binary, tokens binary")
-    result = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    arrow = pa.schema([("id", arrow_id), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-    out = chunks.select("chunk", "ids", "counts", "places", "of").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _assemble(left, right, ranks_path, buckets, arrow), result)
+    coded = sent.groupBy("bucket").applyInArrow(lambda table: _encode_bucket(table, ranks_path), "chunk long, bucket int, lengths binary, tokens binary")
+    result = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    arrow = pa.schema([("id", arrow_id), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    out = chunks.select("chunk", "ids", "counts", "places", "of").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _assemble(left, right, buckets, arrow), result)
     return out.withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Token id arrays -> (`id_col`, decoded binary), by a join with the token-byte table.
-
-    Rows are told apart by `id_col`, which must be unique. Null or empty arrays decode to empty bytes; an unknown id
-    is an error. The table has one row per vocabulary entry, a bound that the rank file fixes.
+def _with_tokens(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
+    """Rows in groups of about `BATCH_BYTES` of ids, each behind one row per distinct id of the group."""
+    for batch in batches:
+        ids, row = batch.column(ids_col), batch.to_struct_array()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        for a, b in runs(ends // BATCH_BYTES):
+            own = np.unique(np.frombuffer(b"".join(ids.slice(a, b - a).drop_null().to_pylist()), "<u4")).astype(np.int32)
+            yield pa.record_batch({"row": pa.nulls(len(own), row.type), "token": pa.array(own)})
+            yield pa.record_batch({"row": row.slice(a, b - a), "token": pa.nulls(b - a, pa.int32())})
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
+    """Bytes of the rows of each group by the joined rows before them. A join with a broadcast table keeps the order of its
+    rows; an id that did not come before its rows, or that the table lacks, is an error."""
+    tokens: list[np.ndarray] = []
+    parts: list[pa.Array] = []
+    table = _lookup(tokens, parts)
+    ready = True
+    for batch in batches:
+        is_row = batch.column("token").is_null().to_numpy(zero_copy_only=False)
+        for a, b in runs(is_row):
+            piece = batch.slice(a, b - a)
+            if not is_row[a]:
+                if ready:
+                    tokens, parts, ready = [], [], False
+                tokens.append(piece.column("token").to_numpy())
+                parts.append(piece.column("bytes"))
+                continue
+            if not ready:
+                table, ready = _lookup(tokens, parts), True
+            row = piece.column("row")
+            columns = dict(zip([field.name for field in row.type], row.flatten(), strict=True))
+            decoded = [_bytes_of(np.frombuffer(ids or b"", "<u4"), *table) for ids in columns[ids_col].to_pylist()]
+            yield pa.record_batch({**columns, "decoded": pa.array(decoded, pa.binary())})
+
+
+def _lookup(tokens: list[np.ndarray], parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By id: starts and sizes (-1 where there is none) in all bytes."""
+    token = np.concatenate([np.zeros(0, np.int64), *tokens]).astype(np.int64)
+    joined = [part.to_pylist() for part in parts]
+    values = [value for part in joined for value in part]
+    if None in values:
+        raise ValueError(f"unknown token id {token[values.index(None)]}")
+    size = np.full(token.max(initial=-1) + 1, -1, np.int64)
+    size[token] = np.fromiter(map(len, values), np.int64, len(values))
+    start = np.zeros(len(size), np.int64)
+    start[token] = np.cumsum(size[token]) - size[token]
+    return start, size, np.frombuffer(b"".join(values), np.uint8)
+
+
+def _bytes_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray) -> bytes:
+    if len(ids) and (ids.max() >= len(size) or size[ids].min() < 0):
+        raise ValueError("a token id without its bytes")
+    return raw[ranges(start[ids], size[ids])].tobytes()
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
+    """`encoded` with the bytes of its ids (binary, little-endian unsigned 32-bit) in `decoded`, one row per row.
+
+    Other columns stay as they are, but for one named `decoded`, which is replaced. Null or empty ids decode to empty
+    bytes; an id that the table lacks is an error.
     """
+    source = encoded.drop("decoded")
+    grouped = T.StructType([T.StructField("row", source.schema), T.StructField("token", T.IntegerType())])
     table = F.broadcast(token_table(encoded.sparkSession, ranks_path))
-    spread = encoded.select(F.col(id_col).alias("id"), F.posexplode_outer(ids_col).alias("place", "token"))
-    joined = spread.join(table, "token", "left").withColumn(
-        "bytes", F.when(F.col("token").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.lit("unknown token id"))).otherwise(F.col("bytes"))
-    )
-    grouped = joined.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", F.hex("bytes").alias("bytes"))))).alias("parts"))
-    return grouped.select(F.col("id").alias(id_col), F.unhex(F.array_join("parts.bytes", "")).alias("decoded"))
+    joined = source.mapInArrow(lambda batches: _with_tokens(batches, ids_col), grouped).join(table, "token", "left")
+    result = T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return joined.select("row", "token", "bytes").mapInArrow(lambda batches: at_end(_laid_out(batches, ids_col)), result)

@@ -96,9 +96,10 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tiltmeter.llm.byte_bpe import encode
+    from tiltmeter.llm.byte_bpe import decode, encode
 
-    coded = encode(read(spark, sf_dir, "documents"), *byte_bpe_ranks())
+    ranks, pattern = byte_bpe_ranks()
+    coded = decode(encode(read(spark, sf_dir, "documents"), ranks, pattern), ranks)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
