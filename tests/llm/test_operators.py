@@ -60,6 +60,8 @@ def test_byte_bpe_round_trip(docs, empty):
     back = byte_bpe.decode(coded, path)
     assert back.columns == ["doc_id", "n_tokens", "ids", "decoded"] and back.count() == len(TEXTS) + 1
     assert all(row.decoded == (TEXTS[i] or "").encode() for i, row in by_id(back).items())
+    assert sorted(byte_bpe.round_trip(docs, path, pattern).collect()) == sorted(back.collect())
+    assert byte_bpe.round_trip(empty, path, pattern).count() == 0
     assert byte_bpe.encode(empty, path, pattern).count() == 0 and byte_bpe.decode(byte_bpe.encode(empty, path, pattern), path).count() == 0
 
 

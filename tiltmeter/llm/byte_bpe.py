@@ -130,10 +130,11 @@ def _encode_bucket(table: pa.Table, ranks_path: str) -> pa.Table:
     return pa.Table.from_pydict(out, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("tokens", pa.binary())]))
 
 
-def _assemble(chunks: pa.Table, parts: pa.Table, buckets: int, schema: pa.Schema) -> pa.Table:
+def _assemble(chunks: pa.Table, parts: pa.Table, buckets: int, schema: pa.Schema, with_tokens: bool) -> pa.Table:
     answer = {part["bucket"]: part for part in parts.to_pylist()}
     out: dict[str, list] = {name: [] for name in schema.names}
-    done, held = [], 0
+    done: list[pa.RecordBatch] = []
+    held = 0
     for row in chunks.to_pylist():
         of = unpack(row["of"], np.uint64)
         order, lengths, tokens = [], [], []
@@ -155,18 +156,15 @@ def _assemble(chunks: pa.Table, parts: pa.Table, buckets: int, schema: pa.Schema
             out["ids"].append(ids.astype("<u4").tobytes())
             held += len(out["ids"][-1])
             if held >= BATCH_BYTES:
-                done.append(pa.RecordBatch.from_pydict(out, schema))
+                done += _group(pa.RecordBatch.from_pydict(out, schema), "ids", with_tokens)
                 out, held = {name: [] for name in schema.names}, 0
-    done.append(pa.RecordBatch.from_pydict(out, schema))
+    done += _group(pa.RecordBatch.from_pydict(out, schema), "ids", with_tokens)
     give_back()
-    return pa.Table.from_batches(done, schema)
+    return pa.Table.from_batches(done)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode texts -> (`id_col`, n_tokens long, ids binary: little-endian unsigned 32-bit).
-
-    `ranks_path` is a rank file that every executor can read under that path, `pattern` its pre-token pattern.
-    """
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, with_tokens: bool) -> DataFrame:
+    """Encoded rows (`row`: id, n_tokens, ids), in groups behind their distinct ids (`token`) if asked for."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     buckets = bucket_count(spark)
@@ -180,19 +178,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     coded = sent.groupBy("bucket").applyInArrow(lambda table: _encode_bucket(table, ranks_path), "chunk long, bucket int, lengths binary, tokens binary")
     result = T.StructType([T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     arrow = pa.schema([("id", arrow_id), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    out = chunks.select("chunk", "ids", "counts", "places", "of").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _assemble(left, right, buckets, arrow), result)
-    return out.withColumnRenamed("id", id_col)
+    return chunks.select("chunk", "ids", "counts", "places", "of").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda left, right: _assemble(left, right, buckets, arrow, with_tokens), _grouped_type(result))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode texts -> (`id_col`, n_tokens long, ids binary: little-endian unsigned 32-bit).
+
+    `ranks_path` is a rank file that every executor can read under that path, `pattern` its pre-token pattern.
+    """
+    out = _encoded(docs, ranks_path, pattern, id_col, text_col, with_tokens=False)
+    return out.select(F.col("row.id").alias(id_col), "row.n_tokens", "row.ids")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`decode(encode(docs))`: the groups that decoding needs are made where the ids are, without a further pass."""
+    coded = _encoded(docs, ranks_path, pattern, id_col, text_col, with_tokens=True)
+    return _decoded(coded, ranks_path, "ids").withColumnRenamed("id", id_col)
+
+
+def _grouped_type(row: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField("row", row), T.StructField("token", T.IntegerType())])
+
+
+def _group(rows: pa.RecordBatch, ids_col: str, with_tokens: bool = True) -> list[pa.RecordBatch]:
+    """The rows, behind one row per distinct id that they hold."""
+    row = rows.to_struct_array()
+    out = [pa.record_batch({"row": row, "token": pa.nulls(len(row), pa.int32())})]
+    if with_tokens:
+        own = np.unique(np.frombuffer(b"".join(rows.column(ids_col).drop_null().to_pylist()), "<u4")).astype(np.int32)
+        out.insert(0, pa.record_batch({"row": pa.nulls(len(own), row.type), "token": pa.array(own)}))
+    return out
 
 
 def _with_tokens(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
-    """Rows in groups of about `BATCH_BYTES` of ids, each behind one row per distinct id of the group."""
+    """Rows in groups of about `BATCH_BYTES` of ids."""
     for batch in batches:
-        ids, row = batch.column(ids_col), batch.to_struct_array()
-        ends = np.cumsum(pc.fill_null(pc.binary_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        for a, b in runs(ends // BATCH_BYTES):
-            own = np.unique(np.frombuffer(b"".join(ids.slice(a, b - a).drop_null().to_pylist()), "<u4")).astype(np.int32)
-            yield pa.record_batch({"row": pa.nulls(len(own), row.type), "token": pa.array(own)})
-            yield pa.record_batch({"row": row.slice(a, b - a), "token": pa.nulls(b - a, pa.int32())})
+        sizes = pc.fill_null(pc.binary_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+        for a, b in runs(np.cumsum(sizes.astype(np.int64)) // BATCH_BYTES):
+            yield from _group(batch.slice(a, b - a), ids_col)
 
 
 def _laid_out(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
@@ -247,8 +270,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     bytes; an id that the table lacks is an error.
     """
     source = encoded.drop("decoded")
-    grouped = T.StructType([T.StructField("row", source.schema), T.StructField("token", T.IntegerType())])
-    table = F.broadcast(token_table(encoded.sparkSession, ranks_path))
-    joined = source.mapInArrow(lambda batches: _with_tokens(batches, ids_col), grouped).join(table, "token", "left")
-    result = T.StructType([*source.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return joined.select("row", "token", "bytes").mapInArrow(lambda batches: at_end(_laid_out(batches, ids_col)), result)
+    return _decoded(source.mapInArrow(lambda batches: _with_tokens(batches, ids_col), _grouped_type(source.schema)), ranks_path, ids_col)
+
+
+def _decoded(grouped: DataFrame, ranks_path: str, ids_col: str) -> DataFrame:
+    joined = grouped.join(F.broadcast(token_table(grouped.sparkSession, ranks_path)), "token", "left").select("row", "token", "bytes")
+    result = T.StructType([*grouped.schema["row"].dataType.fields, T.StructField("decoded", T.BinaryType())])
+    return joined.mapInArrow(lambda batches: at_end(_laid_out(batches, ids_col)), result)

@@ -96,10 +96,9 @@ def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tiltmeter.llm.byte_bpe import decode, encode
+    from tiltmeter.llm.byte_bpe import round_trip
 
-    ranks, pattern = byte_bpe_ranks()
-    coded = decode(encode(read(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    coded = round_trip(read(spark, sf_dir, "documents"), *byte_bpe_ranks())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
