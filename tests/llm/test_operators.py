@@ -120,6 +120,11 @@ def test_weights_match_exact_expectation_maximisation():
     assert len(set(language_model._cell(np.array([0.001, 0.01, 0.5, 1.0])))) == 4
 
 
+def _link_counts(sets):
+    linked = [[bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    return [sum(row) - row[i] for i, row in enumerate(linked)]
+
+
 def test_jaccard_components(docs, empty):
     sets = {}
     for i, t in enumerate(TEXTS):
@@ -134,7 +139,8 @@ def test_jaccard_components(docs, empty):
                 root = [a if r == b else r for r in root]
     found = jaccard_join.jaccard_components(docs)
     assert found.count() == len(TEXTS) + 1
-    assert {i: (r.n_shingles, r.component_id) for i, r in by_id(found).items()} == {i: (len(sets[i]), root[i]) for i in range(len(TEXTS))}
+    links = [_link_counts([*sets.values(), sets[0]])[i] for i in sets]  # row 0 is there twice
+    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in by_id(found).items()} == {i: (len(sets[i]), root[i], links[i]) for i in range(len(TEXTS))}
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
@@ -142,8 +148,13 @@ def test_jaccard_large_group_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 4)
     base = _text(9, 120).split()
     texts = [" ".join(base[: 118 - k % 3] + [f"z{k}"]) for k in range(30)]
-    found = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {r.component_id for r in found.collect()} == {0}
+    # Some of them are cut, so that not all link, and copied; sizes span several size classes.
+    texts += [" ".join(base[k % 12 : 118 - 5 * (k % 5)]) for k in range(24)] + texts[:3]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words]
+    assert {r.component_id for r in found} == {0}
+    assert {r.doc_id: r.n_links for r in found} == dict(enumerate(_link_counts(sets)))
 
 
 def test_secret_spans(docs, empty):

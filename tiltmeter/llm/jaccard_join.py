@@ -140,16 +140,17 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(table: pa.Table, percent: int) -> pa.Table:
-    """Product of the rows of one or two blocks: overlap counts, then a spanning forest of the links."""
-    rows = sorted(table.select(["tag", "n", "side", "keys"]).to_pylist(), key=lambda r: (r["n"], r["tag"]))
-    ids, sizes, side = (np.array([r[c] for r in rows], np.int64) for c in ("tag", "n", "side"))
+    """Product of the rows of one or two blocks: overlap counts, then a spanning forest of the links, and for every row
+    how many documents it links with here."""
+    rows = sorted(table.select(["tag", "n", "copies", "side", "keys"]).to_pylist(), key=lambda r: (r["n"], r["tag"]))
+    ids, sizes, copies, side = (np.array([r[c] for r in rows], np.int64) for c in ("tag", "n", "copies", "side"))
     entries = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r["keys"]) // 8 for r in rows])
     _, column = np.unique(entries, return_inverse=True)
     order = np.argsort(column, kind="stable")
     begin = np.searchsorted(column[order], np.arange(column.max() + 2))
     posting, first = owner[order], np.searchsorted(owner, np.arange(len(rows) + 1))
-    root = np.arange(len(rows))
+    root, found = np.arange(len(rows)), np.zeros(len(rows), np.int64)
     edges: list[tuple[int, int]] = []
     for i in range(len(rows)):
         own = column[first[i] : first[i + 1]]
@@ -160,15 +161,26 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
             continue
         overlap = np.bincount(np.concatenate(lists), minlength=len(rows))[i + 1 : last]
         linked = i + 1 + np.flatnonzero(100 * overlap >= percent * (sizes[i] + sizes[i + 1 : last] - overlap))
-        for j in linked[(root[linked] != root[i]) & ((side[linked] != side[i]) | (side[i] == 0))].tolist():
+        linked = linked[(side[linked] != side[i]) | (side[i] == 0)]
+        found[i] += copies[linked].sum()
+        found[linked] += copies[i]
+        for j in linked[root[linked] != root[i]].tolist():
             if root[j] != root[i]:
                 edges.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
-    return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+    some = np.flatnonzero(found)
+    return pa.table({
+        "a": pa.array([*(a for a, _ in edges), *ids[some].tolist()], pa.int64()),
+        "b": pa.array([*(b for _, b in edges), *[None] * len(some)], pa.int64()),
+        "links": pa.array([*[None] * len(edges), *found[some].tolist()], pa.int64()),
+    })
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """-> (`id_col` long, n_shingles long, component_id long), one per row; component_id is the smallest id reachable."""
+    """-> (`id_col` long, n_shingles long, component_id long, n_links long), one per row.
+
+    component_id is the smallest id reachable, n_links the number of other rows linked directly, copies included.
+    """
     buckets = bucket_count(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cells = source.mapInArrow(lambda b: at_end(_incidence(b, n, buckets)), _ddl(_INCIDENCE))
@@ -177,12 +189,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     tag = F.xxhash64("digest")  # names a class; as good as an n-gram's hash
     near = profile.where(F.expr(f"n > 0 and 100 * shared >= {percent} * n"))
-    classes = stage(near.groupBy(tag.alias("tag")).agg(F.min("id").alias("rep")), "classes")
+    classes = stage(near.groupBy(tag.alias("tag")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     sets = _rows_of(source, classes).mapInArrow(lambda b: at_end(_sets(b, n)), "n long, digest binary, keys binary")
-    sets = sets.select(tag.alias("tag"), "n", "keys").join(classes.select("tag"), "tag", "left_semi")
+    sets = sets.select(tag.alias("tag"), "n", "keys").join(classes.select("tag", "copies"), "tag")
     sets = stage(sets.dropDuplicates(["tag"]), "sets")
 
-    held = stage(sets.mapInArrow(lambda b: at_end(_explode(b)), "tag long, n long, key long"), "cells")
+    held = stage(sets.select("tag", "n", "keys").mapInArrow(lambda b: at_end(_explode(b)), "tag long, n long, key long"), "cells")
     frequent = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # N-grams of one row alone come first in the order from rare to frequent, and match nothing: what they leave of the
     # prefix goes to the rarest of the others.
@@ -194,11 +206,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     group = components(edges)
 
     tasks = _block_tasks(stage(sets.join(group.withColumnRenamed("node", "tag"), "tag"), "members"), percent)
-    links = tasks.groupBy("component", "c1", "b1", "c2", "b2").applyInArrow(lambda t: _links(t, percent), "a long, b long")
-    named = classes.join(components(links).withColumnRenamed("node", "tag"), "tag", "left").withColumn("component", F.coalesce("component", "tag"))
-    named = named.groupBy("component").agg(F.min("rep").alias("low")).join(named.select("tag", "component"), "component")
-    out = profile.withColumn("tag", tag).join(named.select("tag", "low"), "tag", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    links = tasks.groupBy("component", "c1", "b1", "c2", "b2").applyInArrow(lambda t: _links(t, percent), "a long, b long, links long")
+    links = stage(links, "links")
+    counts = links.where("b is null").groupBy(F.col("a").alias("tag")).agg(F.sum("links").alias("links"))
+    named = classes.join(components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "tag"), "tag", "left").withColumn("component", F.coalesce("component", "tag"))
+    named = named.groupBy("component").agg(F.min("rep").alias("low")).join(named.select("tag", "component", "copies"), "component")
+    named = named.join(counts, "tag", "left").select("tag", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = profile.withColumn("tag", tag).join(named, "tag", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _rows_of(source: DataFrame, classes: DataFrame) -> DataFrame:
@@ -230,4 +245,4 @@ def _block_tasks(rows: DataFrame, percent: int) -> DataFrame:
     below = span.format(n="below", s="'c1', c - 1, 'b1', j, 'c2', c, 'b2', b, 'side', 2")
     single = "array(named_struct('c1', -1, 'b1', 0, 'c2', -1, 'b2', 0, 'side', 0))"
     part = f"if(all <= {BLOCK_ROWS}, {single}, concat({own}, if(above is null, array(), {above}), if(below is null, array(), {below})))"
-    return rows.select("component", "tag", "n", "keys", F.explode(F.expr(part)).alias("t")).select("component", "tag", "n", "keys", "t.*")
+    return rows.select("component", "tag", "n", "copies", "keys", F.explode(F.expr(part)).alias("t")).select("component", "tag", "n", "copies", "keys", "t.*")
