@@ -803,6 +803,15 @@ def drift_steps(spark, folder):
     return steps.drift_all(stacked(experiments(spark, folder)), BASELINE, ["intensity", "lag"])
 
 
+@query
+def drift_sentiment_lag(spark, folder):
+    """A delay of the sentiment that the agent decides on, beside one of the news that it does not read."""
+    base = market(spark, folder)
+    late = {"sentiment_lag": "social_sentiment_score", "lag": "news_impact_score"}
+    logs = {name: decisions.step_rule_agent(perturb.row_lag(base, 3, numeric=column)) for name, column in late.items()}
+    return steps.drift_all(stacked({BASELINE: decisions.step_rule_agent(base), **logs}), BASELINE, list(late))
+
+
 @query
 def drift_pair(spark, folder):
     logs = experiments(spark, folder)

@@ -728,6 +728,9 @@ ORACLES: dict[str, str] = {
 ORACLES["first_active"] = ORACLES["heuristic_policy"] + " WHERE policy <> 'HOLD' ORDER BY step LIMIT 3"
 ORACLES["stream_unique"] = ORACLES["stream_windows"]
 ORACLES["kept_windows"] = ORACLES["window_features"]
+ORACLES["drift_sentiment_lag"] = on_steps(f"""
+  , delayed AS (SELECT * REPLACE (coalesce(lag(mood, 3) OVER (ORDER BY step), (SELECT avg(mood) FROM market)) AS mood) FROM market),
+  late AS ({rule_log('delayed')}) {_drift('sentiment_lag', 'late')} UNION ALL {_drift('lag', 'rule')}""")
 ORACLES["drift_pair"] = on_steps(f"SELECT * EXCLUDE (experiment) FROM ({_drift('intensity', 'rule2')})")
 ORACLES["score_store"] = on_labelled(
     f"SELECT lang, {_SCORES}, CASE WHEN max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) OVER (PARTITION BY coalesce(post, '')) = 1 THEN 1::BIGINT ELSE 2 END AS score_batch FROM probs"

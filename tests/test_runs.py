@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiltmeter import session
-from tiltmeter.config import Experiment, TargetRules
-from tiltmeter.operators import decisions, windows
+from tiltmeter.config import BASELINE, Experiment, TargetRules
+from tiltmeter.operators import decisions, steps, windows
 from tiltmeter.plans import runs
 from tiltmeter.sources import demo
 from tiltmeter.streaming.windows import decide_stream, start_decisions
@@ -30,7 +30,16 @@ def test_step_runs(spark, data, tmp_path):
     market = demo.market_steps(spark, data)
     paths = runs.drift_run(market, str(tmp_path / "drift"))
     text = "\n".join(r.value for r in spark.read.text(paths["drift_pnl_comparison"]).collect())
-    assert "temporal_jitter_n3" in text and "Tied" in text
+    assert "temporal_jitter_n3" in text and "Tied" in text and "sentiment_lag" not in text
+    for name in ("intensity_k2", "temporal_jitter_n3"):
+        report = "\n".join(r.value for r in spark.read.text(paths[f"drift_report_{name}"]).collect())
+        pair = [spark.read.json(paths[f"traj_{n}"]) for n in (BASELINE, name)]
+        changed = steps.drift_steps(*pair).first().mismatched_steps
+        assert report.startswith("Drift of decisions") and f" {changed} of all steps" in report and (changed == 0) == (name != "intensity_k2")
+    paths = runs.drift_run(market, str(tmp_path / "late"), lag_sentiment=True)
+    late = [spark.read.json(paths[f"traj_{n}"]).select("step", "action_taken", "oracle_triggered") for n in (BASELINE, "sentiment_lag_n3")]
+    assert steps.drift_steps(*late).first().mismatched_steps > 0
+    assert "changed" in "".join(r.value for r in spark.read.text(paths["drift_report_sentiment_lag_n3"]).collect())
     paths = runs.hybrid_run(market, str(tmp_path / "hybrid"), sample=100)
     assert spark.read.json(paths["combined_log"]).count() == 100
     labelled = market.select("step", "timestamp", "cryptocurrency", F.lit("up").alias("tweet_text"),

@@ -125,16 +125,22 @@ def sweep_run(
 
 
 @_tidy
-def drift_run(market: DataFrame, out: str, factor: float = 2.0, lag: int = 3, policy: StepPolicy = StepPolicy()) -> dict[str, str]:
-    """Rule agent on market steps and on two mutants: logs, drift reports and the P&L comparison.
+def drift_run(
+    market: DataFrame, out: str, factor: float = 2.0, lag: int = 3, policy: StepPolicy = StepPolicy(),
+    lag_sentiment: bool = False,
+) -> dict[str, str]:
+    """Rule agent on market steps and on its mutants: logs, drift reports and the P&L comparison.
 
-    `market` needs a dense `step`, as `load_steps` gives it.
+    `market` needs a dense `step`, as `load_steps` gives it. The lag delays the news, which the rule agent does not read;
+    `lag_sentiment` adds a mutant that delays the sentiment it decides on.
     """
     inputs = {
         BASELINE: market,
         f"intensity_k{factor:g}": perturb.amplify_steps(market, factor),
         f"temporal_jitter_n{lag}": perturb.row_lag(market, lag),
     }
+    if lag_sentiment:
+        inputs[f"sentiment_lag_n{lag}"] = perturb.row_lag(market, lag, numeric="social_sentiment_score")
     logs = {name: pnl.with_running_pnl(stage(decisions.step_rule_agent(df, policy), "log")) for name, df in inputs.items()}
     return _compare_logs(logs, out, "Baseline", "Mutant")
 
@@ -145,23 +151,33 @@ def _compare_logs(logs: Mapping[str, DataFrame], out: str, first: str, second: s
         paths[f"traj_{name}"] = f"{out}/traj_{name}"
         saved[name] = stage(log, "log")
         sinks.write_json(saved[name], paths[f"traj_{name}"])
-    totals = None
-    for name, log in saved.items():
-        one = pnl.pnl_summary(log.withColumn("series", F.lit(name)), "series")
-        totals = one if totals is None else totals.unionByName(one)
-        if name != BASELINE:
-            paths[f"drift_report_{name}"] = f"{out}/drift_report_{name}"
-            sinks.write_text(reports.drift_text(steps.drift_steps(saved[BASELINE], log)), paths[f"drift_report_{name}"])
+    totals, drift = _against_baseline(saved)
+    for name in list(saved)[1:]:
+        paths[f"drift_report_{name}"] = f"{out}/drift_report_{name}"
+        sinks.write_text(reports.drift_text(drift.where(F.col("experiment") == name)), paths[f"drift_report_{name}"])
     pairs = [(name, BASELINE, name) for name in saved if name != BASELINE]
-    table = pnl.pnl_compare(pnl.pair_totals(totals, "series", pairs))
+    table = pnl.pnl_compare(pnl.pair_totals(totals, "experiment", pairs))
     paths["drift_pnl_comparison"] = f"{out}/drift_pnl_comparison"
     sinks.write_text(
-        reports.pnl_table_text(table, first, second).unionByName(reports.pnl_line(totals, "series")),
+        reports.pnl_table_text(table, first, second).unionByName(reports.pnl_line(totals, "experiment")),
         paths["drift_pnl_comparison"],
     )
     return paths
 
 
+def _against_baseline(logs: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """P&L totals of every log, and the drift of every other log from the baseline: a few rows each, kept.
+
+    One shuffle by step serves all experiments, whatever their number.
+    """
+    stacked = None
+    for name, log in logs.items():
+        one = log.select(F.lit(name).alias("experiment"), "step", "action_taken", "oracle_triggered", "pnl")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    totals = stage(pnl.pnl_summary(stacked, "experiment"), "totals")
+    return totals, stage(steps.drift_all(stacked, BASELINE, [name for name in logs if name != BASELINE]), "drift")
+
+
 @_tidy
 def hybrid_run(
     market: DataFrame, out: str, factor: float = 2.0, sample: int | None = None, probabilities: Scorer | None = None,
@@ -203,17 +219,16 @@ def post_level_run(
         (BASELINE, base), (f"intensity_k{factor:g}", perturb.emphasize(base, factor)),
         (f"temporal_jitter_n{lag}", perturb.row_lag(base, lag, text="tweet_text")),
     )
-    paths, saved, totals = {}, {}, None
+    paths, saved = {}, {}
     for name, df in inputs:
         paths[f"traj_{name}"] = f"{out}/traj_{name}"
         saved[name] = stage(pnl.with_pnl(decisions.decide_bucketed(df, decide), change="price_change_24h_percent"), "log")
         sinks.write_json(saved[name], paths[f"traj_{name}"])
-        one = pnl.pnl_summary(saved[name].withColumn("series", F.lit(name)), "series")
-        totals = one if totals is None else totals.unionByName(one)
+    totals, drift = _against_baseline(saved)
     text = None
     for name in list(saved)[1:]:
-        part = reports.override_drift_text(steps.drift_steps(saved[BASELINE], saved[name]), name)
+        part = reports.override_drift_text(drift.where(F.col("experiment") == name), name)
         text = part if text is None else text.unionByName(part)
     paths["drift_report"] = f"{out}/drift_report"
-    sinks.write_text(text.unionByName(reports.pnl_line(totals, "series")), paths["drift_report"])
+    sinks.write_text(text.unionByName(reports.pnl_line(totals, "experiment")), paths["drift_report"])
     return paths
