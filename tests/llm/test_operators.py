@@ -8,12 +8,15 @@ import re
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tiltmeter.llm import byte_bpe, embedding_dedup, html_text, jaccard_join, language_model, quality_classifier, quality_rules, secret_scan, source_mixing, toxicity
+from tiltmeter.llm import blocks, byte_bpe, embedding_dedup, html_text, jaccard_join, language_model, quality_classifier, quality_rules, secret_scan, source_mixing, toxicity
 from tiltmeter.llm.queries import byte_bpe_ranks
 from tiltmeter.session import stage
 
@@ -120,6 +123,54 @@ def test_weights_match_exact_expectation_maximisation():
     assert len(set(language_model._cell(np.array([0.001, 0.01, 0.5, 1.0])))) == 4
 
 
+def test_language_model_chunks_need_little_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(blocks, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    rng, size = np.random.default_rng(5), 2000
+    texts = [" ".join(map(str, rng.zipf(1.3, size) % 50_000)) for _ in range(200)]
+    rows = pa.RecordBatch.from_pylist([{"id": i, "part": i % 3, "text": t} for i, t in enumerate(texts)])
+    chunk = next(language_model._split(iter([rows]), pa.int64()))
+    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    peaks = {}
+
+    def traced(name, step):
+        tracemalloc.start()
+        try:
+            done = step()
+            peaks[name] = tracemalloc.get_traced_memory()[1] / len(texts) / (size + 1)
+        finally:
+            tracemalloc.stop()
+        return done
+
+    sent = traced("send", lambda: list(language_model._send(iter([chunk]), 8)))
+    totals = pa.concat_tables([language_model._total(pa.Table.from_batches(sent).filter(pc.field("bucket") == b)) for b in range(8)])
+    weights = np.tile([0.4, 0.4, 0.2], (language_model.BUCKETS, 1))
+    scored = traced("score", lambda: language_model._score(pa.Table.from_batches([chunk]), totals, 8, 50_000, 100_000, weights, schema))
+    assert scored.num_rows == len(texts)
+    assert max(peaks.values()) < 55, peaks  # bytes a token
+
+
+def test_language_model_scores_match_a_plain_model(docs, monkeypatch):
+    """Bigram and unigram counts of parts 0 and 1, mixed by the learned weights, with slices of a few tokens."""
+    monkeypatch.setattr(language_model, "SLICE", 50, raising=False)
+    learned = []
+    learn = language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda *a: learned.append(learn(*a)) or learned[-1])
+    part = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, 2).when(F.crc32(F.col("doc_id").cast("string")) % 7 == 6, 1).otherwise(0)
+    held = {i for i in range(len(TEXTS)) if zlib.crc32(str(i).encode()) % 7 == 2}
+    tokens = {i: (t or "").encode().lower().split() + [None] for i, t in enumerate(TEXTS)}
+    train = [tokens[i] for i in [*range(len(TEXTS)), 0] if i not in held]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([0, *t], t))
+    contexts, total = one | Counter({0: len(train)}), sum(one.values())
+    for i, row in by_id(language_model.score_texts(docs, part)).items():
+        score = 0.0
+        for v, w in zip([0, *tokens[i]], tokens[i]):
+            l2, l1, l0 = learned[0][language_model._context_bucket(np.array([contexts[v]]))[0]]
+            score += math.log10(l2 * two[v, w] / max(contexts[v], 1) + l1 * one[w] / total + l0 / (len(one) + 1))
+        assert row.score == pytest.approx(score), i
+
+
 def _link_counts(sets):
     linked = [[bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
     return [sum(row) - row[i] for i, row in enumerate(linked)]
