@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import sys
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -480,6 +481,51 @@ def test_audit_measures_recall_without_links():
     assert embedding_dedup.audited_beam(_random_graph(1, 4, 0)[0], _random_graph(1, 4, 0)[1], True)[1] == 1.0
 
 
+def test_graph_work_is_done_for_many_rows_at_once():
+    calls, n = [0], 2000
+    x = np.random.default_rng(6).normal(size=(n, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        graph = embedding_dedup.Graph.build(x, np.arange(n))
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 80 * n
+    ids, _ = graph.search(x, 192)
+    true = np.argsort(-(x @ x.T), axis=1)[:, :10]
+    assert np.mean([len({*a} & {*b}) for a, b in zip(ids.tolist(), true.tolist())]) >= 9.5
+
+
+def test_links_are_verified_in_double_precision(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(600, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = 0.93 + np.where(np.arange(600) % 2, 1, -1)[:, None] * 1e-10  # out of single precision's sight
+    x = embedding_dedup.unit_rows(np.vstack([base, cosine * base + np.sqrt(1 - cosine**2) * other]).tobytes(), 32)
+    graph = embedding_dedup.Graph.build(x, np.arange(len(x)))
+    found = embedding_dedup.found_links(graph, x, 0.93, own=True)
+    linked = (found | found.T)[np.arange(600), np.arange(600) + 600]
+    assert (linked == (np.arange(600) % 2 == 1)).all()
+
+
+def test_rows_link_to_others_once():
+    rng = np.random.default_rng(8)
+    x = np.vstack([np.eye(1, 16), np.eye(1, 16) + 0.3 * rng.normal(size=(900, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = embedding_dedup.Graph.build(x, np.arange(len(x)))
+    for level in graph.levels:
+        for i, row in enumerate(level.tolist()):
+            own = [j for j in row if j >= 0]
+            assert row == own + [-1] * (len(row) - len(own)) and len(set(own)) == len(own) and i not in own
+
+
 def test_copies_of_a_secret_do_not_lower_the_bar(spark):
     words = [(k, 10_000 + i) for k in range(1, 8) for i in range(4000 >> k)]
     tests = lambda copies: spark.createDataFrame([(0, i) for i in range(4000)] + words + [(40, 1)] * copies, "cell int, mark long")

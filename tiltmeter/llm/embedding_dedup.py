@@ -2,9 +2,10 @@
 
 1. Equal vectors of a label are one class row from here on, so any number of copies costs one row.
 2. The class rows of a label (and dimension) are dealt to shards of about `SHARD` rows by a hash. One task per shard
-   inserts its rows into a graph: levels by a keyed hash, links chosen among the nearest found by a beam search.
+   inserts its rows into a graph: levels by a keyed hash, links chosen among the nearest found by a beam search. Rows
+   are inserted in batches, whose searches, choices and links back are array operations in single precision.
 3. Every row queries every shard of its label. A task takes two shards, searches each one's graph for the other's rows,
-   and joins what both directions found. The beam is widened as a whole until an audit of `AUDIT` queries against brute
+   and joins what both directions found. In its own shard a row starts from itself; wide beams open more rows a step. The beam is widened as a whole until an audit of `AUDIT` queries against brute
    force finds `RECALL` of their `NEAREST` true neighbours, themselves left out, whether or not those are links; it is
    widened further for every query whose beam ends within the bound. A shard that fails the audit at `WIDEST`, and a query
    whose beam would outgrow it, are compared row by row, so no link is lost to the beam's width.
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltmeter.llm.blocks import mix
+from tiltmeter.llm.blocks import mix, ranges
 from tiltmeter.llm.components import components
 from tiltmeter.session import stage
 
 SHARD = 8192
 LINKS, BUILD_BEAM, FIRST_BEAM, WIDEST = 12, 48, 48, 400
-WAYS = 4  # rows of a beam that a step opens together
+WAYS = 4  # rows of a beam that a step opens together, more in wide beams
 AUDIT, NEAREST, RECALL, BATCH = 64, 10, 0.95, 256
+COMPONENTS = 1 << 18  # of vectors that are multiplied at once
+ROUNDING = 1e-4  # more than single precision takes from a cosine; found pairs are verified in double precision
 
 
 def unit_rows(blob: bytes, dim: int) -> np.ndarray:
@@ -39,52 +42,77 @@ def unit_rows(blob: bytes, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def cosines(a: np.ndarray, which: np.ndarray, b: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Products of the rows `which` of a with the rows `other` of b, a few of them at once."""
+    out, step = np.empty(len(which), b.dtype), max(1, COMPONENTS // b.shape[1])
+    for at in range(0, len(which), step):
+        out[at : at + step] = np.einsum("ed,ed->e", a[which[at : at + step]], b[other[at : at + step]])
+    return out
+
+
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one level for many queries at once -> (rows, similarities), best first, -1 and -9 where none."""
     q, n = len(queries), len(x)
     ids = np.full((q, width), -1, np.int64)
-    sims = np.full((q, width), -9.0)
-    seen = np.zeros((q, n + 1), bool)
+    sims = np.full((q, width), -9, x.dtype)
     ids[:, : entry.shape[1]] = entry[:, :width]
-    sims[:, : entry.shape[1]] = np.where(ids[:, : entry.shape[1]] >= 0, np.einsum("qd,qed->qe", queries, x[ids[:, : entry.shape[1]]]), -9.0)
-    np.put_along_axis(seen, ids, True, 1)
+    sims[:, : entry.shape[1]] = np.where(ids[:, : entry.shape[1]] >= 0, np.einsum("qd,qed->qe", queries, x[ids[:, : entry.shape[1]]]), -9)
+    first = np.arange(q) * (n + 1)
+    ways, most = max(WAYS, width // 12), links.shape[1]
+    seen = np.zeros(q * (n + 1), np.int16)  # not 0 once a query has met a row; row n, or -1, is none
+    seen[(first[:, None] + ids).ravel()] = 1
+    seen[first + n] = 1
     done = ids < 0
     rows = np.arange(q)
     while len(rows):
-        best = np.argsort(done[rows], axis=1, kind="stable")[:, :WAYS]  # beams are in order, nearest first
-        rows_live = ~done[rows, best[:, 0]]
-        rows, best = rows[rows_live], best[rows_live]
-        if not len(rows):
-            break
-        opened = np.where(done[rows[:, None], best], -1, ids[rows[:, None], best])
-        done[rows[:, None], best] = True
-        near = links[opened].reshape(len(rows), -1)
-        near = np.sort(np.where(seen[rows[:, None], near], -1, near), 1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near = near[:, (near >= 0).any(0)]
-        seen[rows[:, None], near] = True
-        near_sims = np.full(near.shape, -9.0)
-        who, which = np.nonzero(near >= 0)
-        near_sims[who, which] = np.einsum("ed,ed->e", queries[rows[who]], x[near[who, which]])
-        all_sims = np.concatenate([sims[rows], near_sims], 1)
+        undone = ~done[rows]
+        live = undone.any(1)
+        rows, undone = rows[live], undone[live]
+        rank = np.cumsum(undone, 1, dtype=np.int16)
+        which, at = np.nonzero(undone & (rank <= ways))  # beams are in order, nearest first
+        opened = rows[which]
+        done[opened, at] = True
+        number = (rank[which, at, None] * most + np.arange(most)).astype(np.int16).ravel()  # differs among the links that a query opens
+        near = (first[opened][:, None] + links[ids[opened, at]]).ravel()
+        fresh = seen[near] == 0
+        near, number = near[fresh], number[fresh]
+        seen[near] = number
+        near = near[seen[near] == number]  # a row that several links lead to is taken once
+        who = near // (n + 1)
+        near -= first[who]
+        near_sims = cosines(queries, who, x, near)
+        better = near_sims > sims[who, -1]  # others would leave the beam at once
+        who, near, near_sims = who[better], near[better], near_sims[better]
+        some, start, count = np.unique(who, return_index=True, return_counts=True)
+        if not len(some):
+            continue
+        cell = np.repeat(np.arange(len(some)), count), np.arange(len(who)) - np.repeat(start, count)
+        more_ids, more_sims = np.full((len(some), count.max()), -1, np.int64), np.full((len(some), count.max()), -9, x.dtype)
+        more_ids[cell], more_sims[cell] = near, near_sims
+        all_sims = np.concatenate([sims[some], more_sims], 1)
         order = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
-        sims[rows] = np.take_along_axis(all_sims, order, 1)
-        ids[rows] = np.take_along_axis(np.concatenate([ids[rows], near], 1), order, 1)
-        done[rows] = np.take_along_axis(np.concatenate([done[rows], near < 0], 1), order, 1)
+        sims[some] = np.take_along_axis(all_sims, order, 1)
+        ids[some] = np.take_along_axis(np.concatenate([ids[some], more_ids], 1), order, 1)
+        done[some] = np.take_along_axis(np.concatenate([done[some], more_ids < 0], 1), order, 1)
     return ids, sims
 
 
 class Graph:
-    """Links of every level, -1 where none; row 0 of the order is the entry."""
+    """Links of every level, -1 where none; row 0 of the order is the entry. Built and searched in single precision."""
 
     def __init__(self, x: np.ndarray, levels: list[np.ndarray], entry: int):
         self.x, self.levels, self.entry = x, levels, entry
+        self.near_x = x.astype(np.float32)
 
-    def search(self, queries: np.ndarray, width: int, down_to: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, width: int, down_to: int = 0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """With `own` the queries are these rows of the graph, and each starts from itself."""
+        queries = queries.astype(np.float32)
+        if own is not None:
+            return beam_search(self.near_x, self.levels[down_to], queries, own[:, None], width)
         found = np.full((len(queries), 1), self.entry, np.int64)
-        sims = np.full((len(queries), 1), -9.0)
+        sims = np.full((len(queries), 1), -9, np.float32)
         for level in range(len(self.levels) - 1, down_to - 1, -1):
-            found, sims = beam_search(self.x, self.levels[level], queries, found, width if level == down_to else 4)
+            found, sims = beam_search(self.near_x, self.levels[level], queries, found, width if level == down_to else 4)
         return found, sims
 
     @classmethod
@@ -100,52 +128,65 @@ class Graph:
         while start < n:
             batch = order[start : start + max(32, min(BATCH, start))]
             batch = batch[level[batch] == level[batch[0]]] if start else batch[level[batch] == level[order[0]]]
-            among = x[batch] @ x[batch].T
-            np.fill_diagonal(among, -9.0)
+            among = graph.near_x[batch] @ graph.near_x[batch].T
+            np.fill_diagonal(among, -9)
             for k in range(int(level[batch[0]]), -1, -1):
                 if start:
                     ids, sims = graph.search(x[batch], BUILD_BEAM, k)
+                    sims[np.isin(ids, batch)] = -9  # met on the level above; `among` has them
                 else:
-                    ids, sims = np.full((len(batch), 1), -1, np.int64), np.full((len(batch), 1), -9.0)
+                    ids, sims = np.full((len(batch), 1), -1, np.int64), np.full((len(batch), 1), -9, np.float32)
                 ids = np.concatenate([ids, np.broadcast_to(batch, (len(batch), len(batch)))], 1)
                 graph._link(k, batch, ids, np.concatenate([sims, among], 1))
             start += len(batch)
         return graph
 
     def _link(self, k: int, batch: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
-        links, most = self.levels[k], LINKS
-        back: dict[int, list[int]] = {}
-        for row, own, near in zip(batch.tolist(), ids, sims, strict=True):
-            order = np.argsort(-near, kind="stable")[:BUILD_BEAM]
-            order = order[near[order] > -5]
-            chosen = self._choose(own[order], near[order], most)
-            links[row, : len(chosen)] = chosen
-            for other in chosen.tolist():
-                back.setdefault(other, []).append(row)
-        for other, rows in back.items():
-            have = links[other][links[other] >= 0]
-            merged = np.array(list(dict.fromkeys([*have.tolist(), *rows])), np.int64)
-            if len(merged) > links.shape[1]:
-                near = self.x[merged] @ self.x[other]
-                order = np.argsort(-near, kind="stable")
-                merged = self._choose(merged[order], near[order], links.shape[1])
-            links[other] = -1
-            links[other, : len(merged)] = merged
+        links = self.levels[k]
+        most = links.shape[1]
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :BUILD_BEAM]
+        near = np.take_along_axis(sims, order, 1)
+        chosen = self._choose(np.where(near > -5, np.take_along_axis(ids, order, 1), -1), near, LINKS)
+        links[batch, : chosen.shape[1]] = chosen
+        other, row = chosen[chosen >= 0], np.repeat(batch, (chosen >= 0).sum(1))  # and back
+        new = (links[other] != row[:, None]).all(1)
+        other, row = other[new], row[new]
+        order = np.argsort(other, kind="stable")
+        other, row = other[order], row[order]
+        some, start, count = np.unique(other, return_index=True, return_counts=True)
+        have = (links[some] >= 0).sum(1)
+        place = np.arange(len(other)) - np.repeat(start - have, count)
+        fits = np.repeat(have + count <= most, count)
+        links[other[fits], place[fits]] = row[fits]
+        full = np.flatnonzero(have + count > most)
+        full = full[np.argsort(have[full] + count[full], kind="stable")]
+        while len(full):  # rows with about as many candidates together
+            sizes = have[full] + count[full]
+            now = full[: max(1, int((np.arange(1, len(full) + 1) * sizes <= 16_384).sum()))]
+            full = full[len(now) :]
+            merged = np.full((len(now), sizes[len(now) - 1]), -1, np.int64)
+            merged[:, : most] = links[some[now]]
+            which = np.repeat(np.arange(len(now)), count[now])
+            at = ranges(start[now], count[now])
+            merged[which, place[at]] = row[at]
+            near = np.where(merged >= 0, np.einsum("bcd,bd->bc", self.near_x[merged], self.near_x[some[now]]), -9)
+            order = np.argsort(-near, axis=1, kind="stable")
+            links[some[now]] = self._choose(np.take_along_axis(merged, order, 1), np.take_along_axis(near, order, 1), most)
 
     def _choose(self, own: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
-        """Diverse neighbours: one is left out if it is nearer to a chosen one than to the row; the nearest fill up."""
-        if len(own) <= most:
-            return own
-        inner = self.x[own] @ self.x[own].T
-        free, chosen = np.ones(len(own), bool), []
-        for i in range(len(own)):
-            if free[i]:
-                chosen.append(i)
-                if len(chosen) == most:
-                    break
-                free &= inner[i] <= near
-        rest = [i for i in range(len(own)) if i not in set(chosen)]
-        return own[np.array(chosen + rest[: most - len(chosen)])]
+        """Diverse neighbours: one is left out if it is nearer to a chosen one than to the row; the nearest fill up.
+
+        Candidates stand nearest first, with -1 after the last.
+        """
+        rows = self.near_x[own]
+        inner = rows @ rows.transpose(0, 2, 1)
+        free, chosen, count = own >= 0, np.zeros(own.shape, bool), np.zeros(len(own), np.int64)
+        for i in range(own.shape[1]):
+            chosen[:, i] = free[:, i] & (count < most)
+            count += chosen[:, i]
+            free &= ~chosen[:, i, None] | (inner[:, i] <= near)
+        order = np.argsort(np.where(chosen, 0, np.where(own >= 0, 1, 2)), axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(own, order, 1)
 
 
 def audited_beam(graph: Graph, queries: np.ndarray, own: bool) -> tuple[int, float]:
@@ -165,7 +206,8 @@ def audited_beam(graph: Graph, queries: np.ndarray, own: bool) -> tuple[int, flo
     least = -np.partition(-sims, k - 1, 1)[:, k - 1 : k] - 1e-12  # of the true neighbours; ties are as good as they
     width = FIRST_BEAM
     while True:
-        ids, near = graph.search(queries[audit], width)
+        ids, _ = graph.search(queries[audit], width, own=audit if own else None)
+        near = np.einsum("qd,qed->qe", queries[audit], graph.x[ids])
         hits = ((ids >= 0) & (ids != itself) & (near >= least)).sum(1)
         recall = float(np.minimum(hits, k).mean() / k)
         if recall >= RECALL or width >= WIDEST:
@@ -182,11 +224,11 @@ def found_links(graph: Graph, queries: np.ndarray, bound: float, own: bool = Fal
     for start in range(0, len(queries), BATCH):
         rows, wide = np.arange(start, min(start + BATCH, len(queries))), width
         while len(rows) and wide <= WIDEST and wide < len(graph.x):
-            ids, sims = graph.search(queries[rows], wide)
-            hit = (ids >= 0) & (sims >= bound)
-            at = np.broadcast_to(rows[:, None], ids.shape)
-            out[at[hit], ids[hit]] = True
-            rows, wide = rows[hit[:, -1]], wide * 3  # the beam ends within the bound: there may be more
+            ids, sims = graph.search(queries[rows], wide, own=rows if own else None)
+            which, at = np.nonzero((ids >= 0) & (sims >= bound - ROUNDING))
+            a, b = rows[which], ids[which, at]
+            out[a, b] = cosines(queries, a, graph.x, b) >= bound
+            rows, wide = rows[sims[:, -1] >= bound - ROUNDING], wide * 3  # the beam ends within the bound: there may be more
         if len(rows):
             out[rows] |= queries[rows] @ graph.x.T >= bound
     return out
